@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ EVENT_CODES = (
     ("SUSPEND_CLUSTER", "COMPLETED", 3),
     ("SUSPEND_WAREHOUSE", "STARTED", 4),
 )
-ID_SHIFT = 18_446_744_073_709_551_616  # the warehouse id sits above a 64-bit millisecond clock
+ID_SHIFT = Decimal(2**64)  # the warehouse id sits above a 64-bit millisecond clock
 
 COLUMNS = (
     "filterts", "warehouse_id", "warehouse_name", "cluster_number", "session_type", "session_id",
@@ -103,7 +104,7 @@ def sessions(
     midnight = floor_micros(F.col("_us"), "day") + F.lit(GRID_MICROS["day"]).cast("bigint")
     stopped = F.coalesce(F.col("_near._stop"), F.lit(False))
     end = F.when(stopped, F.col("_near._us")).otherwise(F.least(now, midnight))
-    shifted = F.col("warehouse_id").cast("decimal(19,0)") * F.lit(ID_SHIFT).cast("decimal(20,0)")
+    shifted = F.col("warehouse_id").cast("decimal(19,0)") * F.lit(ID_SHIFT)
     return rows.select(
         from_micros("_us").alias("filterts"),
         "warehouse_id",

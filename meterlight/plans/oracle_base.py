@@ -64,7 +64,8 @@ TOTAL_COST = (
     " + CAST(sum(CASE WHEN warehouse_id > 700000 THEN credit_units ELSE 0 END) AS DOUBLE) * CAST(3 AS DOUBLE))"
     " / CAST(720000000 AS DOUBLE)"
 )
-MS = "epoch_ms({b}) - epoch_ms({a})"
+# Millisecond boundaries crossed: floor both ends (epoch_ms would round).
+MS = "epoch_us({b}) // 1000 - epoch_us({a}) // 1000"
 
 AS_OF_QUERIES = "2001-09-01 00:00:00"
 AS_OF_EVENTS = "2024-01-31 00:00:00"
@@ -125,7 +126,7 @@ def sessions(as_of: str = AS_OF_EVENTS, name: str = "ses", where: str = "true")
 {name}_j AS (SELECT *, date_trunc('day', ts) + to_days(1) AS midnight, coalesce(near_event IN (3, 4), false) AS stopped
   FROM {name}_i WHERE event IN (1, 2)),
 {name} AS (SELECT ts AS filterts, warehouse_id, warehouse_name, cluster_number, session_type,
-  CAST(CAST(warehouse_id AS HUGEINT) * CAST('18446744073709551616' AS HUGEINT) + epoch_ms(run_ts) AS VARCHAR) AS session_id,
+  CAST(CAST(warehouse_id AS HUGEINT) * CAST('18446744073709551616' AS HUGEINT) + epoch_us(run_ts) // 1000 AS VARCHAR) AS session_id,
   ts AS session_start,
   CASE WHEN stopped THEN near_ts ELSE least(TIMESTAMP '{as_of}', midnight) END AS session_end,
   NOT stopped AND TIMESTAMP '{as_of}' < midnight AS incomplete FROM {name}_j)"""
@@ -146,7 +147,7 @@ ss AS (SELECT *, {MS.format(a='st', b='et')} AS duration, CAST(date_trunc('day',
 METERING = """
 mt AS (SELECT l_shipdate + to_hours(l_linenumber) AS start_time, l_shipdate + to_hours(l_linenumber + 1) AS end_time,
   l_suppkey % 12 AS warehouse_id, 'WH_' || l_suppkey % 12 AS warehouse_name,
-  l_quantity AS compute, CAST(l_linenumber AS DECIMAL(18,9)) / 1000 AS cloud FROM lineitem)"""
+  l_quantity AS compute, l_linenumber AS cloud_milli FROM lineitem)"""
 SERVERLESS = """
 sv AS (SELECT start_time, start_time + to_seconds(total_elapsed_time // 1000) AS end_time,
   CAST(k % 20 AS DECIMAL(18,9)) / 10 AS credits_used, k % 50 AS task_id, 'task_' || k % 50 AS task_name,
