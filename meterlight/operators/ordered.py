@@ -10,12 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterlight.functions.timeops import floor_micros, micros
-
-
-def add_chunk(df: DataFrame, ts: str, unit: str, name: str = "_chunk") -> DataFrame:
-    return df.withColumn(name, floor_micros(micros(ts), unit))
-
 
 def neighbour(
     df: DataFrame,
@@ -49,31 +43,35 @@ def neighbour(
     return inner.unionByName(edges)
 
 
-def run_start(
-    df: DataFrame,
-    key: str,
-    order: list[str],
-    us: str,
-    opens: Column,
-    closes: Column,
-    chunk: str = "_chunk",
-    name: str = "_run",
+def run_bounds(
+    df: DataFrame, key: str, order: list[str], us: str, opens: Column, closes: Column, chunk: str = "_chunk"
 ) -> DataFrame:
-    """Adds ``name``: the instant at which the current run of ``key`` began.
+    """Adds ``_run`` and ``_run_end``: the instants at which the row's run began and was over.
 
     A run begins at a row that ``opens``, at the row after one that ``closes``, and at the
-    first row of the key. Each chunk is reduced to one row (its first instant, its last run
-    start, how it begins and ends); a running scan over those rows gives every chunk the run
-    it continues, and the join back is on (key, chunk), the partitioning the rows already have.
+    first row of the key. It is over at the row that closes it, or when the next run begins;
+    ``_run_end`` is NULL for the last run of a key while nothing closed it.
+
+    Each chunk is reduced to one row (its first instant, how it begins and ends, its last run
+    start and first boundary). Scans over those rows, one per chunk and key, tell every chunk
+    which run it continues and when that ends. The join back is on (key, chunk), the
+    partitioning the rows already have.
     """
     inside = Window.partitionBy(key, chunk).orderBy(*order)
+    behind = Window.partitionBy(key, chunk).orderBy(*[F.desc(c) for c in order])
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = df.withColumns({"_opens": opens, "_closes": closes})
     begins = F.col("_opens") | F.coalesce(F.lag("_closes").over(inside), F.lit(False))
-    marked = marked.withColumn("_local", F.when(begins, F.col(us)))
-    marked = marked.withColumn(
-        "_local",
-        F.last("_local", ignorenulls=True).over(
-            inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = marked.withColumn("_begin", F.when(begins, F.col(us))).withColumn(
+        "_close", F.when(F.col("_closes"), F.col(us))
+    )
+    marked = marked.withColumn("_local", F.last("_begin", ignorenulls=True).over(so_far)).withColumn(
+        "_until",
+        F.least(
+            F.last("_close", ignorenulls=True).over(
+                behind.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            ),
+            F.last("_begin", ignorenulls=True).over(behind.rowsBetween(Window.unboundedPreceding, -1)),
         ),
     )
     rank = F.struct(*order)
@@ -81,21 +79,28 @@ def run_start(
         F.min(us).alias("_first"),
         F.min_by("_opens", rank).alias("_head_opens"),
         F.max_by("_closes", rank).alias("_tail_closes"),
-        F.max("_local").alias("_last_start"),
+        F.max("_begin").alias("_last_begin"),
+        F.least(F.min("_begin"), F.min("_close")).alias("_inner"),
     )
     scan = Window.partitionBy(key).orderBy(chunk)
+    back = Window.partitionBy(key).orderBy(F.desc(chunk))
     head_starts = F.col("_head_opens") | F.coalesce(F.lag("_tail_closes").over(scan), F.lit(True))
+    before = scan.rowsBetween(Window.unboundedPreceding, -1)
+    after = back.rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         per_chunk.withColumn("_head", F.when(head_starts, F.col("_first")))
-        .withColumn("_out", F.coalesce("_last_start", "_head"))
-        .withColumn(
-            "_in",
-            F.last("_out", ignorenulls=True).over(scan.rowsBetween(Window.unboundedPreceding, -1)),
+        .withColumns(
+            {"_out": F.coalesce("_last_begin", "_head"), "_boundary": F.coalesce("_head", "_inner")}
+        )
+        .select(
+            key,
+            chunk,
+            F.coalesce("_head", F.last("_out", ignorenulls=True).over(before)).alias("_from"),
+            F.last("_boundary", ignorenulls=True).over(after).alias("_to"),
         )
-        .select(key, chunk, F.coalesce("_head", "_in").alias("_carry"))
     )
     return (
         marked.join(carried, [key, chunk])
-        .withColumn(name, F.coalesce("_local", "_carry"))
-        .drop("_opens", "_closes", "_local", "_carry")
+        .withColumns({"_run": F.coalesce("_local", "_from"), "_run_end": F.coalesce("_until", "_to")})
+        .drop("_opens", "_closes", "_begin", "_close", "_local", "_until", "_from", "_to")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime
 from decimal import Decimal
 
@@ -17,7 +18,7 @@ from meterlight.functions.timeops import (
     micros,
     millis_between,
 )
-from meterlight.operators.ordered import neighbour, run_start
+from meterlight.operators.ordered import neighbour, run_bounds
 from meterlight.operators.slicing import COMPLETE, DAILY, clip_to_grid
 
 # The four events that bound sessions, in the order that breaks equal times.
@@ -29,11 +30,6 @@ EVENT_CODES = (
 )
 ID_SHIFT = Decimal(2**64)  # the warehouse id sits above a 64-bit millisecond clock
 
-COLUMNS = (
-    "filterts", "warehouse_id", "warehouse_name", "cluster_number", "session_type", "session_id",
-    "session_start", "session_end", "duration_ms", "incomplete", "pending", "settled_at",
-)
-
 
 def key_events(events: DataFrame, tie: str | None = None) -> DataFrame:
     """Rows of the four bounding events with their code; the rest is noise.
@@ -60,29 +56,13 @@ def key_events(events: DataFrame, tie: str | None = None) -> DataFrame:
     )
 
 
-def sessions(
-    events: DataFrame, as_of: datetime | str, tie: str | None = None, chunk: str = "hour"
-) -> DataFrame:
-    """Warehouse (WH) and cluster (CL) sessions.
-
-    1. Per warehouse, ordered by time and event, a run starts at a warehouse resume, after a
-       warehouse suspend, or at the first event; it names the session.
-    2. Per session type, session and cluster, a start is closed by the event right after it
-       if that is a stop; stops without a start vanish.
-    3. A start without a stop ends at the next midnight, or at ``as_of`` before that, and is
-       ``incomplete`` while midnight lies ahead.
-
-    ``pending`` marks sessions that a later event may still change, and ``settled_at`` is the
-    instant of the event that settled the others; the incremental refresh needs both.
-    ``tie`` names a column that orders events with equal time and kind. ``chunk`` bounds how
-    much of one warehouse a task sees.
-    """
-    now = F.lit(literal_micros(as_of)).cast("bigint")
-    rows = key_events(events, tie).withColumn("_chunk", floor_micros(F.col("_us"), chunk))
-    rows = run_start(
-        rows,
+def _resolve(rows: DataFrame, chunk: str) -> DataFrame:
+    """Adds run bounds, session type, ``_stop`` and ``_near``, the next event of the group."""
+    order = ["_us", "_event", "_tie"]
+    rows = run_bounds(
+        rows.withColumn("_chunk", floor_micros(F.col("_us"), chunk)),
         "warehouse_id",
-        ["_us", "_event", "_tie"],
+        order,
         "_us",
         opens=F.col("_event") == 1,
         closes=F.col("_event") == 4,
@@ -93,20 +73,22 @@ def sessions(
             "_stop": F.col("_event").isin(3, 4),
         }
     )
-    rows = neighbour(
-        rows,
-        ["warehouse_id", "session_type", "_run", "warehouse_name", "cluster_number"],
-        ["_us", "_event", "_tie"],
-        ["_us", "_stop"],
-        step=1,
-    ).filter(~F.col("_stop"))
-
-    midnight = floor_micros(F.col("_us"), "day") + F.lit(GRID_MICROS["day"]).cast("bigint")
+    group = ["warehouse_id", "session_type", "_run", "warehouse_name", "cluster_number"]
+    return neighbour(rows, group, order, ["_us", "_stop"], step=1)
+
+
+def _midnight(us):
+    return floor_micros(us, "day") + F.lit(GRID_MICROS["day"]).cast("bigint")
+
+
+def _emit(rows: DataFrame, as_of_us: int) -> DataFrame:
+    """Session rows from the start events of resolved rows."""
+    now, us = F.lit(as_of_us).cast("bigint"), F.col("_us")
     stopped = F.coalesce(F.col("_near._stop"), F.lit(False))
-    end = F.when(stopped, F.col("_near._us")).otherwise(F.least(now, midnight))
+    end = F.when(stopped, F.col("_near._us")).otherwise(F.least(now, _midnight(us)))
     shifted = F.col("warehouse_id").cast("decimal(19,0)") * F.lit(ID_SHIFT)
-    return rows.select(
-        from_micros("_us").alias("filterts"),
+    return rows.filter(~F.col("_stop")).select(
+        from_micros(us).alias("filterts"),
         "warehouse_id",
         "warehouse_name",
         "cluster_number",
@@ -114,13 +96,80 @@ def sessions(
         (shifted + F.unix_millis(F.timestamp_micros("_run")).cast("decimal(19,0)"))
         .cast("decimal(38,0)")
         .alias("session_id"),
-        from_micros("_us").alias("session_start"),
+        from_micros(us).alias("session_start"),
         from_micros(end).alias("session_end"),
-        millis_between(F.col("_us"), end).alias("duration_ms"),
-        (~stopped & (now < midnight)).alias("incomplete"),
-        F.col("_near").isNull().alias("pending"),
-        from_micros("_near._us").alias("settled_at"),
+        millis_between(us, end).alias("duration_ms"),
+        (~stopped & (now < _midnight(us))).alias("incomplete"),
+        (F.col("_near").isNull() & F.col("_run_end").isNull()).alias("pending"),
+    )
+
+
+def sessions(
+    events: DataFrame, as_of: datetime | str, tie: str | None = None, chunk: str = "hour"
+) -> DataFrame:
+    """Warehouse (WH) and cluster (CL) sessions.
+
+    1. Per warehouse, ordered by time and event, a run starts at a warehouse resume, after a
+       warehouse suspend, or at the first event; it names the session.
+    2. Per session type, session and cluster, a start is closed by the event right after it
+       if that is a stop; stops without a start vanish.
+    3. A start without a stop ends at the next midnight, or at ``as_of`` before that, and is
+       ``incomplete`` while midnight lies ahead.
+
+    ``pending`` marks sessions that a later event may still change: no event followed in
+    their group and their run is not over. ``tie`` names a column that orders events of equal
+    time and kind. ``chunk`` bounds how much of one warehouse a task sees.
+    """
+    return _emit(_resolve(key_events(events, tie), chunk), literal_micros(as_of))
+
+
+@dataclass(frozen=True)
+class SessionRefresh:
+    """``closed`` is final; ``open`` and ``carry`` replace what the refresh before returned."""
+
+    closed: DataFrame
+    open: DataFrame
+    carry: DataFrame
+
+
+def refresh_sessions(
+    events: DataFrame,
+    as_of: datetime | str,
+    open_rows: DataFrame | None = None,
+    carry: DataFrame | None = None,
+    tie: str | None = None,
+    chunk: str = "hour",
+) -> SessionRefresh:
+    """Sessions after ``events``, all later than those of earlier refreshes.
+
+    Instead of the whole log only ``carry`` is read again: of each run that is not over, the
+    first event and the last of each group, which is all that later events can depend on. A
+    session is final once no event can change it and its midnight, if it needs one, has
+    passed; closed and open rows together always equal ``sessions`` over the whole log.
+    """
+    now = literal_micros(as_of)
+    fresh = key_events(events, tie).withColumn("_done", F.lit(False))
+    rows = _resolve(fresh if carry is None else carry.unionByName(fresh), chunk)
+    found = _emit(rows.filter(~F.col("_done")), now)
+    if open_rows is not None:
+        # Settled by their neighbours, these only waited for midnight.
+        us = micros("session_start")
+        end = F.least(F.lit(now).cast("bigint"), _midnight(us))
+        waiting = open_rows.filter(~F.col("pending")).withColumns(
+            {
+                "session_end": from_micros(end),
+                "duration_ms": millis_between(us, end),
+                "incomplete": F.lit(now).cast("bigint") < _midnight(us),
+            }
+        )
+        found = found.unionByName(waiting)
+    is_open = F.col("pending") | F.col("incomplete")
+    needed = F.col("_near").isNull() | (F.col("_us") == F.col("_run"))
+    next_carry = rows.filter(F.col("_run_end").isNull() & needed).select(
+        "_us", "warehouse_id", "warehouse_name", "cluster_number", "_event", "_tie",
+        (F.col("_done") | F.col("_near").isNotNull()).alias("_done"),
     )
+    return SessionRefresh(found.filter(~is_open), found.filter(is_open), next_carry)
 
 
 def session_slices(session_rows: DataFrame) -> DataFrame:

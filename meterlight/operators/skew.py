@@ -1,0 +1,36 @@
+"""Lookup of per-key values for rows whose keys may be very uneven."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def lookup(
+    rows: DataFrame, table: DataFrame, key: str, weight: str, spread: str, heavy: int = 1000
+) -> DataFrame:
+    """Left join of ``rows`` with a table that has one row per ``key``.
+
+    The ``heavy`` keys with the largest ``weight`` are looked up by a broadcast of that many
+    rows, whatever the size of the table. All other rows are joined by key as usual. Rows
+    already answered, and rows without a key, are spread over the shuffle by the hash of
+    column ``spread``, so no key and no NULL piles up in one task. The result is exact for
+    any choice of ``heavy``.
+    """
+    values = [c for c in table.columns if c != key]
+    packed = table.select(
+        F.col(key).alias("_key"), F.struct(*values).alias("_value"), F.col(weight).alias("_weight")
+    )
+    top = packed.orderBy(F.desc("_weight"), "_key").limit(heavy)
+    top = top.select(F.col("_key").alias("_top"), F.col("_value").alias("_hot"))
+    first = rows.join(F.broadcast(top), F.col(key) == F.col("_top"), "left").drop("_top")
+    open_key = F.when(
+        F.col("_hot").isNull() & F.col(key).isNotNull(), F.concat(F.lit("k"), F.col(key).cast("string"))
+    ).otherwise(F.concat(F.lit("s"), F.xxhash64(spread).cast("string")))
+    rest = packed.select(
+        F.concat(F.lit("k"), F.col("_key").cast("string")).alias("_open"), F.col("_value").alias("_cold")
+    )
+    joined = first.withColumn("_open", open_key).join(rest, "_open", "left")
+    return joined.withColumn("_value", F.coalesce("_hot", "_cold")).select(
+        *rows.columns, *[F.col(f"_value.{v}").alias(v) for v in values]
+    )

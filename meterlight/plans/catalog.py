@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from meterlight.plans import history, usage
+from meterlight.plans import history, reports, usage
 from meterlight.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "history", "usage"]
+__all__ = ["ORACLES", "QUERIES", "history", "reports", "usage"]

@@ -180,9 +180,11 @@ def utilization(grain: str, slices: str, serverless: bool, name: str = "ut") ->
 
 
 UTIL_DAY = utilization("day", "ed", True)
+# Sums of metered credits are decimal, so that they do not depend on the order of the rows.
+LOADED = "CAST(sum(CAST(loaded_cc AS DECIMAL(28,9))) AS DOUBLE)"
 RATIO = (
-    "CASE WHEN sum(loaded_cc) <> 0 THEN (CAST(sum(free_units) AS DOUBLE) / CAST(720000000 AS DOUBLE)"
-    " + sum(capped_cc)) / sum(loaded_cc) END"
+    f"CASE WHEN {LOADED} <> 0 THEN (CAST(sum(free_units) AS DOUBLE) / CAST(720000000 AS DOUBLE)"
+    f" + CAST(sum(CAST(capped_cc AS DECIMAL(28,9))) AS DOUBLE)) / {LOADED} END"
 )
 
 LOAD = """

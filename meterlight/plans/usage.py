@@ -218,7 +218,7 @@ SLICE_SQL = o.with_(o.EVENTS, o.SESSIONS, o.SESSION_SLICES)
   epoch_us(session_end) // 1000 - epoch_us(session_start) // 1000 AS duration_ms, incomplete FROM ses""",
 )
 def sessions(spark, d):
-    return id_text(session_rows(spark, d)).drop("pending", "settled_at")
+    return id_text(session_rows(spark, d)).drop("pending")
 
 
 @register(
@@ -315,7 +315,7 @@ def report_utilization_30d(spark, d):
 @register(
     "warehouse_summary",
     o.with_(o.QH, o.SLICES, o.DAILY, o.METERING, o.SERVERLESS, o.UTIL_DAY, o.SCHEDULES, o.WAREHOUSES)
-    + f""", sp AS (SELECT warehouse_name, sum(loaded_cc) AS loaded, {o.RATIO} AS utilization FROM ut
+    + f""", sp AS (SELECT warehouse_name, {o.LOADED} AS loaded, {o.RATIO} AS utilization FROM ut
   WHERE CAST(period AS DATE) BETWEEN DATE '1999-01-01' AND DATE '2000-12-31' GROUP BY ALL),
 pl AS (SELECT name, bool_or(enabled) AS enabled, max(scale_max) > 1 AS autoscale,
   CASE WHEN count(DISTINCT size) = 1 THEN min(size) ELSE 'variable' END AS size FROM sc GROUP BY ALL)
