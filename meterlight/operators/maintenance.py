@@ -146,12 +146,15 @@ def schema_diff(spark: SparkSession, view: StructType, table: StructType) -> Dat
 
 
 def migrate(table: DataFrame, view: StructType) -> DataFrame:
-    """Table rows in the schema of the view; changed columns start empty, as after the ALTERs."""
-    drop, add = schema_changes(view, table.schema)
-    renew = {c.lower() for c in drop} | {c.lower() for c in add}
+    """Table rows in the schema of the view.
+
+    Columns of equal name and type keep their values wherever they stood; columns that are
+    new or changed type start empty.
+    """
+    have = {f.name.lower(): f.dataType for f in table.schema.fields}
     return table.select(
         *[
-            (F.lit(None) if f.name.lower() in renew else F.col(f.name)).cast(f.dataType).alias(f.name)
+            (F.col(f.name) if have.get(f.name.lower()) == f.dataType else F.lit(None).cast(f.dataType)).alias(f.name)
             for f in view.fields
         ]
     )

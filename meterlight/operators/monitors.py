@@ -183,9 +183,9 @@ def duplicate_destinations(df: DataFrame, column: str, method: str) -> DataFrame
 
     Email addresses are compared without case.
     """
-    parts = F.transform(F.split(F.col(column), ","), F.trim)
+    parts = F.transform(F.split(F.col(column), ","), lambda x: F.trim(x))
     if method.lower() == "email":
-        parts = F.transform(parts, F.lower)
+        parts = F.transform(parts, lambda x: F.lower(x))
     return (
         df.withColumn("_parts", parts)
         .withColumn(

@@ -76,9 +76,10 @@ def schedule_gaps(schedules: DataFrame) -> DataFrame:
         F.when(~on_grid("start_at") | ~on_grid("finish_at"), F.lit("not on a quarter hour")),
         F.when(F.count(F.lit(1)).over(whole) > MAX_SLOTS, F.lit("too many slots")),
     ]
-    return schedules.select(
-        "name", "weekday", "id_val", "start_at", F.explode(F.array_compact(F.array(*checks))).alias("problem")
+    checked = schedules.select(
+        "name", "weekday", "id_val", "start_at", F.array_compact(F.array(*checks)).alias("_problems")
     )
+    return checked.withColumn("problem", F.explode("_problems")).drop("_problems")
 
 
 def usage_by_slot(slices: DataFrame, schedules: DataFrame, tz: str) -> DataFrame:
