@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlight.functions.timeops import GRID_MICROS, from_micros, literal_micros, literal_ts
@@ -23,39 +23,50 @@ def recent(queries: DataFrame, as_of: datetime | str) -> DataFrame:
     return queries.filter((F.col("end_time") >= start) & (F.col("end_time") <= literal_ts(as_of)))
 
 
-def hourly_usage(queries: DataFrame, as_of: datetime | str) -> DataFrame:
-    """Credits per user and per role, day and hour of the end of the query.
+def persona_rows(queries: DataFrame) -> DataFrame:
+    """Two rows per query, one for its user and one for its role, with their work.
 
-    Elapsed time at the size rate plus cloud service credits; serverless pools and running
-    queries left out, negative times count as 0. Users and roles come from one scan: every
-    row is stacked twice and summed before the shuffle. Both sums are exact.
+    Work is elapsed milliseconds times the size rate, a whole number; cloud credits are
+    decimal. Serverless pools are left out and negative times count as 0.
     """
     rate = F.coalesce(credits_per_hour("warehouse_size"), F.lit(0).cast("bigint"))
     elapsed = F.when(
         F.col("total_elapsed_time").isNotNull(), F.greatest(F.lit(0), F.col("total_elapsed_time"))
     )
-    rows = queries.filter(
-        ~is_serverless_name("warehouse_name") & (F.col("start_time") <= F.col("end_time"))
-    ).select(
-        F.to_date("end_time").alias("day"),
-        F.hour("end_time").alias("hour_of_day"),
-        (elapsed * rate).alias("_work"),
-        F.col("credits_used_cloud_services").cast("decimal(18,9)").alias("_cloud"),
-        F.explode(
-            F.array(
-                F.struct(F.lit("user").alias("persona"), F.col("user_name").alias("name")),
-                F.struct(F.lit("role").alias("persona"), F.col("role_name").alias("name")),
-            )
-        ).alias("_who"),
-    )
-    return rows.groupBy("day", "hour_of_day", "_who.name", "_who.persona").agg(
-        (
-            F.sum("_work").cast("double") / F.lit(3_600_000.0) + F.sum("_cloud").cast("double")
-        ).alias("credits_used"),
-        literal_ts(as_of).alias("last_updated"),
+    return (
+        queries.filter(~is_serverless_name("warehouse_name"))
+        .select(
+            "end_time",
+            (elapsed * rate).alias("_work"),
+            F.col("credits_used_cloud_services").cast("decimal(18,9)").alias("_cloud"),
+            F.explode(
+                F.array(
+                    F.struct(F.lit("user").alias("persona"), F.col("user_name").alias("name")),
+                    F.struct(F.lit("role").alias("persona"), F.col("role_name").alias("name")),
+                )
+            ).alias("_who"),
+        )
+        .select("end_time", "_work", "_cloud", "_who.name", "_who.persona")
     )
 
 
+def credits_used() -> Column:
+    """Aggregate over ``persona_rows``: both sums are exact."""
+    return F.sum("_work").cast("double") / F.lit(3_600_000.0) + F.sum("_cloud").cast("double")
+
+
+def hourly_usage(queries: DataFrame, as_of: datetime | str) -> DataFrame:
+    """Credits per user and per role, day and hour of the end of each finished query.
+
+    Users and roles come from one scan: every row is stacked twice and summed before the
+    shuffle.
+    """
+    rows = persona_rows(queries.filter(F.col("start_time") <= F.col("end_time")))
+    return rows.groupBy(
+        F.to_date("end_time").alias("day"), F.hour("end_time").alias("hour_of_day"), "name", "persona"
+    ).agg(credits_used().alias("credits_used"), literal_ts(as_of).alias("last_updated"))
+
+
 def day_totals(hourly: DataFrame, day: date | str) -> DataFrame:
     """Credits of one day per kind (users, roles) and name."""
     kind = F.when(F.col("persona") == "user", F.lit("users")).otherwise(F.lit("roles"))

@@ -125,11 +125,15 @@ def sessions(
 
 @dataclass(frozen=True)
 class SessionRefresh:
-    """``closed`` is final; ``open`` and ``carry`` replace what the refresh before returned."""
+    """``closed`` is final; ``open`` and ``carry`` replace what the refresh before returned.
+
+    All three derive from ``rows``; persist that while writing them, and the work is done once.
+    """
 
     closed: DataFrame
     open: DataFrame
     carry: DataFrame
+    rows: DataFrame
 
 
 def refresh_sessions(
@@ -169,7 +173,7 @@ def refresh_sessions(
         "_us", "warehouse_id", "warehouse_name", "cluster_number", "_event", "_tie",
         (F.col("_done") | F.col("_near").isNotNull()).alias("_done"),
     )
-    return SessionRefresh(found.filter(~is_open), found.filter(is_open), next_carry)
+    return SessionRefresh(found.filter(~is_open), found.filter(is_open), next_carry, rows)
 
 
 def session_slices(session_rows: DataFrame) -> DataFrame:

@@ -295,9 +295,11 @@ def incr_refresh_sessions(spark, d):
     for i, at in enumerate(steps):
         part = events.filter(f"timestamp >= TIMESTAMP_NTZ'{low}' AND timestamp < TIMESTAMP_NTZ'{at}'")
         step = ses.refresh_sessions(part, at, open_rows, carry, tie="event_id")
+        step.rows.persist()
         step.closed.write.mode("append").parquet(f"{path}/closed")
         step.open.write.parquet(f"{path}/open{i}")
         step.carry.write.parquet(f"{path}/carry{i}")
+        step.rows.unpersist()
         open_rows = spark.read.parquet(f"{path}/open{i}")
         carry = spark.read.parquet(f"{path}/carry{i}")
         low = at
