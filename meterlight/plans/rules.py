@@ -322,7 +322,7 @@ def render_message(spark, d):
     """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'a' || c_custkey || '@x.org' WHEN 2 THEN '' ELSE 'b@x.org' END AS duplicates FROM customer""",
 )
 def dup_destinations(spark, d):
-    rows = spark.read.parquet(f"{d}/customer.parquet").selectExpr(
+    rows = adapters.table(spark, d, "customer").selectExpr(
         "c_custkey",
         "CASE c_custkey % 4 WHEN 0 THEN 'a@x.org, b@x.org' WHEN 1 THEN concat('A', c_custkey, '@x.org,b@x.org ,a', c_custkey, '@x.org')"
         " WHEN 2 THEN 'single@x.org' ELSE ' b@x.org,c@x.org,B@X.ORG' END AS notify_other",

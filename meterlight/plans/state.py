@@ -117,7 +117,7 @@ def usage_by_schedule_slot(spark, d):
   'alter ' || o_orderkey || ';alter x' AS statements FROM orders""",
 )
 def schedule_task_history(spark, d):
-    log = spark.read.parquet(f"{d}/orders.parquet").selectExpr(
+    log = adapters.table(spark, d, "orders").selectExpr(
         "o_orderdate AS run", "o_orderkey % 4 <> 0 AS success",
         "concat('{\"statements\":[\"alter ', o_orderkey, '\",\"alter x\"],\"opscenter timezone\":\"UTC\",\"warehouses_updated\":', o_orderkey % 3, '}') AS output",
     )
@@ -199,7 +199,7 @@ def schema_diff(spark, d):
     The date keeps its position by chance, so it is not dropped; after the drop it no longer
     does, so it is to be added again.
     """
-    orders = spark.read.parquet(f"{d}/orders.parquet")
+    orders = adapters.table(spark, d, "orders")
     old = orders.select(*_moved(orders.schema).fieldNames())
     moved = mt.migrate(old, orders.schema)
     diff = mt.schema_diff(spark, orders.schema, old.schema)
@@ -213,7 +213,7 @@ def schema_diff(spark, d):
   (1, 'c_custkey', 'bigint'), (2, 'c_name', 'string'), (3, 'c_nationkey', 'int'), (4, 'c_acctbal', 'double'), (5, 'c_mktsegment', 'string')) AS t(pos, name, type)""",
 )
 def schema_column_list(spark, d):
-    customer = spark.read.parquet(f"{d}/customer.parquet")
+    customer = adapters.table(spark, d, "customer")
     listed = ", ".join(f"{f.name}:{f.dataType.simpleString()}" for f in customer.schema.fields)
     return customer.agg(F.count(F.lit(1)).alias("records")).select(F.lit(listed).alias("columns"), "records")
 

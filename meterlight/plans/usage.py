@@ -114,7 +114,7 @@ def src_serverless_tasks(spark, d):
   p_size % 7 * 1000 AS time_travel_bytes, CAST(NULL AS BIGINT) AS clone_group_id, p_partkey % 10 = 0 AS deleted FROM part""",
 )
 def src_storage_metrics(spark, d):
-    raw = spark.read.parquet(f"{d}/part.parquet").selectExpr(
+    raw = adapters.table(spark, d, "part").selectExpr(
         "p_partkey AS id", "concat('table_', p_partkey) AS table_name",
         "p_size * 1000000 AS active_bytes", "p_size % 7 * 1000 AS time_travel_bytes",
         "p_partkey % 10 = 0 AS deleted",

@@ -9,17 +9,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterlight.sources.readers import read
+
 SIZES = "array('X-Small','Small','Medium','Large','X-Large','2X-Large','3X-Large','4X-Large','5X-Large','6X-Large')"
 TYPES = "array('SELECT','INSERT','CREATE_TABLE_AS_SELECT','MERGE','EXECUTE_STREAMLIT')"
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Columns of the test tables; naming them saves a look into the files.
+TABLES = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+    " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+    " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "part": "p_partkey bigint, p_size int",
+}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return read(spark, f"{sf_dir}/{name}.parquet", TABLES[name])
 
 
 def query_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One query per order."""
-    base = _table(spark, sf_dir, "orders").selectExpr(
+    base = table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS k",
         "o_custkey AS c",
         "o_orderstatus AS s",
@@ -96,7 +111,7 @@ def query_history_at(queries: DataFrame, at: str) -> DataFrame:
 
 def warehouse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One start or stop event per event; every user is a warehouse with two clusters."""
-    return _table(spark, sf_dir, "events").selectExpr(
+    return table(spark, sf_dir, "events").selectExpr(
         "ts AS timestamp",
         "user_id AS warehouse_id",
         "concat('WH_', user_id) AS warehouse_name",
@@ -116,7 +131,7 @@ def warehouse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One metered hour per line item of a warehouse; use it for sums only."""
-    return _table(spark, sf_dir, "lineitem").selectExpr(
+    return table(spark, sf_dir, "lineitem").selectExpr(
         "l_shipdate + make_dt_interval(0, l_linenumber) AS start_time",
         "l_shipdate + make_dt_interval(0, l_linenumber + 1) AS end_time",
         "l_suppkey % 12 AS warehouse_id",
@@ -146,7 +161,7 @@ def serverless_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One user per customer; the first forty also run queries."""
-    return _table(spark, sf_dir, "customer").selectExpr(
+    return table(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS user_id",
         "concat('user_', c_custkey) AS name",
         "TIMESTAMP_NTZ'1995-01-01 00:00:00' + make_dt_interval(cast(c_custkey % 1000 AS int)) AS created_on",
@@ -160,7 +175,7 @@ def load_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = 300_000_000
     us = "unix_micros(cast(ts AS timestamp))"
     return (
-        _table(spark, sf_dir, "events")
+        table(spark, sf_dir, "events")
         .selectExpr(
             f"{us} - pmod({us}, {grid}) AS b", "user_id % 50 AS warehouse_id", "event_type"
         )
@@ -188,7 +203,7 @@ def schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Every seventh warehouse has a gap in the morning, every eleventh is disabled.
     """
-    base = _table(spark, sf_dir, "customer").selectExpr(
+    base = table(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS k", "c_custkey div 4 AS w", "c_custkey % 4 AS slot",
         "cast(28800 + (c_custkey div 4) % 4 * 900 AS int) AS morning",
     )
@@ -212,7 +227,7 @@ def schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def warehouses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current settings of each warehouse: one row per fourth customer."""
-    return _table(spark, sf_dir, "customer").filter("c_custkey % 4 = 0").selectExpr(
+    return table(spark, sf_dir, "customer").filter("c_custkey % 4 = 0").selectExpr(
         "concat('WH_', c_custkey div 4) AS warehouse_name",
         f"{SIZES}[cast((c_custkey div 4) % 10 AS int)] AS warehouse_size",
         "CASE WHEN c_custkey % 3 = 0 THEN 'SNOWPARK-OPTIMIZED' ELSE 'STANDARD' END AS warehouse_type",
@@ -227,7 +242,7 @@ def warehouses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def task_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run log of the maintenance tasks: every third order is a run, some never finished."""
     return (
-        _table(spark, sf_dir, "orders")
+        table(spark, sf_dir, "orders")
         .filter("o_orderkey % 3 = 0")
         .selectExpr(
             "o_orderkey AS k",
@@ -265,7 +280,7 @@ def probe_actions(queries: DataFrame) -> DataFrame:
 
 def proxy_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw proxy records with epoch microseconds and a JSON action record."""
-    return _table(spark, sf_dir, "orders").selectExpr(
+    return table(spark, sf_dir, "orders").selectExpr(
         "concat('q', o_orderkey) AS query_id",
         "concat('p', o_orderkey) AS proxy_query_id",
         "concat('user_', o_custkey % 40) AS user_name",
@@ -291,7 +306,7 @@ def regions(spark: SparkSession) -> DataFrame:
 
 def rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label rows with repeats: three customers share each name, some are grouped or dynamic."""
-    return _table(spark, sf_dir, "customer").selectExpr(
+    return table(spark, sf_dir, "customer").selectExpr(
         "CASE WHEN c_custkey % 10 = 9 THEN NULL ELSE concat('label_', c_custkey div 3) END AS name",
         "CASE WHEN c_custkey % 10 = 9 THEN concat('dyn_', c_custkey div 20)"
         " WHEN (c_custkey div 3) % 4 = 1 THEN concat('group_', (c_custkey div 3) % 6) END AS group_name",
