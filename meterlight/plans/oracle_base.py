@@ -204,8 +204,8 @@ us AS (SELECT c_custkey AS user_id, 'user_' || c_custkey AS name,
 SCHEDULES = f"""
 sb AS (SELECT c_custkey k, c_custkey // 4 w, c_custkey % 4 slot, 28800 + (c_custkey // 4) % 4 * 900 morning FROM customer),
 sc AS (SELECT 's' || k AS id_val, 'WH_' || w AS name,
-  CASE slot WHEN 1 THEN morning WHEN 2 THEN 61200 ELSE 0 END AS start_at,
-  CASE slot WHEN 0 THEN CASE WHEN w % 7 = 0 THEN morning - 900 ELSE morning END WHEN 1 THEN 61200 ELSE 86340 END AS finish_at,
+  CAST(CASE slot WHEN 1 THEN morning WHEN 2 THEN 61200 ELSE 0 END AS INTEGER) AS start_at,
+  CAST(CASE slot WHEN 0 THEN CASE WHEN w % 7 = 0 THEN morning - 900 ELSE morning END WHEN 1 THEN 61200 ELSE 86340 END AS INTEGER) AS finish_at,
   ({SIZE_LIST})[(w + slot) % 10 + 1] AS size, 1 + (w + slot) % 5 AS suspend_minutes, w % 2 = 0 AS resume,
   CASE WHEN w % 3 = 0 THEN 0 ELSE 1 END AS scale_min, CASE WHEN w % 3 = 0 THEN 0 ELSE 1 + (w + slot) % 3 END AS scale_max,
   CASE (w + slot) % 3 WHEN 0 THEN 'Standard' WHEN 1 THEN 'Economy' ELSE 'Inherit' END AS warehouse_mode,

@@ -154,7 +154,7 @@ def topn_other(spark, d):
 HEAT = (
     u.DAY_SQL
     + f""", a AS (SELECT date_trunc('day', period) AS d, {o.RATIO} AS u FROM ut GROUP BY ALL),
-w AS (SELECT CAST(x AS TIMESTAMP) AS period, isoyear(x) AS year, week(x) AS week, dayname(x) AS weekday, round(u * 100, 1) AS utilization
+w AS (SELECT CAST(x AS TIMESTAMP) AS period, CAST(isoyear(x) AS INTEGER) AS year, CAST(week(x) AS INTEGER) AS week, dayname(x) AS weekday, round(u * 100, 1) AS utilization
   FROM (SELECT unnest(generate_series(TIMESTAMP '1999-12-27', TIMESTAMP '2001-01-07', INTERVAL 1 DAY)) AS x) LEFT JOIN a ON x = d)"""
 )
 
@@ -321,7 +321,7 @@ def friendly_duration_query(spark, d):
 @register(
     "emonth",
     o.with_(o.QH)
-    + "SELECT date_diff('month', DATE '1970-01-01', CAST(start_time AS DATE)) AS emonth, count(*) AS queries FROM qh GROUP BY ALL",
+    + "SELECT CAST(date_diff('month', DATE '1970-01-01', CAST(start_time AS DATE)) AS INTEGER) AS emonth, count(*) AS queries FROM qh GROUP BY ALL",
 )
 def emonth_query(spark, d):
     q = adapters.query_history(spark, d)
@@ -331,9 +331,9 @@ def emonth_query(spark, d):
 @register(
     "period_range",
     o.with_(o.QH)
-    + """SELECT query_id, greatest(date_diff('day', start_time, end_time), 0) + 1 AS days, greatest(date_diff('hour', start_time, end_time), 0) + 1 AS hours,
-  greatest(date_diff('minute', start_time, end_time), 0) + 1 AS minutes, greatest(date_diff('day', start_time, end_time) + 1, 0) + 1 AS days_plus,
-  greatest(k % 7 - 2, 0) AS indexes FROM qh""",
+    + """SELECT query_id, CAST(greatest(date_diff('day', start_time, end_time), 0) + 1 AS INTEGER) AS days, CAST(greatest(date_diff('hour', start_time, end_time), 0) + 1 AS INTEGER) AS hours,
+  CAST(greatest(date_diff('minute', start_time, end_time), 0) + 1 AS INTEGER) AS minutes, CAST(greatest(date_diff('day', start_time, end_time) + 1, 0) + 1 AS INTEGER) AS days_plus,
+  CAST(greatest(k % 7 - 2, 0) AS INTEGER) AS indexes FROM qh""",
 )
 def period_range_query(spark, d):
     q = adapters.query_history(spark, d).withColumn("k", F.substring("query_id", 2, 20).cast("bigint"))

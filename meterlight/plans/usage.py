@@ -110,13 +110,13 @@ def src_serverless_tasks(spark, d):
 
 @register(
     "src_storage_metrics",
-    """SELECT p_partkey AS id, 'table_' || p_partkey AS table_name, p_size * 1000000 AS active_bytes,
-  p_size % 7 * 1000 AS time_travel_bytes, CAST(NULL AS BIGINT) AS clone_group_id, p_partkey % 10 = 0 AS deleted FROM part""",
+    """SELECT p_partkey AS id, 'table_' || p_partkey AS table_name, CAST(p_size AS BIGINT) * 1000000 AS active_bytes,
+  CAST(p_size AS BIGINT) % 7 * 1000 AS time_travel_bytes, CAST(NULL AS BIGINT) AS clone_group_id, p_partkey % 10 = 0 AS deleted FROM part""",
 )
 def src_storage_metrics(spark, d):
     raw = adapters.table(spark, d, "part").selectExpr(
         "p_partkey AS id", "concat('table_', p_partkey) AS table_name",
-        "p_size * 1000000 AS active_bytes", "p_size % 7 * 1000 AS time_travel_bytes",
+        "cast(p_size AS bigint) * 1000000 AS active_bytes", "p_size % 7 * 1000 AS time_travel_bytes",
         "p_partkey % 10 = 0 AS deleted",
     )
     return readers.conform(raw, schemas.STORAGE_METRICS).select(
