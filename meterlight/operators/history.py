@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meterlight.config import DEFAULT, EngineConfig
 from meterlight.functions.tags import tags_to_map
 from meterlight.functions.text import hash_literals
-from meterlight.functions.timeops import boundaries, literal_micros
+from meterlight.functions.timeops import boundaries, literal_micros, micros, millis_between, trunc
 from meterlight.functions.warehouses import credit_units, row_cost, units_to_credits
 from meterlight.operators.slicing import COMPLETE, DAILY, clip_to_grid
 
@@ -45,32 +45,54 @@ def with_cost(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     )
 
 
-def day_slices(queries: DataFrame, as_of: datetime | str) -> DataFrame:
+def _marked(queries: DataFrame) -> DataFrame:
+    running = F.col("start_time") > F.col("end_time")
+    return queries.withColumns(
+        {
+            "incomplete": F.coalesce(running, F.lit(False)),
+            "filterts": F.col("start_time"),
+            "period_plus": boundaries("day", "start_time", "end_time") + 1,
+        }
+    )
+
+
+def day_slices(queries: DataFrame, as_of: datetime | str, with_complete: bool = True) -> DataFrame:
     """Per query one DAILY row per calendar day touched, and one COMPLETE row.
 
     A running query carries an end before its start. It has one DAILY row, on the day it
     started and cut at ``as_of``, and no COMPLETE row. Slices are true clips: together they
     cover the query exactly once.
     """
-    running = F.col("start_time") > F.col("end_time")
     sliced = clip_to_grid(
-        queries.withColumns(
-            {
-                "incomplete": F.coalesce(running, F.lit(False)),
-                "filterts": F.col("start_time"),
-                "period_plus": boundaries("day", "start_time", "end_time") + 1,
-            }
-        ),
+        _marked(queries),
         "start_time",
         "end_time",
         "day",
-        with_complete=True,
+        with_complete=with_complete,
         open_row=F.col("incomplete"),
         as_of_us=literal_micros(as_of),
     )
+    if not with_complete:
+        sliced = sliced.withColumn("record_type", F.lit(DAILY))
     return with_units(sliced)
 
 
+def complete_rows(queries: DataFrame) -> DataFrame:
+    """The COMPLETE rows of ``day_slices`` alone: one per finished query, nothing is cut."""
+    finished = _marked(queries.filter(F.col("start_time") <= F.col("end_time")))
+    return with_units(
+        finished.withColumns(
+            {
+                "st": F.col("start_time"),
+                "et": F.col("end_time"),
+                "st_period": trunc("day", "start_time"),
+                "duration": millis_between(micros("start_time"), micros("end_time")),
+                "record_type": F.lit(COMPLETE),
+            }
+        )
+    )
+
+
 def _published(slices: DataFrame, record_type: str, cfg: EngineConfig) -> DataFrame:
     rows = with_cost(slices.filter(F.col("record_type") == record_type), cfg)
     extra = {"st_day": F.to_date("st_period")}

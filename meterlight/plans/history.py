@@ -37,11 +37,13 @@ def slices(spark, d):
 
 
 def complete(spark, d):
-    return history.enriched(slices(spark, d))
+    """Enriched history; only finished queries, so nothing is cut into days first."""
+    return history.enriched(history.complete_rows(adapters.query_history(spark, d)))
 
 
 def daily(spark, d):
-    return history.enriched_daily(slices(spark, d))
+    rows = history.day_slices(adapters.query_history(spark, d), AS_OF, with_complete=False)
+    return history.enriched_daily(rows)
 
 
 def hourly(spark, d):

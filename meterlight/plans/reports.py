@@ -98,7 +98,7 @@ def report_recurring_share(spark, d):
 
 def _repeated(by):
     @register(
-        f"report_top_repeated_{by}",
+        "report_top_repeated" if by == "count" else f"report_top_repeated_by_{by}",
         EQ
         + f""", a AS (SELECT query_parameterized_hash, min(query_id) AS query_id, {o.TOTAL_COST} AS cost, count(*) AS count
   FROM eq WHERE {COSTLY} GROUP BY ALL),

@@ -112,6 +112,15 @@ def test_daily_and_hourly_credits_equal_complete(spark):
     assert history.enriched_hourly(complete).agg(F.sum("credit_units")).first()[0] == total
 
 
+def test_complete_rows_are_those_of_the_slices(spark):
+    q = query(spark, D(2024, 1, 1, 22), D(2024, 1, 3, 1)).unionByName(query(spark, D(2024, 1, 1, 22), D(1970, 1, 1)))
+    slices = history.day_slices(q, "2024-02-01 00:00:00").filter("record_type = 'COMPLETE'")
+    alone = history.complete_rows(q).select(*slices.columns)
+    assert alone.collect() == slices.collect() and alone.count() == 1
+    days = history.day_slices(q, "2024-02-01 00:00:00", with_complete=False)
+    assert days.count() == 4 and days.filter("record_type <> 'DAILY'").count() == 0
+
+
 def test_boundaries_and_ranges(spark):
     df = rows(spark, [(D(2024, 1, 1, 0, 59), D(2024, 1, 1, 1, 1)), (D(2024, 1, 2), D(2024, 1, 1))])
     out = df.select(
