@@ -43,6 +43,7 @@ PREDEFINED_PROBES = (
     Probe("Costs 50 Credits", "approx_credits > 50"),
 )
 
+# Wording of the alert emails.
 SUBJECT = "Probe [{probe_name}] matched query."
 EMAIL_BODY = (
     "Query Id: {query_id}\nQuery User: {user_name}\nWarehouse Name: {warehouse_name}\n"

@@ -159,27 +159,32 @@ def top_repeated(
 ) -> DataFrame:
     """The ``n`` hashes with the largest count, cost or cost_per_query, with a sample text.
 
-    Sorted on the numbers, not on their formatted text. Only ids and text lengths go through
-    the aggregate; texts are fetched for the ``n`` winners by a broadcast of their ids.
+    Sorted on the numbers, not on their formatted text; equal numbers by hash. The aggregate
+    over all rows carries numbers only. Ids and texts are looked at again for the ``n``
+    winners, found by a broadcast of their hashes: the text of the smallest query id.
     """
     rows = _costly(labeled, start, end, names)
     cost = total_cost("credit_units", "warehouse_id", cfg)
     top = (
         rows.groupBy("query_parameterized_hash")
         .agg(
-            F.min("query_id").alias("query_id"),
-            F.min_by(F.length("query_text"), "query_id").alias("_length"),
             cost.alias("cost"),
             F.count(F.lit(1)).alias("count"),
+            F.max(F.length("query_text")).alias("_length"),
         )
         .filter(F.col("_length") > 0)
         .withColumn("cost_per_query", F.col("cost") / F.col("count"))
-        .orderBy(F.desc(by), "query_id")
+        .orderBy(F.desc(by), "query_parameterized_hash")
         .limit(n)
         .drop("_length")
     )
-    texts = rows.select("query_id", "query_text")
-    return texts.join(F.broadcast(top), "query_id").select(
+    wanted = rows.filter(F.length("query_text") > 0).join(
+        F.broadcast(top.select("query_parameterized_hash")), "query_parameterized_hash", "left_semi"
+    )
+    samples = wanted.groupBy("query_parameterized_hash").agg(
+        F.min("query_id").alias("query_id"), F.min_by("query_text", "query_id").alias("query_text")
+    )
+    return samples.join(F.broadcast(top), "query_parameterized_hash").select(
         "query_id", "query_text", "query_parameterized_hash", "cost", "count", "cost_per_query"
     )
 

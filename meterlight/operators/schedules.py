@@ -190,12 +190,12 @@ def schedule_statement(schedules: DataFrame) -> DataFrame:
 def schedule_history(log: DataFrame) -> DataFrame:
     """Runs of the schedule task: statements, time zone and count out of the JSON output."""
     output = F.from_json(
-        "output", "`statements` array<string>, `opscenter timezone` string, `warehouses_updated` bigint"
+        "output", "`statements` array<string>, `schedule timezone` string, `warehouses_updated` bigint"
     )
     return log.withColumn("_o", output).select(
         "run",
         "success",
         F.col("_o.statements").alias("statements_executed"),
-        F.col("_o").getField("opscenter timezone").alias("schedule_timezone"),
+        F.col("_o").getField("schedule timezone").alias("schedule_timezone"),
         F.col("_o.warehouses_updated").alias("warehouses_updated"),
     )

@@ -102,7 +102,7 @@ def _repeated(by):
         EQ
         + f""", a AS (SELECT query_parameterized_hash, min(query_id) AS query_id, {o.TOTAL_COST} AS cost, count(*) AS count
   FROM eq WHERE {COSTLY} GROUP BY ALL),
-t AS (SELECT *, cost / count AS cost_per_query FROM a ORDER BY {by} DESC, query_id LIMIT 100)
+t AS (SELECT *, cost / count AS cost_per_query FROM a ORDER BY {by} DESC, query_parameterized_hash LIMIT 100)
 SELECT t.query_id, query_text, t.query_parameterized_hash, t.cost, count, cost_per_query FROM t JOIN qh USING (query_id)""",
     )
     def query(spark, d):

@@ -119,7 +119,7 @@ def usage_by_schedule_slot(spark, d):
 def schedule_task_history(spark, d):
     log = adapters.table(spark, d, "orders").selectExpr(
         "o_orderdate AS run", "o_orderkey % 4 <> 0 AS success",
-        "concat('{\"statements\":[\"alter ', o_orderkey, '\",\"alter x\"],\"opscenter timezone\":\"UTC\",\"warehouses_updated\":', o_orderkey % 3, '}') AS output",
+        "concat('{\"statements\":[\"alter ', o_orderkey, '\",\"alter x\"],\"schedule timezone\":\"UTC\",\"warehouses_updated\":', o_orderkey % 3, '}') AS output",
     )
     out = sch.schedule_history(log)
     return out.withColumn("statements", F.array_join("statements_executed", ";")).drop("statements_executed")
@@ -188,23 +188,22 @@ def _moved(full: StructType) -> StructType:
 
 @register(
     "schema_diff",
-    """SELECT 'drop' AS action, unnest(['o_totalprice', 'o_orderpriority']) AS "column", unnest(['double', 'string']) AS type,
-  CAST(NULL AS INTEGER) AS position, (SELECT count(*) FROM orders) AS records
-UNION ALL SELECT 'add', unnest(['o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']), unnest(['string', 'double', 'timestamp_ntz', 'string']),
-  unnest([3, 4, 5, 6]), (SELECT count(*) FROM orders)""",
+    """SELECT o_orderkey, CAST(NULL AS VARCHAR) AS o_orderstatus, o_totalprice, o_orderdate, o_orderpriority,
+  'o_totalprice,o_orderpriority' AS dropped, 'o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' AS added FROM orders""",
 )
 def schema_diff(spark, d):
-    """Changes that bring an old orders table to today's columns, and the rows they touch.
+    """An old orders table brought to today's columns, and the changes that name the way.
 
     The date keeps its position by chance, so it is not dropped; after the drop it no longer
     does, so it is to be added again.
     """
     orders = adapters.table(spark, d, "orders")
     old = orders.select(*_moved(orders.schema).fieldNames())
-    moved = mt.migrate(old, orders.schema)
-    diff = mt.schema_diff(spark, orders.schema, old.schema)
-    records = moved.agg(F.count(F.lit(1)).alias("records"))
-    return diff.join(F.broadcast(records), F.col("records").isNotNull())
+    drop, add = mt.schema_changes(orders.schema, old.schema)
+    return mt.migrate(old, orders.schema).select(
+        "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority",
+        F.lit(",".join(drop)).alias("dropped"), F.lit(",".join(add)).alias("added"),
+    )
 
 
 @register(
