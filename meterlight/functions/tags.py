@@ -24,26 +24,20 @@ def extract_tags(text: Column | str) -> Column:
 def tags_to_map(tags: Column | str) -> Column:
     """``source -> key -> value``; the last entry of a repeated key wins, NULL stays NULL.
 
-    The list is visited once per key, so pass a column, not an expression that parses text.
+    The list is walked once, so it may be an expression that parses text.
     """
-    tags = to_col(tags)
-
-    def source(t):
-        return F.coalesce(t["SOURCE"], F.lit(UNDEFINED))
-
-    def key(t):
-        return F.coalesce(t["KEY"], F.lit(UNDEFINED))
-
-    def inner(s):
-        own = F.filter(tags, lambda t: source(t) == s)
-        keys = F.array_distinct(F.transform(own, key))
-        values = F.transform(
-            keys, lambda k: F.element_at(F.filter(own, lambda t: key(t) == k), -1)["VALUE"]
-        )
-        return F.map_from_arrays(keys, values)
-
-    sources = F.array_distinct(F.transform(tags, source))
-    return F.when(tags.isNotNull(), F.map_from_arrays(sources, F.transform(sources, inner)))
+    inner_type = "map<string,string>"
+    outer_type = f"map<string,{inner_type}>"
+
+    def put(acc, t):
+        source = F.coalesce(t["SOURCE"], F.lit(UNDEFINED))
+        key = F.coalesce(t["KEY"], F.lit(UNDEFINED))
+        held = F.coalesce(F.try_element_at(acc, source), F.create_map().cast(inner_type))
+        own = F.map_concat(F.map_filter(held, lambda k, _: k != key), F.create_map(key, t["VALUE"]))
+        rest = F.map_filter(acc, lambda k, _: k != source)
+        return F.map_concat(rest, F.create_map(source, own)).cast(outer_type)
+
+    return F.aggregate(to_col(tags), F.create_map().cast(outer_type), put)
 
 
 def tag_value(tag_map: Column | str, source: str, key: str) -> Column:

@@ -211,10 +211,14 @@ def table_usage(spark, d):
     o.with_(o.QH, o.TAGS) + "SELECT query_id, source, key, value FROM tags",
 )
 def qtag_map(spark, d):
-    mapped = adapters.query_history(spark, d).select("query_id", tags_to_map("qtag").alias("m"))
-    return mapped.select("query_id", F.explode("m").alias("source", "inner")).select(
-        "query_id", "source", F.explode("inner").alias("key", "value")
-    )
+    return _tag_rows(adapters.query_history(spark, d).select("query_id", tags_to_map("qtag").alias("m")))
+
+
+def _tag_rows(mapped):
+    """One row per source and key. The outer form keeps the parsing out of pushed filters."""
+    inner = mapped.select("query_id", F.explode_outer("m").alias("source", "inner"))
+    rows = inner.select("query_id", "source", F.explode_outer("inner").alias("key", "value"))
+    return rows.filter(F.col("key").isNotNull())
 
 
 @register(
@@ -224,12 +228,12 @@ def qtag_map(spark, d):
 def qtag_extract(spark, d):
     text = F.concat(
         "query_text",
-        F.when(F.col("qtag").isNotNull(), F.concat(F.lit(" /* "), F.to_json("qtag"), F.lit(" */"))).otherwise(F.lit(" /* [{bad */")),
-    )
-    found = adapters.query_history(spark, d).select("query_id", extract_tags(text).alias("tags"))
-    return found.select("query_id", tags_to_map("tags").alias("m")).select("query_id", F.explode("m").alias("source", "inner")).select(
-        "query_id", "source", F.explode("inner").alias("key", "value")
+        F.when(
+            F.col("qtag").isNotNull(), F.concat(F.lit(" /* "), F.to_json("qtag"), F.lit(" */"))
+        ).otherwise(F.lit(" /* [{bad */")),
     )
+    found = adapters.query_history(spark, d).select("query_id", tags_to_map(extract_tags(text)).alias("m"))
+    return _tag_rows(found)
 
 
 @register(
