@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from meterlight.functions.timeops import to_col
 
-STRING_TOKEN = r"'(?:[^']|'')*'"
+# A literal with a doubled quote is two tokens side by side. No pattern repeats a group over
+# the characters of a literal, so matching needs no stack however long the literal is.
+STRING_TOKEN = r"'[^']*'"
 WORD_TOKEN = r"[A-Za-z_][A-Za-z_0-9$]*"
 NUMBER_TOKEN = r"[0-9]+(?:\.[0-9]+)?"
 TOKENS = rf"({STRING_TOKEN}|{WORD_TOKEN}|{NUMBER_TOKEN}|[^'A-Za-z_0-9]+|')"
@@ -36,7 +38,7 @@ def hash_literals(text: Column | str, include_comments: bool = True) -> Column:
         number = F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % 1_000_000_000
         return (
             F.when((F.length(t) > 1) & t.startswith("'"), F.concat(F.lit("'"), F.md5(inner), F.lit("'")))
-            .when(t.rlike("^[0-9]"), number.cast("string"))
+            .when(F.substring(t, 1, 1).between("0", "9"), number.cast("string"))
             .otherwise(t)
         )
 
@@ -48,6 +50,7 @@ def fingerprint(text: Column | str, include_comments: bool = False) -> Column:
     source = to_col(text) if include_comments else strip_comments(text)
     shape = F.regexp_replace(source, STRING_TOKEN, "?")
     shape = F.regexp_replace(shape, r"\b" + NUMBER_TOKEN + r"\b", "?")
+    shape = F.regexp_replace(shape, r"\?+", "?")
     shape = F.lower(F.trim(F.regexp_replace(shape, r"\s+", " ")))
     return F.md5(shape)
 

@@ -1,7 +1,7 @@
 """Compute sizes, credits and prices.
 
-The size table has ten fixed rows, so it is a ``CASE`` inside the projection: no join, no
-exchange, and it stays in the same code-generated stage as the scan.
+The size table has ten fixed rows, so it is a constant map inside the projection: no join, no
+exchange, and the size is looked at once per row in the stage of the scan.
 """
 
 from __future__ import annotations
@@ -23,12 +23,8 @@ from meterlight.functions.timeops import to_col
 
 def credits_per_hour(size: Column | str) -> Column:
     """Whole credits per hour of a size, NULL when the size is unknown."""
-    size = to_col(size)
-    out = None
-    for name, credits in CREDITS_PER_HOUR.items():
-        cond, value = size == name, F.lit(credits).cast("bigint")
-        out = F.when(cond, value) if out is None else out.when(cond, value)
-    return out
+    entries = [F.lit(x) for pair in CREDITS_PER_HOUR.items() for x in pair]
+    return F.try_element_at(F.create_map(*entries), to_col(size)).cast("bigint")
 
 
 def warehouse_multiplier(size: Column | str, kind: Column | str | None = None) -> Column:

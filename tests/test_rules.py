@@ -172,6 +172,13 @@ def test_text(spark):
     assert rows[2].all == ["D.S.V", "DB0.MAIN.BASE", "DB0.MAIN.C", "DB0.S.U"]
 
 
+def test_very_long_literals(spark):
+    long = "x" * 200_000 + "''" * 50_000
+    df = spark.createDataFrame([(f"select '{long}', 12",), ("select 'a', 7",)], "q string")
+    rows = df.select(text.fingerprint("q").alias("f"), F.length(text.hash_literals("q")).alias("n")).collect()
+    assert rows[0].f == rows[1].f and rows[0].n > 50_000
+
+
 def test_dedupe_keeps_one_of_many(spark):
     rows = [("a", None, "3"), ("a", None, "1"), ("a", None, "2"), ("a", "g", "5"), (None, "g", "7"), (None, "g", "6")]
     df = spark.createDataFrame(rows, "name string, group_name string, label_id string")
