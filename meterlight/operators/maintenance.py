@@ -6,10 +6,14 @@ rewrites only the day partitions that changed.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from meterlight.functions.timeops import boundaries, literal_ts
+
 
 def insert_by_name(target: StructType, df: DataFrame, where: str | None = None) -> DataFrame:
     """Rows of ``df`` that satisfy ``where``, in the columns and types of the target.
@@ -115,6 +119,37 @@ def merge_missing(existing: DataFrame, predefined: DataFrame) -> DataFrame:
     return named.select(*predefined.columns).unionByName(groups.select(*predefined.columns))
 
 
+def initialize_rules(existing: DataFrame, predefined: DataFrame, inited: bool) -> DataFrame | None:
+    """Predefined labels to insert into an empty table, or None if it was ever filled."""
+    if inited or not existing.isEmpty():
+        return None
+    return predefined.withColumns(
+        {"label_modified_at": F.col("label_created_at"), "label_id": F.uuid()}
+    )
+
+
+def upgrade_rules(
+    existing: DataFrame, predefined: DataFrame, as_of: datetime | str, gap_seconds: int
+) -> DataFrame | None:
+    """The label table after an upgrade of the predefined labels, or None if users changed any.
+
+    Unchanged means that names and times of the predefined labels older than the gap are
+    exactly those of the table. Ids and creation times of labels that stay are kept.
+    """
+    age = boundaries("second", "label_created_at", literal_ts(as_of))
+    old = predefined.filter(age > gap_seconds).select(
+        "name", "group_name", F.col("label_created_at").alias("at")
+    )
+    mine = existing.select("name", "group_name", F.col("label_modified_at").alias("at"))
+    if not changed(old, mine, ["name", "group_name", "at"]).isEmpty():
+        return None
+    updates = predefined.withColumns(
+        {"label_modified_at": F.col("label_created_at"), "label_id": F.lit(None).cast("string")}
+    )
+    keep = ["label_id", "label_created_at"]
+    return upsert_two_key(existing, updates, "name", "group_name", keep, "label_id")
+
+
 def _positions(schema: StructType) -> dict[tuple[str, str, int], StructField]:
     return {
         (f.name.lower(), f.dataType.simpleString(), i): f for i, f in enumerate(schema.fields, start=1)

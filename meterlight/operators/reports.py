@@ -84,12 +84,13 @@ def session_gaps(
 
 
 def users_per_warehouse_day(
-    daily: DataFrame, start: str, end: str, names: list[str] | None = None
+    daily: DataFrame, start: str, end: str, names: list[str] | None = None, approximate: bool = False
 ) -> DataFrame:
-    """Distinct users per warehouse and day."""
+    """Distinct users per warehouse and day, exact unless asked otherwise."""
     rows = report_filter(daily, start, end, names, "st_period")
+    count = F.approx_count_distinct if approximate else F.countDistinct
     return rows.groupBy("warehouse_id", "warehouse_name", "st_period").agg(
-        F.countDistinct("user_name").alias("cnt")
+        count("user_name").alias("cnt")
     )
 
 

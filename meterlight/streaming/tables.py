@@ -148,15 +148,23 @@ def sessions_kept(spark: SparkSession, path: str, as_of: datetime | str, tie: st
 
 
 def log_alerts(path: str) -> Callable[[DataFrame, int], None]:
-    """Appends matches that the action log does not hold yet: each alert fires once."""
+    """Appends matches that the action log does not hold yet: each alert fires once.
+
+    A query keeps its start time, so only the part of the log from the oldest start in the
+    batch on is read.
+    """
 
     def on_batch(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
-        fresh = df.select("probe_name", "query_id", "user_name", "warehouse_name", "start_time")
-        if batch > 0:
-            before = read_all(spark, path, "actions").filter(F.col("batch") < batch)
-            fresh = fresh.join(before.select("probe_name", "query_id"), ["probe_name", "query_id"], "left_anti")
-        _write(fresh, path, "actions", batch)
+        fresh = df.select("probe_name", "query_id", "user_name", "warehouse_name", "start_time").persist()
+        oldest = fresh.agg(F.min("start_time")).first()[0]
+        new = fresh
+        if batch > 0 and oldest is not None:
+            since = F.col("start_time") >= F.lit(oldest).cast("timestamp_ntz")
+            before = read_all(spark, path, "actions").filter((F.col("batch") < batch) & since)
+            new = fresh.join(before.select("probe_name", "query_id"), ["probe_name", "query_id"], "left_anti")
+        _write(new, path, "actions", batch)
+        fresh.unpersist()
 
     return on_batch
 

@@ -203,6 +203,43 @@ def test_merge_missing(spark):
     assert [r.name for r in mt.merge_missing(mine, pre).collect()] == ["b"]
 
 
+def label_rows(spark, rows):
+    ddl = (
+        "name string, group_name string, group_rank bigint, label_created_at timestamp_ntz, condition string,"
+        " enabled boolean, label_modified_at timestamp_ntz, is_dynamic boolean, label_id string"
+    )
+    return spark.createDataFrame(rows, ddl)
+
+
+def test_predefined_labels_come_and_are_upgraded(spark):
+    then, now = D(2024, 1, 1), D(2024, 6, 1)
+    pre = label_rows(spark, [("a", None, None, then, "x > 1", True, now, False, None), (None, "g", None, then, "x", True, now, True, None)])
+    empty = pre.limit(0)
+    first = mt.initialize_rules(empty, pre, inited=False)
+    assert first.count() == 2 and first.filter("label_modified_at = label_created_at").count() == 2
+    assert mt.initialize_rules(empty, pre, inited=True) is None
+    assert mt.initialize_rules(pre, pre, inited=False) is None
+    mine = label_rows(spark, [(*r[:6], then, r[7], f"id{i}") for i, r in enumerate(pre.collect())])
+    newer = label_rows(spark, [("a", None, None, then, "x > 2", True, now, False, None), (None, "g", None, then, "x", True, now, True, None), ("b", None, None, D(2024, 5, 31), "y", True, now, False, None)])
+    up = {(r.name, r.group_name): r for r in mt.upgrade_rules(mine, newer, now, 3 * 86_400).collect()}
+    assert up[("a", None)].condition == "x > 2" and up[("a", None)].label_id == "id0"
+    assert up[(None, "g")].label_id == "id1" and len(up[("b", None)].label_id) == 36
+    edited = mine.withColumn("label_modified_at", F.lit(now).cast("timestamp_ntz"))
+    assert mt.upgrade_rules(edited, newer, now, 3 * 86_400) is None
+
+
+def test_rules_from_tables(spark):
+    then = D(2024, 1, 1)
+    table = label_rows(spark, [("a", None, None, then, "x > 1", None, then, None, "1"), ("l", "g", 2, then, "x > 2", False, then, False, "2")])
+    assert lb.load_labels(table) == [lb.Label("x > 1", "a", enabled=None), lb.Label("x > 2", "l", "g", 2, enabled=False)]
+    probes = spark.createDataFrame(
+        [("p", "true", True, None, None, "Slack", None, None, then, then)],
+        "name string, condition string, notify_writer boolean, notify_writer_method string, notify_other string,"
+        " notify_other_method string, cancel boolean, enabled boolean, probe_modified_at timestamp_ntz, probe_created_at timestamp_ntz",
+    )
+    assert mon.load_probes(probes) == [mon.Probe("p", "true", True, "Email", None, "Slack", False, None)]
+
+
 def test_schema_changes(spark):
     view = spark.createDataFrame([], "a int, b string, h1 string, h2 int").schema
     table = spark.createDataFrame([(1, "x", 5, "h")], "a int, b string, h2 int, h1 string")
