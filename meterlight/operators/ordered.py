@@ -17,13 +17,19 @@ def neighbour(
     order: list[str],
     values: list[str],
     step: int,
+    keep: Column | None = None,
     chunk: str = "_chunk",
     name: str = "_near",
 ) -> DataFrame:
     """Adds struct ``name`` with ``values`` of the next (``step=1``) or previous (``-1``) row.
 
     Rows are ordered by ``order`` within ``keys``; ``chunk`` must be a prefix of that order.
-    The struct is NULL where there is no neighbour.
+    The struct is NULL where there is no neighbour. With ``keep`` only rows that satisfy it
+    come out, and the others move no further than they must.
+
+    The edge row of a chunk carries the payload at the chunk's far end. In the second window
+    edge rows share one lane per key, where the neighbouring edge holds what is missing; all
+    other rows stay in the lane of their chunk.
     """
     ahead = step > 0
     inside = Window.partitionBy(*keys, chunk).orderBy(*order)
@@ -33,74 +39,65 @@ def neighbour(
     tagged = df.withColumns(
         {name: shift(payload, 1).over(inside), "_edge": pick(payload).over(whole)}
     )
-    inner = tagged.filter(F.col(name).isNotNull()).drop("_edge")
-    across = Window.partitionBy(*keys).orderBy(chunk)
-    edges = (
-        tagged.filter(F.col(name).isNull())
-        .withColumn(name, shift(F.col("_edge"), 1).over(across))
-        .drop("_edge")
+    is_edge = F.col(name).isNull()
+    if keep is not None:
+        tagged = tagged.filter(is_edge | keep)
+    laned = tagged.withColumns(
+        {
+            "_lane": F.when(~is_edge, F.col(chunk)),
+            "_edge": F.when(is_edge, F.col("_edge")),
+        }
     )
-    return inner.unionByName(edges)
+    across = Window.partitionBy(*keys, "_lane").orderBy(chunk)
+    out = laned.withColumn(name, F.coalesce(name, shift("_edge", 1).over(across))).drop("_edge", "_lane")
+    return out if keep is None else out.filter(keep)
 
 
 def run_bounds(
     df: DataFrame, key: str, order: list[str], us: str, opens: Column, closes: Column, chunk: str = "_chunk"
 ) -> DataFrame:
-    """Adds ``_run`` and ``_run_end``: the instants at which the row's run began and was over.
+    """Adds ``_run``, the instant at which the row's run began, and ``_over``.
 
     A run begins at a row that ``opens``, at the row after one that ``closes``, and at the
-    first row of the key. It is over at the row that closes it, or when the next run begins;
-    ``_run_end`` is NULL for the last run of a key while nothing closed it.
+    first row of the key. It is over once it was closed or a later run began; only the last
+    run of a key can still go on.
 
     Each chunk is reduced to one row (its first instant, how it begins and ends, its last run
-    start and first boundary). Scans over those rows, one per chunk and key, tell every chunk
-    which run it continues and when that ends. The join back is on (key, chunk), the
-    partitioning the rows already have.
+    start). Scans over those rows, one per chunk and key, tell every chunk which run it
+    continues and which run is the last. The join back is on (key, chunk), the partitioning
+    the rows already have.
     """
     inside = Window.partitionBy(key, chunk).orderBy(*order)
-    behind = Window.partitionBy(key, chunk).orderBy(*[F.desc(c) for c in order])
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = df.withColumns({"_opens": opens, "_closes": closes})
     begins = F.col("_opens") | F.coalesce(F.lag("_closes").over(inside), F.lit(False))
-    marked = marked.withColumn("_begin", F.when(begins, F.col(us))).withColumn(
-        "_close", F.when(F.col("_closes"), F.col(us))
-    )
-    marked = marked.withColumn("_local", F.last("_begin", ignorenulls=True).over(so_far)).withColumn(
-        "_until",
-        F.least(
-            F.last("_close", ignorenulls=True).over(
-                behind.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ),
-            F.last("_begin", ignorenulls=True).over(behind.rowsBetween(Window.unboundedPreceding, -1)),
-        ),
-    )
+    marked = marked.withColumn("_begin", F.when(begins, F.col(us)))
+    marked = marked.withColumn("_local", F.last("_begin", ignorenulls=True).over(so_far))
     rank = F.struct(*order)
     per_chunk = marked.groupBy(key, chunk).agg(
         F.min(us).alias("_first"),
         F.min_by("_opens", rank).alias("_head_opens"),
         F.max_by("_closes", rank).alias("_tail_closes"),
         F.max("_begin").alias("_last_begin"),
-        F.least(F.min("_begin"), F.min("_close")).alias("_inner"),
     )
     scan = Window.partitionBy(key).orderBy(chunk)
-    back = Window.partitionBy(key).orderBy(F.desc(chunk))
-    head_starts = F.col("_head_opens") | F.coalesce(F.lag("_tail_closes").over(scan), F.lit(True))
+    whole = scan.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = scan.rowsBetween(Window.unboundedPreceding, -1)
-    after = back.rowsBetween(Window.unboundedPreceding, -1)
+    head_starts = F.col("_head_opens") | F.coalesce(F.lag("_tail_closes").over(scan), F.lit(True))
     carried = (
         per_chunk.withColumn("_head", F.when(head_starts, F.col("_first")))
-        .withColumns(
-            {"_out": F.coalesce("_last_begin", "_head"), "_boundary": F.coalesce("_head", "_inner")}
-        )
+        .withColumn("_out", F.coalesce("_last_begin", "_head"))
         .select(
             key,
             chunk,
             F.coalesce("_head", F.last("_out", ignorenulls=True).over(before)).alias("_from"),
-            F.last("_boundary", ignorenulls=True).over(after).alias("_to"),
+            F.max("_out").over(whole).alias("_newest"),
+            F.last("_tail_closes").over(whole).alias("_ended"),
         )
     )
     return (
         marked.join(carried, [key, chunk])
-        .withColumns({"_run": F.coalesce("_local", "_from"), "_run_end": F.coalesce("_until", "_to")})
-        .drop("_opens", "_closes", "_begin", "_close", "_local", "_until", "_from", "_to")
+        .withColumn("_run", F.coalesce("_local", "_from"))
+        .withColumn("_over", F.col("_ended") | (F.col("_run") < F.col("_newest")))
+        .drop("_opens", "_closes", "_begin", "_local", "_from", "_newest", "_ended")
     )

@@ -56,7 +56,7 @@ def key_events(events: DataFrame, tie: str | None = None) -> DataFrame:
     )
 
 
-def _resolve(rows: DataFrame, chunk: str) -> DataFrame:
+def _resolve(rows: DataFrame, chunk: str, starts_only: bool = False) -> DataFrame:
     """Adds run bounds, session type, ``_stop`` and ``_near``, the next event of the group."""
     order = ["_us", "_event", "_tie"]
     rows = run_bounds(
@@ -74,7 +74,8 @@ def _resolve(rows: DataFrame, chunk: str) -> DataFrame:
         }
     )
     group = ["warehouse_id", "session_type", "_run", "warehouse_name", "cluster_number"]
-    return neighbour(rows, group, order, ["_us", "_stop"], step=1)
+    keep = ~F.col("_stop") if starts_only else None
+    return neighbour(rows, group, order, ["_us", "_stop"], step=1, keep=keep)
 
 
 def _midnight(us):
@@ -100,7 +101,7 @@ def _emit(rows: DataFrame, as_of_us: int) -> DataFrame:
         from_micros(end).alias("session_end"),
         millis_between(us, end).alias("duration_ms"),
         (~stopped & (now < _midnight(us))).alias("incomplete"),
-        (F.col("_near").isNull() & F.col("_run_end").isNull()).alias("pending"),
+        (F.col("_near").isNull() & ~F.col("_over")).alias("pending"),
     )
 
 
@@ -120,7 +121,7 @@ def sessions(
     their group and their run is not over. ``tie`` names a column that orders events of equal
     time and kind. ``chunk`` bounds how much of one warehouse a task sees.
     """
-    return _emit(_resolve(key_events(events, tie), chunk), literal_micros(as_of))
+    return _emit(_resolve(key_events(events, tie), chunk, starts_only=True), literal_micros(as_of))
 
 
 @dataclass(frozen=True)
@@ -169,7 +170,7 @@ def refresh_sessions(
         found = found.unionByName(waiting)
     is_open = F.col("pending") | F.col("incomplete")
     needed = F.col("_near").isNull() | (F.col("_us") == F.col("_run"))
-    next_carry = rows.filter(F.col("_run_end").isNull() & needed).select(
+    next_carry = rows.filter(~F.col("_over") & needed).select(
         "_us", "warehouse_id", "warehouse_name", "cluster_number", "_event", "_tie",
         (F.col("_done") | F.col("_near").isNotNull()).alias("_done"),
     )

@@ -77,9 +77,8 @@ def test_sessions_never_shuffle_rows_by_warehouse_alone(spark, no_broadcast):
         if names == ["warehouse_id"]:
             assert "SortAggregate(key=[warehouse_id" in below and "_chunk" in below
         elif names != ["warehouse_id", "_chunk"]:
-            # The edge rows of chunks, one per chunk and group.
-            assert names == ["warehouse_id", "session_type", "_run", "warehouse_name", "cluster_number"]
-            assert "_edge" in below
+            # Rows of a chunk keep a lane of their own; only edge rows share one per group.
+            assert names == ["warehouse_id", "session_type", "_run", "warehouse_name", "cluster_number", "_lane"]
 
 
 def test_top_n_per_model_is_limited_before_the_shuffle(spark):
