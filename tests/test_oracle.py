@@ -15,13 +15,15 @@ def con():
     return oracle_connection(SF_DIR)
 
 
-# Reports over few rows can be empty at the smallest scale; the others never are.
-MAY_BE_EMPTY = {"users_per_warehouse_day"}
+# A single day; at the smallest scale nothing may have run on it. All others have rows.
+MAY_BE_EMPTY = {"quota_usage_map"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_matches_oracle(spark, con, name):
     diff = compare(spark, con, name, catalog.QUERIES[name], catalog.ORACLES[name], SF_DIR)
+    if name in MAY_BE_EMPTY and SF_DIR.endswith("sf0.001") and diff == "no rows on either side":
+        return
     assert diff is None, diff
 
 
