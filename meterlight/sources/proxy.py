@@ -66,8 +66,8 @@ def region_keys(regions: DataFrame) -> DataFrame:
 def tenant_filter(df: DataFrame, regions: DataFrame, account: str, region: str) -> DataFrame:
     """Rows whose tenant key equals the one built for this account and region.
 
-    The region part after the last dot names the row of the region table. That lookup yields
-    at most one key, so it is a broadcast of a single row.
+    The region part after the last dot names the row of the region table. A region has one
+    key, so the broadcast is of a single row.
     """
     wanted = region.split(".")[-1]
     spelled = F.col("azure_region") if region.startswith("AZURE") else F.col("region")
@@ -76,6 +76,5 @@ def tenant_filter(df: DataFrame, regions: DataFrame, account: str, region: str)
         .filter(F.col("account_region") == wanted)
         .select(F.concat(F.lit(account), spelled, F.col("cloud")).alias("tenant_key"))
         .distinct()
-        .limit(1)
     )
     return df.join(F.broadcast(key), "tenant_key", "left_semi")
