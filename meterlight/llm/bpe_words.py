@@ -8,20 +8,21 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlight.llm.common import Memo, arrow_map, documents, held
+from meterlight.llm.common import Memo, arrow_map, blanks, cut, documents, held, portions
 
 #: The most frequent words, which every task holds; all others are joined. With at most
 #: HOT_CHARS characters a word this bounds what is broadcast.
 HOT_WORDS = 250_000
 HOT_CHARS = 40
+ASCII_BLANKS = " \t\n\x0b\x0c\r"
 #: Entries of each generation of a worker's memory of chunks between blanks.
 CACHE_CHUNKS = 200_000
 #: Different words that a task counts before it sends them.
@@ -44,28 +45,32 @@ class Splitter:
         self.vocabulary: dict[str, int] = given["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in given["added_tokens"]}
         splits = [p["pattern"]["Regex"] for p in given["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
-        blank = r"\p{White_Space}"
-        self.words = regex.compile(splits[0].replace(r"[^\s", rf"[^{blank}")).findall
-        self.blanks = regex.compile(f"{blank}+")
+        self.words = regex.compile(splits[0].replace(r"[^\s", r"[^\p{White_Space}")).findall
         self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        # Blank for Python, but not white space.
-        self.controls = re.compile("[\x1c-\x1f]")
-        self.chunks = Memo(lambda chunks: map(self.words, chunks), CACHE_CHUNKS)
+        self.chunk_words = Memo(lambda chunks: map(self.words, chunks), CACHE_CHUNKS)
 
-    def _ordinary(self, text: str) -> list[str]:
+    def normal(self, text: str) -> str:
         # Lower case letter by letter: a final sigma has no form of its own.
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        chunks = self.blanks.split(text) if self.controls.search(text) else text.split()
-        return list(chain.from_iterable(self.chunks(chunks)))
+        return blanks(unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower().strip(ASCII_BLANKS)
 
-    def __call__(self, text: str) -> list[str]:
-        if "<|" not in text:
-            return self._ordinary(text)
+    def alone(self, text: str) -> list[str]:
+        """The words of a text that may hold special tokens."""
         out = []
         for part in self.parts.split(text):
-            out += [" " + part] if part in self.special else self._ordinary(part)
+            out += [" " + part] if part in self.special else self.words(self.normal(part))
         return out
 
+    def __call__(self, texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+        """(words of each different chunk, chunk at each position, first position of each text and the end)."""
+        special = {i: t for i, t in enumerate(texts) if "<|" in t}
+        chunks, index, offsets = cut(["" if i in special else self.normal(t) for i, t in enumerate(texts)])
+        words = self.chunk_words(chunks)
+        # A text with something like a special token is one chunk of its own.
+        for i, t in special.items():
+            index[offsets[i]] = len(words)
+            words.append(self.alone(t))
+        return words, index, offsets
+
 
 class WordEncoder:
     """Ids of single words, by the model of the vocabulary file."""
@@ -114,8 +119,13 @@ def word_table(docs: DataFrame, vocabulary: str) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         split, counts = _once(Splitter, vocabulary), Counter()
         for b in batches:
-            for text in b.column("text").to_pylist():
-                counts.update(split(text or ""))
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            for first, end in portions(texts):
+                words, index, _ = split(texts[first:end])
+                for chunk, n in zip(words, np.bincount(index, minlength=len(words)).tolist()):
+                    if n:
+                        for w in chunk:
+                            counts[w] += n
                 if len(counts) > COUNTED_WORDS:
                     yield {"word": list(counts), "n": list(counts.values())}
                     counts.clear()
@@ -149,15 +159,18 @@ def _joined(docs: DataFrame, vocabulary: str, hot_words: int) -> tuple[DataFrame
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         split, known, done = _once(Splitter, vocabulary), set(frequent.value["word"].to_pylist()), set()
         for b in batches:
-            out = {"key": [], "word": []}
-            for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
-                if key in done:
-                    continue
-                done.add(key)
-                unknown = set(split(text or "")) - known
-                out["key"] += [key] * len(unknown)
-                out["word"] += unknown
-            yield out
+            keys, texts = b.column("key").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
+            for first, end in portions(texts):
+                words, index, offsets = split(texts[first:end])
+                unknown = [[w for w in chunk if w not in known] for chunk in words]
+                at = np.flatnonzero(np.array([bool(u) for u in unknown])[index])
+                found: dict[int, set] = {}
+                for doc, chunk in zip((np.searchsorted(offsets, at, "right") - 1).tolist(), index[at].tolist()):
+                    found.setdefault(keys[first + doc], set()).update(unknown[chunk])
+                for key in found.keys() & done:
+                    del found[key]
+                done.update(found)
+                yield {"key": [k for k, u in found.items() for _ in u], "word": [w for u in found.values() for w in u]}
             if len(done) > 1_000_000:
                 done.clear()
 
@@ -172,19 +185,21 @@ def _joined(docs: DataFrame, vocabulary: str, hot_words: int) -> tuple[DataFrame
     return arrow_map(keyed, shrunk, "key long, doc_id long, text binary").join(found, "key", "left"), frequent
 
 
-def _each_document(frequent, vocabulary: str, batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """(doc_id, entries in the order of the text) for the rows of a batch, some at a time."""
+def _each_text(frequent, vocabulary: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(doc_ids, entries of each different chunk, chunk at each position, first positions), some rows at a time."""
     split, grow = _once(Splitter, vocabulary), zstandard.ZstdDecompressor().decompress
     table = frequent.value
     known = dict(zip(table["word"].to_pylist(), zip(table["size"].to_pylist(), table["ids"].to_pylist(), table["pieces"].to_pylist())))
     for batch in batches:
-        for start in range(0, batch.num_rows, 200):
-            b = batch.slice(start, 200)
-            out = []
-            for doc_id, text, rare in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("rare").to_pylist()):
-                own = {r["word"]: (r["size"], r["ids"], r["pieces"]) for r in rare or ()}
-                out.append((doc_id, [known.get(w) or own[w] for w in split(grow(text).decode())]))
-            yield out
+        for start in range(0, batch.num_rows, 1_000):
+            b = batch.slice(start, 1_000)
+            doc_ids, rare = b.column("doc_id").to_pylist(), b.column("rare").to_pylist()
+            texts = [grow(t).decode() for t in b.column("text").to_pylist()]
+            for first, end in portions(texts):
+                own = {r["word"]: (r["size"], r["ids"], r["pieces"]) for found in rare[first:end] for r in found or ()}
+                words, index, offsets = split(texts[first:end])
+                entries = [[known.get(w) or own[w] for w in chunk] for chunk in words]
+                yield doc_ids[first:end], entries, index, offsets
 
 
 def encoded(docs: DataFrame, vocabulary: str, hot_words: int = HOT_WORDS) -> DataFrame:
@@ -196,8 +211,9 @@ def encoded(docs: DataFrame, vocabulary: str, hot_words: int = HOT_WORDS) -> Dat
     joined, frequent = _joined(docs, vocabulary, hot_words)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for rows in _each_document(frequent, vocabulary, batches):
-            yield {"doc_id": [r[0] for r in rows], "ids": [[int(i) for e in r[1] for i in e[1].split()] for r in rows]}
+        for doc_ids, entries, index, offsets in _each_text(frequent, vocabulary, batches):
+            ids = [[int(i) for e in chunk for i in e[1].split()] for chunk in entries]
+            yield {"doc_id": doc_ids, "ids": [[i for c in index[a:b] for i in ids[c]] for a, b in zip(offsets, offsets[1:])]}
 
     return arrow_map(joined, each, "doc_id long, ids array<int>")
 
@@ -219,12 +235,15 @@ def digests(docs: DataFrame, vocabulary: str, hot_words: int = HOT_WORDS) -> Dat
     joined, frequent = _joined(docs, vocabulary, hot_words)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for rows in _each_document(frequent, vocabulary, batches):
-            out = {"doc_id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            for doc_id, entries in rows:
-                ids, text = " ".join([e[1] for e in entries]), " ".join([e[2] for e in entries])
-                for name, v in zip(out, (doc_id, sum([e[0] for e in entries]), sha256(ids.encode()).hexdigest(), sha256(text.encode()).hexdigest())):
-                    out[name].append(v)
+        for doc_ids, entries, index, offsets in _each_text(frequent, vocabulary, batches):
+            size = np.array([sum([e[0] for e in chunk]) for chunk in entries], np.int64)
+            ids, text = ([" ".join([e[k] for e in chunk]) for chunk in entries] for k in (1, 2))
+            out = {"doc_id": doc_ids, "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+            for first, end in zip(offsets, offsets[1:]):
+                at = index[first:end].tolist()
+                out["n_tokens"].append(int(size[at].sum()))
+                out["ids_sha256"].append(sha256(" ".join([ids[i] for i in at]).encode()).hexdigest())
+                out["decoded_sha256"].append(sha256(" ".join([text[i] for i in at]).encode()).hexdigest())
             yield out
 
     return arrow_map(joined, each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

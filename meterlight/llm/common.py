@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,3 +91,40 @@ class Memo:
         if len(young) > self.size:
             self.old, self.young = young, {}
         return out
+
+
+# White space beyond ASCII.
+_RARE_BLANK = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def blanks(text: str) -> str:
+    """The text with white space beyond ASCII as blanks; the controls 1C to 1F are not white space."""
+    return text if text.isascii() else _RARE_BLANK.sub(" ", text)
+
+
+#: Bytes of text that are cut into chunks together, about.
+CUT_BYTES = 4 << 20
+
+
+def portions(texts: list[str], size: int = CUT_BYTES) -> Iterator[tuple[int, int]]:
+    """(first, end) of neighbouring texts that are cut together."""
+    first = held_bytes = 0
+    for i, t in enumerate(texts):
+        held_bytes += len(t)
+        if held_bytes >= size:
+            yield first, i + 1
+            first, held_bytes = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
+def cut(texts: list[str], separator: str | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(different chunks, index of each chunk in order, first chunk of each text and the end).
+
+    Chunks lie between runs of ASCII white space, or between single separators. Empty chunks at
+    the ends of a text are kept.
+    """
+    given = pa.array(texts, pa.large_string())
+    parts = pc.ascii_split_whitespace(given) if separator is None else pc.split_pattern(given, separator)
+    coded = pc.list_flatten(parts).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(parts.offsets).astype(np.int64)

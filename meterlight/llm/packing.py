@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlight.llm.common import Memo, arrow_map, documents, pairs
+from meterlight.llm.common import Memo, arrow_map, cut, documents, pairs, portions
 
 WINDOW = 2048
 END_ID = 1
@@ -26,7 +26,7 @@ PLACED = PIECES + ", sequence_id long, offset long"
 
 
 class ByteTokenizer:
-    """Ids of a byte-level BPE vocabulary in the tokenizers JSON format, as little-endian uint32 bytes.
+    """Ids of a byte-level BPE vocabulary in the tokenizers JSON format.
 
     Merging is done by tiktoken with the ranks read from the same file. Its words never cross a
     single space between two other characters, so a text is cut there and each different chunk
@@ -63,8 +63,8 @@ class ByteTokenizer:
         return array("I", self.encode(text)).tobytes()
 
     def _cores(self, cores: list[str]) -> list[bytes]:
-        # Letters after a blank are one word of the pattern.
-        return [array("I", self.encode_piece((" " + c).encode())).tobytes() if c.isalpha() and c.isascii() else self._plain(" " + c) for c in cores]
+        # Latin letters after a blank are one word of the pattern.
+        return [array("I", self.encode_piece((" " + c).encode())).tobytes() if c.isalpha() and max(c) < "\u0250" else self._plain(" " + c) for c in cores]
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         # Commas and full stops at the end are a word of their own if a letter stands before them.
@@ -72,17 +72,32 @@ class ByteTokenizer:
         cores = [k if k and k[-1].isalpha() else c for k, c in zip(cores, chunks)]
         return [ids + self._plain(c[len(k) :]) if len(k) < len(c) else ids for c, k, ids in zip(chunks, cores, self.cores(cores))]
 
-    def _ordinary(self, text: str) -> bytes:
-        if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or self.odd_space(text):
-            return self._plain(text)
-        first, *rest = text.split(" ")
-        return self._plain(first) + b"".join(self.chunks(rest))
-
-    def __call__(self, text: str) -> bytes:
-        if self.split_special is None or not any(s in text for s in self.special):
-            return self._ordinary(text)
-        parts = self.split_special.split(text)
-        return b"".join(np.array([self.special[p]], "<u4").tobytes() if p in self.special else self._ordinary(p) for p in parts if p)
+    def _odd(self, text: str) -> bool:
+        """Whether white space stands where cutting at single blanks could part what belongs together."""
+        return "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or bool(self.odd_space(text)) or any(s in text for s in self.special)
+
+    def _alone(self, text: str) -> np.ndarray:
+        """A text of any kind, special tokens included."""
+        parts = self.split_special.split(text) if self.split_special else [text]
+        return np.concatenate([np.array([self.special[p]] if p in self.special else self.encode(p), np.uint32) for p in parts])
+
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        odd = [self._odd(t) for t in texts]
+        chunks, index, offsets = cut(["" if o else " " + t for t, o in zip(texts, odd)], " ")
+        # A text starts with a chunk that has no blank before it.
+        ids = [np.frombuffer(x, np.uint32) for x in self.chunks(chunks)]
+        size = np.array([len(x) for x in ids], np.int64)
+        flat, starts = np.concatenate([*ids, np.empty(0, np.uint32)]), np.cumsum(size) - size
+        for text, o, first, end in zip(texts, odd, offsets, offsets[1:]):
+            if o:
+                yield self._alone(text)
+                continue
+            head, *_ = text.split(" ", 1)
+            at = index[first + 2 : end]
+            n = size[at]
+            where = np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            yield np.concatenate((np.array(self.encode(head), np.uint32), flat[where]))
 
 
 def _tokenizer(path: str) -> ByteTokenizer:
@@ -93,18 +108,25 @@ def _tokenizer(path: str) -> ByteTokenizer:
     return kept[path]
 
 
+def _ids(tokens: ByteTokenizer, batch: pa.RecordBatch, end_id: int) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(doc_id, ids with the end id) of a batch's rows."""
+    rows = list(pairs(batch))
+    for first, end in portions([r[1] for r in rows]):
+        for (doc_id, _), ids in zip(rows[first:end], tokens([r[1] for r in rows[first:end]])):
+            yield doc_id, np.append(ids, np.uint32(end_id)).astype("<u4")
+
+
 def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Every document cut into full windows and one shorter rest; narrow rows without the ids."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        tokens, end = _tokenizer(vocabulary), np.array([end_id], "<u4").tobytes()
+        tokens = _tokenizer(vocabulary)
         for batch in batches:
             out: dict[str, list] = {c.split()[0]: [] for c in PIECES.split(", ")}
-            for doc_id, text in pairs(batch):
-                ids = tokens(text) + end
-                for at in range(0, len(ids), 4 * window):
-                    piece = ids[at : at + 4 * window]
-                    for name, v in zip(out, (doc_id, at // 4, len(piece) // 4, crc32(piece), len(ids) // 4)):
+            for doc_id, ids in _ids(tokens, batch, end_id):
+                for at in range(0, len(ids), window):
+                    piece = ids[at : at + window]
+                    for name, v in zip(out, (doc_id, at, len(piece), crc32(piece.tobytes()), len(ids))):
                         out[name].append(v)
             yield out
 
@@ -190,14 +212,13 @@ def sequences(docs: DataFrame, placed: DataFrame, vocabulary: str, window: int =
     """The packed ids: (sequence_id, length, ids), padded to the window unless the length is a power of two."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        tokens, end = _tokenizer(vocabulary), np.array([end_id], "<u4").tobytes()
+        tokens = _tokenizer(vocabulary)
         for batch in batches:
             out = {"doc_id": [], "start": [], "ids_crc32": [], "ids": []}
-            for doc_id, text in pairs(batch):
-                ids = tokens(text) + end
-                for at in range(0, len(ids), 4 * window):
-                    piece = ids[at : at + 4 * window]
-                    for name, v in zip(out, (doc_id, at // 4, crc32(piece), np.frombuffer(piece, "<u4").astype("i4").tolist())):
+            for doc_id, ids in _ids(tokens, batch, end_id):
+                for at in range(0, len(ids), window):
+                    piece = ids[at : at + window]
+                    for name, v in zip(out, (doc_id, at, crc32(piece.tobytes()), piece.astype("i4").tolist())):
                         out[name].append(v)
             yield out
 

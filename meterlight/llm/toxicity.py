@@ -10,20 +10,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlight.llm.common import Memo, arrow_map, documents, pairs, remainder
+from meterlight.llm.common import Memo, arrow_map, blanks, cut, documents, pairs, portions, remainder
 
 BUCKETS = 1 << 18
 DIMENSIONS = 6
 #: Byte n-grams of a word with its boundaries; the whole word counts as one more.
 SIZES = (3, 4, 5)
-#: Words of a window; neighbouring windows share half. A document scores as its worst window.
-WINDOW = 16
+#: Words of a window; windows overlap. A document scores as its worst window.
+WINDOW = 3
+#: Weight of all windows of a clean document together, beside its worst one.
+CLEAN_WINDOWS = 20.0
 #: Labelled documents of each class that are learned from, at most, and their length in characters.
-TRAIN_DOCS = 700
+TRAIN_DOCS = 1_000
 TRAIN_CHARS = 20_000
 #: Of those, one in so many is kept apart to calibrate the score.
 CALIBRATE = 4
 EPOCHS = 24
+RATE = 3.0
 THRESHOLD = 0.7
 #: Entries of each generation of a task's memory of words.
 CACHE_WORDS = 300_000
@@ -34,7 +37,7 @@ PRIME = np.uint64(0x100000001B3)
 
 
 def words_of(text: str) -> list[str]:
-    return text.lower().split()
+    return blanks(text.lower()).split()
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -69,8 +72,9 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(n: int, window: int = WINDOW) -> np.ndarray:
-    """(first, end) of the windows over n words: half overlapping, all words covered."""
-    starts = np.arange(0, max(n - window // 2, 1), window // 2)
+    """(first, end) of the windows over n words: overlapping by about half, all words covered."""
+    step = max(window // 2, 1)
+    starts = np.arange(0, max(n - window + step, 1), step)
     return np.stack([starts, np.minimum(starts + window, n)], axis=1)
 
 
@@ -87,8 +91,9 @@ class Model:
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> Model:
     """Embeddings and softmax weights by full-batch adaptive steps on each document's worst window.
 
-    Only documents are labelled, and a few words make one toxic: in the first epochs all windows
-    of a document share its label, later the one that the model finds worst.
+    Only documents are labelled, and a few words make one toxic. So a toxic document's label goes
+    to its windows by how bad the model finds them, first to all and with each epoch more to the
+    worst; a clean document's goes to all its windows and once more to the worst.
     """
     none = Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, -3.0)
     apart = np.arange(len(texts)) % CALIBRATE == CALIBRATE - 1
@@ -136,36 +141,37 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
         hidden = ((running[spans[:, 1]] - running[spans[:, 0]]) / length[:, None]).astype(np.float32)
         logits = hidden @ W + b
         margin = logits[:, 1] - logits[:, 0]
-        if epoch < 4:
-            chosen, weight = np.arange(len(spans)), (balance / total)[owner]
-        else:
-            worst = np.maximum.reduceat(margin, first)
-            hit = np.flatnonzero(margin == worst[owner])
-            chosen = hit[np.concatenate(([True], np.diff(owner[hit]) > 0))]
-            weight = balance[owner[chosen]]
+        worst = np.maximum.reduceat(margin, first)
+        # Of a toxic document the windows near its worst one, of a clean document all.
+        part = np.exp(np.minimum((margin - worst[owner]) * (epoch / 3), 0))
+        share = part / np.add.reduceat(part, first)[owner]
+        share = np.where(label[owner] == 1, share, 0.5 * share + 0.5 * CLEAN_WINDOWS / total[owner])
+        chosen = np.flatnonzero(share > 0.02 / total[owner])
+        weight = (balance[owner] * share)[chosen]
         p = 1 / (1 + np.exp(-np.clip(margin[chosen], -30, 30)))
         wrong = ((p - label[owner[chosen]]) * weight).astype(np.float32)
         d = np.stack([-wrong, wrong], axis=1)
         dW, db, dH = hidden[chosen].T @ d, d.sum(axis=0), d @ W.T / length[chosen][:, None]
-        # Back to words: each word of a chosen window gets the window's gradient.
-        covered = np.concatenate([np.arange(s, e) for s, e in spans[chosen]])
-        at = np.repeat(np.arange(len(chosen)), length[chosen].astype(int))
-        dV = np.stack([np.bincount(ids[covered], dH[at, k], minlength=len(starts)) for k in range(DIMENSIONS)], axis=1).astype(np.float32) / per_word[:, None]
+        # Back to words: each word of a window gets the window's gradient.
+        dV = np.empty((len(starts), DIMENSIONS), np.float32)
+        for k in range(DIMENSIONS):
+            steps = np.bincount(spans[chosen, 0], dH[:, k], minlength=len(ids) + 1) - np.bincount(spans[chosen, 1], dH[:, k], minlength=len(ids) + 1)
+            dV[:, k] = np.bincount(ids, np.cumsum(steps)[:-1], minlength=len(starts)) / per_word
         dE = np.add.reduceat(dV[word_of], bucket_starts, axis=0)
         gE += (dE * dE).mean(axis=1)
         gW += dW * dW
         gb += db * db
-        E -= 0.5 * dE / np.sqrt(gE + 1e-12)[:, None]
+        E -= RATE * dE / np.sqrt(gE + 1e-16)[:, None]
         W -= 0.1 * dW / np.sqrt(gW)
         b -= 0.1 * db / np.sqrt(gb)
     values = np.zeros(BUCKETS, np.float32)
     values[used] = E @ (W[:, 1] - W[:, 0])
     model = Model(values, float(b[1] - b[0]), 1.0, 0.0)
     scorer = Scorer(model)
-    margins = scorer.margins([d for d, a in zip(docs, apart) if a and d])
+    margins = scorer.margins([t for t, a, d in zip(texts, apart, docs) if a and d])
     truth = np.array([v for v, a, d in zip(y, apart, docs) if a and d], int)
     if len(set(truth.tolist())) < 2:
-        margins, truth = scorer.margins([docs[i] for i in learn]), label
+        margins, truth = scorer.margins([texts[i] for i in learn]), label
     model.scale, model.shift = _logistic(margins, truth)
     return model
 
@@ -196,22 +202,24 @@ class Scorer:
             sums = np.add.reduceat(self.model.values[buckets].astype(np.float64), starts)
             yield from (sums / np.diff(np.concatenate((starts, [len(buckets)])))).tolist()
 
-    def margins(self, docs: list[list[str]]) -> np.ndarray:
-        """Of the worst window of each document."""
-        running = np.concatenate(([0.0], np.cumsum(self.known([w for d in docs for w in d]))))
-        out, at = np.full(len(docs), -np.inf), 0
-        for i, d in enumerate(docs):
-            if d:
-                first, end = windows(len(d)).T + at
-                out[i] = ((running[end] - running[first]) / (end - first)).max() + self.model.bias
-                at += len(d)
+    def margins(self, texts: list[str]) -> np.ndarray:
+        """Of the worst window of each text."""
+        words, index, offsets = cut([blanks(t.lower()) for t in texts])
+        running = np.concatenate(([0.0], np.cumsum(np.array(self.known(words), float)[index])))
+        out = np.full(len(texts), -np.inf)
+        kept = np.array([w != "" for w in words], bool)[index]
+        for i, (first, end) in enumerate(zip(offsets, offsets[1:])):
+            # White space at the ends of a text leaves empty chunks there.
+            first, end = first + (end > first and not kept[first]), end - (end > first and not kept[end - 1])
+            if end > first:
+                a, b = windows(end - first).T + first
+                out[i] = ((running[b] - running[a]) / (b - a)).max() + self.model.bias
         return out
 
     def __call__(self, texts: list[str]) -> list[float]:
-        """Scores; the new words of some hundred texts are looked at together."""
         out = []
-        for i in range(0, len(texts), 200):
-            z = self.model.scale * self.margins([words_of(t) for t in texts[i : i + 200]]) + self.model.shift
+        for first, end in portions(texts):
+            z = self.model.scale * self.margins(texts[first:end]) + self.model.shift
             out += (1 / (1 + np.exp(-np.clip(z, -50, 50)))).tolist()
         return out
 
