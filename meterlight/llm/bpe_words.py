@@ -157,7 +157,7 @@ def _joined(docs: DataFrame, vocabulary: str, hot_words: int) -> tuple[DataFrame
     keyed = documents(docs).withColumn("key", F.xxhash64("doc_id", "text"))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        split, known, done = _once(Splitter, vocabulary), set(frequent.value["word"].to_pylist()), set()
+        split, known, done = _once(Splitter, vocabulary), _entries(frequent), set()
         for b in batches:
             keys, texts = b.column("key").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
             for first, end in portions(texts):
@@ -185,14 +185,22 @@ def _joined(docs: DataFrame, vocabulary: str, hot_words: int) -> tuple[DataFrame
     return arrow_map(keyed, shrunk, "key long, doc_id long, text binary").join(found, "key", "left"), frequent
 
 
+def _entries(frequent) -> dict[str, tuple]:
+    """word -> (size, ids, pieces) of the frequent words; put together once for each worker."""
+    kept, table = _entries.__dict__, frequent.value
+    if kept.get("of") is not table:
+        kept["of"] = table
+        kept["entries"] = dict(zip(table["word"].to_pylist(), zip(table["size"].to_pylist(), table["ids"].to_pylist(), table["pieces"].to_pylist())))
+    return kept["entries"]
+
+
 def _each_text(frequent, vocabulary: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """(doc_ids, entries of each different chunk, chunk at each position, first positions), some rows at a time."""
     split, grow = _once(Splitter, vocabulary), zstandard.ZstdDecompressor().decompress
-    table = frequent.value
-    known = dict(zip(table["word"].to_pylist(), zip(table["size"].to_pylist(), table["ids"].to_pylist(), table["pieces"].to_pylist())))
+    known = _entries(frequent)
     for batch in batches:
-        for start in range(0, batch.num_rows, 1_000):
-            b = batch.slice(start, 1_000)
+        for start in range(0, batch.num_rows, 4_000):
+            b = batch.slice(start, 4_000)
             doc_ids, rare = b.column("doc_id").to_pylist(), b.column("rare").to_pylist()
             texts = [grow(t).decode() for t in b.column("text").to_pylist()]
             for first, end in portions(texts):

@@ -103,7 +103,7 @@ def blanks(text: str) -> str:
 
 
 #: Bytes of text that are cut into chunks together, about.
-CUT_BYTES = 4 << 20
+CUT_BYTES = 12 << 20
 
 
 def portions(texts: list[str], size: int = CUT_BYTES) -> Iterator[tuple[int, int]]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -12,14 +11,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlight.llm.common import Memo, arrow_map, cut, documents, pairs, portions
+from meterlight.llm.common import arrow_map, documents, pairs
 
 WINDOW = 2048
 END_ID = 1
 #: Pieces that are packed together, about; more pieces make more such groups.
 GROUP_PIECES = 16_384
-#: Entries of each generation of a worker's memory of tokenised chunks.
-CACHE_CHUNKS = 300_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -28,9 +25,8 @@ PLACED = PIECES + ", sequence_id long, offset long"
 class ByteTokenizer:
     """Ids of a byte-level BPE vocabulary in the tokenizers JSON format.
 
-    Merging is done by tiktoken with the ranks read from the same file. Its words never cross a
-    single space between two other characters, so a text is cut there and each different chunk
-    is encoded once. Special tokens inside a text get their ids, as the tokenizers library does.
+    Merging is done by tiktoken with the ranks read from the same file. Special tokens inside a
+    text get their ids, as the tokenizers library does.
     """
 
     #: Fixed value: the word pattern of this family of vocabularies.
@@ -38,7 +34,6 @@ class ByteTokenizer:
 
     def __init__(self, path: str) -> None:
         import json
-        import re
 
         import tiktoken
 
@@ -48,56 +43,13 @@ class ByteTokenizer:
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         others = [b for b in range(256) if b not in set(plain)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-        special = {t["content"]: t["id"] for t in given["added_tokens"]}
-        ranks = {bytes(byte_of[c] for c in t): i for t, i in given["model"]["vocab"].items() if t not in special}
-        self.special = special
-        self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        # White space other than single blanks and line ends between words is left to the pattern.
-        self.odd_space = re.compile(r"[^\S \n]").search
-        own = tiktoken.Encoding("vocabulary", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.encode, self.encode_piece = own.encode_ordinary, own._core_bpe.encode_single_piece
-        self.chunks = Memo(self._chunks, CACHE_CHUNKS)
-        self.cores = Memo(self._cores, CACHE_CHUNKS)
-
-    def _plain(self, text: str) -> bytes:
-        return array("I", self.encode(text)).tobytes()
-
-    def _cores(self, cores: list[str]) -> list[bytes]:
-        # Latin letters after a blank are one word of the pattern.
-        return [array("I", self.encode_piece((" " + c).encode())).tobytes() if c.isalpha() and max(c) < "\u0250" else self._plain(" " + c) for c in cores]
-
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        # Commas and full stops at the end are a word of their own if a letter stands before them.
-        cores = [c.rstrip(",.") for c in chunks]
-        cores = [k if k and k[-1].isalpha() else c for k, c in zip(cores, chunks)]
-        return [ids + self._plain(c[len(k) :]) if len(k) < len(c) else ids for c, k, ids in zip(chunks, cores, self.cores(cores))]
-
-    def _odd(self, text: str) -> bool:
-        """Whether white space stands where cutting at single blanks could part what belongs together."""
-        return "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or bool(self.odd_space(text)) or any(s in text for s in self.special)
-
-    def _alone(self, text: str) -> np.ndarray:
-        """A text of any kind, special tokens included."""
-        parts = self.split_special.split(text) if self.split_special else [text]
-        return np.concatenate([np.array([self.special[p]] if p in self.special else self.encode(p), np.uint32) for p in parts])
-
-    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text."""
-        odd = [self._odd(t) for t in texts]
-        chunks, index, offsets = cut(["" if o else " " + t for t, o in zip(texts, odd)], " ")
-        # A text starts with a chunk that has no blank before it.
-        ids = [np.frombuffer(x, np.uint32) for x in self.chunks(chunks)]
-        size = np.array([len(x) for x in ids], np.int64)
-        flat, starts = np.concatenate([*ids, np.empty(0, np.uint32)]), np.cumsum(size) - size
-        for text, o, first, end in zip(texts, odd, offsets, offsets[1:]):
-            if o:
-                yield self._alone(text)
-                continue
-            head, *_ = text.split(" ", 1)
-            at = index[first + 2 : end]
-            n = size[at]
-            where = np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            yield np.concatenate((np.array(self.encode(head), np.uint32), flat[where]))
+        self.special = {t["content"]: t["id"] for t in given["added_tokens"]}
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in given["model"]["vocab"].items() if t not in self.special}
+        self.own = tiktoken.Encoding("vocabulary", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
+
+    def __call__(self, text: str) -> np.ndarray:
+        text = text if text.isascii() else text.encode("utf-8", "replace").decode()
+        return self.own.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
 
 
 def _tokenizer(path: str) -> ByteTokenizer:
@@ -110,10 +62,8 @@ def _tokenizer(path: str) -> ByteTokenizer:
 
 def _ids(tokens: ByteTokenizer, batch: pa.RecordBatch, end_id: int) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc_id, ids with the end id) of a batch's rows."""
-    rows = list(pairs(batch))
-    for first, end in portions([r[1] for r in rows]):
-        for (doc_id, _), ids in zip(rows[first:end], tokens([r[1] for r in rows[first:end]])):
-            yield doc_id, np.append(ids, np.uint32(end_id)).astype("<u4")
+    for doc_id, text in pairs(batch):
+        yield doc_id, np.append(tokens(text), np.uint32(end_id)).astype("<u4", copy=False)
 
 
 def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlight.llm import bpe_words, exact_dedup, langid, packing, quality_model, quality_rules, toxicity, url_filter
+from meterlight.llm import bpe_words, exact_dedup, langid, licenses, ngram_join, packing, quality_model, quality_rules, toxicity, url_filter
 from meterlight.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_model.scored(docs, quality_model.fit(docs))
@@ -58,8 +62,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents")).drop("licences")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op2_quality_classifier, op3_packing, op4_language_id, op5_exact_dedup, op6_quality_rules, op7_bpe, op8_toxicity, op9_url_filter)
+    for f in (op1_ngram_join, op2_quality_classifier, op3_packing, op4_language_id, op5_exact_dedup, op6_quality_rules, op7_bpe, op8_toxicity, op9_url_filter, op10_license_scan)
 }
 ORACLES: dict[str, str] = {}
