@@ -67,7 +67,7 @@ def shingle_sets(texts: list[str], known: Memo) -> list[np.ndarray]:
         if n >= SHINGLE:
             out.append(np.unique(rolled[first : end - SHINGLE + 1]))
         else:
-            whole = (int(flat[first + i] * _FACTORS[i]) for i in range(n))
+            whole = (int(flat[first + i]) * int(_FACTORS[i]) for i in range(n))
             out.append(mixed(np.array([(sum(whole) + n) % 2**64], np.uint64)) if n else np.empty(0, np.uint64))
     return out
 

@@ -132,7 +132,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, labellers
         share = (weight[1].sum() + 1) / (counts.sum() + 2)
         model = LabelModel(float(share), np.concatenate([chances, np.ones((labellers, 2, 1))], axis=2))
         new = model.posterior(rows)
-        if np.abs(new - good).max() < 1e-6:
+        if np.abs(new - good).max(initial=0.0) < 1e-6:
             break
         good = new
     return model
