@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlight.llm.common import Memo, arrow_map, cut, documents, held, portions
+from meterlight.llm.common import arrow_map, documents, held, portions
 from meterlight.llm.graph import components
 
 SHINGLE = 5
@@ -27,7 +27,6 @@ DELETION_KEYS = 24
 BITS = 1024
 #: Members of a key that are compared in one task; larger ones are divided into blocks.
 BLOCK = 2048
-CACHE_WORDS = 300_000
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -40,45 +39,70 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _word_hashes(words: list[str]) -> list[int]:
-    return [xxhash.xxh64_intdigest(w) for w in words]
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
+#: A random number for each byte, and the base of the words' polynomials.
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * PRIME)
+_BASE = 0xD1342543DE82EF95
+#: Bytes that are hashed together.
+_STEP = 1 << 21
 
 
-def shingle_sets(texts: list[str], known: Memo) -> list[np.ndarray]:
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64."""
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 2**64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, hash) of the words of lower-cased bytes.
+
+    A word's hash is a polynomial of its bytes' random numbers, taken from running sums: no
+    word is ever a Python object. A part of the bytes ends where a word does.
+    """
+    starts, hashes, first = [], [], 0
+    while first < len(data):
+        end = min(first + _STEP, len(data))
+        while end < len(data) and not _BLANK[data[end]]:
+            end += 1
+        part = np.frombuffer(data, np.uint8, end - first, first)
+        word = np.concatenate(([False], ~_BLANK[part], [False]))
+        edge = np.flatnonzero(word[1:] != word[:-1])
+        s, e = edge[::2], edge[1::2]
+        up, down = (x[: len(part)] for x in _powers(max(_STEP, 1 << (len(part) - 1).bit_length())))
+        running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[part] * up)))
+        hashes.append(mixed((running[e] - running[s]) * down[s] + (e - s).astype(np.uint64) * PRIME))
+        starts.append(s + first)
+        first = end
+    return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.empty(0, np.int64), np.empty(0, np.uint64))
+
+
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """The sorted distinct 5-word shingles of each text, as 64-bit hashes.
 
     Words are what stands between ASCII white space, A-Z in lower case. Of fewer words the whole
     sequence is one shingle; without words there is none.
     """
-    words, index, offsets = cut([t if t.islower() else _lower(t) for t in texts])
-    hashes = np.array(known(words), np.uint64)
-    hashes = np.where(np.array([w == "" for w in words]), np.uint64(0), hashes) if words else hashes
-    flat = hashes[index] if len(index) else np.empty(0, np.uint64)
-    blank = np.array([w == "" for w in words], bool)[index] if words else np.empty(0, bool)
+    raw = [t.encode("utf-8", "replace") for t in texts]
+    first_byte = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    starts, flat = word_hashes(b"\n".join(raw).translate(_LOWER))
+    offsets = np.searchsorted(starts, first_byte)
     rolled = np.zeros(max(len(flat) - SHINGLE + 1, 0), np.uint64)
     for k in range(SHINGLE if len(rolled) else 0):
         rolled += mixed(flat[k : k + len(rolled)] ^ _FACTORS[k]) * _FACTORS[k]
     rolled, out = mixed(rolled), []
     for first, end in zip(offsets.tolist(), offsets[1:].tolist()):
-        # White space at the ends of a text leaves empty chunks there.
-        first += end > first and bool(blank[first])
-        end -= end > first and bool(blank[end - 1])
         n = end - first
         if n >= SHINGLE:
             out.append(np.unique(rolled[first : end - SHINGLE + 1]))
         else:
-            whole = (int(flat[first + i]) * int(_FACTORS[i]) for i in range(n))
-            out.append(mixed(np.array([(sum(whole) + n) % 2**64], np.uint64)) if n else np.empty(0, np.uint64))
+            whole = sum(int(flat[first + i]) * int(_FACTORS[i]) for i in range(n)) + n
+            out.append(mixed(np.array([whole % 2**64], np.uint64)) if n else np.empty(0, np.uint64))
     return out
 
 
-_UPPER = {c: c + 32 for c in range(65, 91)}
-
-
-def _lower(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(_UPPER)
-
-
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sets reach the similarity, exactly."""
     common = len(np.intersect1d(a, b, assume_unique=True))
@@ -154,20 +178,19 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
-def _each_set(batch: pa.RecordBatch, known: Memo) -> Iterator[tuple[int, list[np.ndarray]]]:
+def _each_set(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(position of the first row, sets) for some rows of a batch at a time."""
     texts = [t or "" for t in batch.column("text").to_pylist()]
-    for first, end in portions(texts):
-        yield first, shingle_sets(texts[first:end], known)
+    for first, end in portions(texts, _STEP):
+        yield first, shingle_sets(texts[first:end])
 
 
 def sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, set_hash): a row per document; equal sets have equal 128-bit hashes."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        known = Memo(_word_hashes, CACHE_WORDS)
         for b in batches:
-            for first, sets in _each_set(b, known):
+            for first, sets in _each_set(b):
                 yield {
                     "doc_id": b.column("doc_id").slice(first, len(sets)),
                     "n_shingles": [len(s) for s in sets],
@@ -181,10 +204,9 @@ def _keyed(texts: DataFrame) -> DataFrame:
     """(key, id) for every document that stands for its set."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        known = Memo(_word_hashes, CACHE_WORDS)
         for b in batches:
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            for first, sets in _each_set(b, known):
+            for first, sets in _each_set(b):
                 for at in range(0, len(sets), 500):
                     found = [keys(s) if len(s) else np.empty(0, np.uint64) for s in sets[at : at + 500]]
                     size = [len(f) for f in found]
@@ -230,16 +252,15 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        known = Memo(_word_hashes, CACHE_WORDS)
         for b in batches:
             left, right = b.column("a").to_pylist(), b.column("b").to_pylist()
             texts, others = b.column("text").to_pylist(), b.column("text_b").to_pylist()
-            for first, end in portions(others):
-                out = {"a": [], "b": []}
+            for first, end in portions(others, _STEP):
+                out, right_sets = {"a": [], "b": []}, shingle_sets(others[first:end])
                 different = dict(zip(left[first:end], texts[first:end]))
-                for at in portions(list(different.values())):
-                    kept = dict(zip(list(different)[slice(*at)], shingle_sets(list(different.values())[slice(*at)], known)))
-                    for x, y, s in zip(left[first:end], right[first:end], shingle_sets(others[first:end], known)):
+                for at in portions(list(different.values()), _STEP):
+                    kept = dict(zip(list(different)[slice(*at)], shingle_sets(list(different.values())[slice(*at)])))
+                    for x, y, s in zip(left[first:end], right[first:end], right_sets):
                         if x in kept and linked(kept[x], s):
                             out["a"].append(x)
                             out["b"].append(y)
@@ -252,9 +273,8 @@ def _bitmaps(texts: DataFrame) -> DataFrame:
     """(id, n, bits)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        known = Memo(_word_hashes, CACHE_WORDS)
         for b in batches:
-            for first, sets in _each_set(b, known):
+            for first, sets in _each_set(b):
                 yield {"id": b.column("doc_id").slice(first, len(sets)), "n": [len(s) for s in sets], "bits": [bitmap(s) for s in sets]}
 
     return arrow_map(texts, each, "id long, n long, bits binary")
