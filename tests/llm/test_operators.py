@@ -387,13 +387,10 @@ def _one(models, gram, column):
 
 def test_toxicity(spark, edge, empty):
     docs, labels = (spark.read.parquet(f"{sf('sf0.1')}/{t}.parquet") for t in ("documents", "labels"))
-    model = toxicity.fit(docs, labels, max_docs=300)
+    model = toxicity.fit(docs, labels)
     found = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, model).collect()}
     held_out = [(found[i], t) for i, t in rows(labels.select("doc_id", "toxic")) if zlib.crc32(str(i).encode()) % 3 == 1]
-    # Few toxic rows here: most are caught, and nearly all rank above the clean ones.
-    assert np.mean([s >= 0.7 for s, t in held_out if t]) > 0.6
-    clean = np.sort([s for s, t in held_out if not t])
-    assert np.mean(np.searchsorted(clean, [s for s, t in held_out if t])) / len(clean) > 0.95
+    assert np.mean([s >= 0.7 for s, t in held_out if t]) > 0.85
     assert np.mean([s >= 0.7 for s, t in held_out if not t]) < 0.05
     scores = [r["score"] for r in toxicity.scored(edge, model).collect()]
     assert len(scores) == len(ROWS) and all(0 <= s <= 1 for s in scores)
