@@ -70,4 +70,11 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (op1_ngram_join, op2_quality_classifier, op3_packing, op4_language_id, op5_exact_dedup, op6_quality_rules, op7_bpe, op8_toxicity, op9_url_filter, op10_license_scan)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents
+        WINDOW same AS (PARTITION BY coalesce(text, ''))
+    """,
+}
