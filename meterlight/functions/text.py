@@ -19,13 +19,21 @@ STRING_TOKEN = r"'[^']*'"
 WORD_TOKEN = r"[A-Za-z_][A-Za-z_0-9$]*"
 NUMBER_TOKEN = r"[0-9]+(?:\.[0-9]+)?"
 TOKENS = rf"({STRING_TOKEN}|{WORD_TOKEN}|{NUMBER_TOKEN}|[^'A-Za-z_0-9]+|')"
-COMMENTS = r"(?s)/\*.*?\*/|--[^\n]*"
-TABLE_REF = r"(?i)\b(?:from|join)\s+([A-Za-z_][A-Za-z_0-9$]*(?:\.[A-Za-z_][A-Za-z_0-9$]*)*)"
+# Literals and quoted names come first, as group 1: what looks like a comment in them is none.
+COMMENTS = r"""(?s)('[^']*'|"[^"]*")|/\*.*?\*/|--[^\n]*"""
+# Functions whose arguments may hold FROM.
+FROM_CALL = r"(?i)\b(?:extract|trim|substring|overlay)\s*\([^()]*\)"
+NAME_PART = r'(?:"[^"]+"|[A-Za-z_][A-Za-z_0-9$]*)'
+TABLE_NAME = rf"{NAME_PART}(?:\.{NAME_PART})*"
+NO_ALIAS = r"(?!(?:where|join|inner|left|right|full|cross|natural|on|using|group|order|having|limit|union|qualify|window)\b)"
+TABLE_ITEM = rf"{TABLE_NAME}(?:\s+(?:as\s+)?{NO_ALIAS}{NAME_PART})?"
+TABLE_LIST = rf"(?i)\b(?:from|join)\s+({TABLE_ITEM}(?:\s*,\s*{TABLE_ITEM})*)"
+LISTED_NAME = rf"(?:^|,)\s*({TABLE_NAME})"
 CTE_NAME = r"(?i)(?:\bwith\s+|,\s*)([A-Za-z_][A-Za-z_0-9$]*)\s+as\s*\("
 
 
 def strip_comments(text: Column | str) -> Column:
-    return F.regexp_replace(to_col(text), COMMENTS, "")
+    return F.regexp_replace(to_col(text), COMMENTS, "$1")
 
 
 def hash_literals(text: Column | str, include_comments: bool = True) -> Column:
@@ -61,22 +69,24 @@ def referenced_tables(
     schema: Column | str,
     exclude_cte: bool = True,
 ) -> Column:
-    """Distinct upper-case ``database.schema.table`` names after FROM and JOIN.
+    """Distinct ``database.schema.table`` names after FROM and JOIN, comma lists included.
 
-    Missing parts are filled in; names defined by WITH are left out unless asked for.
+    Plain names come in upper case, quoted ones as written. Missing parts are filled in; names defined by WITH are left out unless asked for.
     """
-    source = strip_comments(text)
+    source = F.regexp_replace(F.regexp_replace(strip_comments(text), STRING_TOKEN, "''"), FROM_CALL, "()")
     database, schema = F.coalesce(to_col(database), F.lit("")), F.coalesce(to_col(schema), F.lit(""))
 
     def qualify(name):
-        parts = F.size(F.split(name, r"\."))
-        return F.upper(
-            F.when(parts >= 3, name)
-            .when(parts == 2, F.concat_ws(".", database, name))
-            .otherwise(F.concat_ws(".", database, schema, name))
+        given = F.transform(
+            F.regexp_extract_all(name, F.lit(f"({NAME_PART})"), F.lit(1)),
+            lambda p: F.when(p.startswith('"'), F.substring(p, F.lit(2), F.length(p) - 2)).otherwise(F.upper(p)),
         )
+        missing = F.slice(F.array(F.upper(database), F.upper(schema)), F.lit(1), F.greatest(3 - F.size(given), F.lit(0)))
+        return F.concat_ws(".", missing, given)
 
-    names = F.transform(F.regexp_extract_all(source, F.lit(TABLE_REF), F.lit(1)), qualify)
+    lists = F.regexp_extract_all(source, F.lit(TABLE_LIST), F.lit(1))
+    listed = F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(LISTED_NAME), F.lit(1))))
+    names = F.transform(listed, qualify)
     if exclude_cte:
         ctes = F.transform(F.regexp_extract_all(source, F.lit(CTE_NAME), F.lit(1)), qualify)
         return F.array_sort(F.array_except(F.array_distinct(names), ctes))

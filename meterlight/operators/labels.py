@@ -48,16 +48,10 @@ PREDEFINED_LABELS = (
 )
 
 
-MAX_RULES = 1000
-
-
 def load_labels(table: DataFrame) -> list[Label]:
-    """The rules of a label table. They become part of the plan, so there may be 1000 at most."""
+    """The rules of a label table: configuration, read whole, as they become part of the plan."""
     rows = table.select("condition", "name", "group_name", "group_rank", "is_dynamic", "enabled")
-    found = rows.limit(MAX_RULES + 1).collect()
-    if len(found) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} labels")
-    return [Label(r[0], r[1], r[2], r[3], bool(r[4]), r[5]) for r in found]
+    return [Label(r[0], r[1], r[2], r[3], bool(r[4]), r[5]) for r in rows.collect()]
 
 
 def label_columns(labels: Iterable[Label]) -> list[Column]:

@@ -51,18 +51,13 @@ EMAIL_BODY = (
 )
 
 
-MAX_RULES = 1000
-
-
 def load_probes(table: DataFrame) -> list[Probe]:
-    """The rules of a monitor table, oldest first; 1000 at most, as they become part of the plan."""
+    """The rules of a monitor table, oldest first: configuration, read whole into the plan."""
     columns = (
         "name", "condition", "notify_writer", "notify_writer_method", "notify_other",
         "notify_other_method", "cancel", "enabled",
     )
-    found = table.orderBy("probe_created_at", "name").select(*columns).limit(MAX_RULES + 1).collect()
-    if len(found) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} monitors")
+    found = table.orderBy("probe_created_at", "name").select(*columns).collect()
     return [
         Probe(r[0], r[1], bool(r[2]), r[3] or "Email", r[4], r[5] or "Email", bool(r[6]), r[7]) for r in found
     ]

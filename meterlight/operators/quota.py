@@ -75,18 +75,3 @@ def day_totals(hourly: DataFrame, day: date | str) -> DataFrame:
         .groupBy(kind.alias("kind"), "name")
         .agg(F.sum("credits_used").alias("credits"))
     )
-
-
-def usage_map(hourly: DataFrame, day: date | str, parts: int = 16) -> DataFrame:
-    """Day totals as maps name -> credits, one row per kind and part.
-
-    A name belongs to the part its hash picks, so the maps of a kind are disjoint, their
-    union is whole, and no task holds all names of a large account.
-    """
-    part = F.conv(F.substring(F.md5("name"), 1, 4), 16, 10).cast("int") % parts
-    return (
-        day_totals(hourly, day)
-        .filter(F.col("name").isNotNull())
-        .groupBy("kind", part.alias("part"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("name", "credits"))).alias("usage"))
-    )

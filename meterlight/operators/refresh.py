@@ -19,7 +19,7 @@ EPOCH = datetime(1970, 1, 1)
 
 @dataclass(frozen=True)
 class Watermarks:
-    """Oldest start still running and newest end of a finished query."""
+    """Oldest start still running (else the last end seen) and newest end of a finished query."""
 
     oldest_running: datetime = EPOCH
     newest_completed: datetime = EPOCH
@@ -27,44 +27,60 @@ class Watermarks:
 
 @dataclass(frozen=True)
 class QueryRefresh:
+    """``incomplete`` replaces the open table if ``changed``; an empty feed leaves it as it is."""
+
     closed: DataFrame
     incomplete: DataFrame
     state: Watermarks
+    changed: bool
 
 
 def _ts(value: datetime):
     return F.lit(value).cast("timestamp_ntz")
 
 
-def refresh_queries(queries: DataFrame, state: Watermarks, as_of: datetime | str) -> QueryRefresh:
+def refresh_queries(
+    queries: DataFrame,
+    state: Watermarks,
+    as_of: datetime | str,
+    snapshot: str | None = None,
+    running_end: datetime | None = None,
+) -> QueryRefresh:
     """Slices that are new since ``state``: finished ones to append, open ones to replace.
 
-    Read: rows that start at or after the oldest running query and either still run or ended
-    at or after the newest end seen. Running rows carry an end before their start, so the
-    test on the end alone would lose them. The filters act on the raw columns, before rows
-    are cut, and reach the scan.
+    Read: rows that still run (they carry an end before their start) or ended at or after the
+    newest end seen, whenever they started: a query may start first and be logged last. A
+    finished row that arrives with an end before the newest one seen is not read; the
+    source's lateness allowance rules that out.
 
     Kept open: running rows, and rows that end exactly at the new watermark, because more
     rows with that end may still come; the next refresh reads both again. Everything else is
     closed for good. An empty ``state`` makes a full load.
+
+    The watermarks, the closed and the open rows must see the same log. Where it may grow
+    meanwhile, ``snapshot`` names a new folder on shared storage that the rows read are
+    written to first. ``running_end`` is the end the log gives all running rows, if it has
+    one; the test on the end then reaches the files and skips what was closed long ago.
     """
     running = F.col("start_time") > F.col("end_time")
-    new = queries.filter(
-        (F.col("start_time") >= _ts(state.oldest_running))
-        & (running | (F.col("end_time") >= _ts(state.newest_completed)))
-    )
+    unfinished = running if running_end is None else F.col("end_time") == _ts(running_end)
+    new = queries.filter(unfinished | (F.col("end_time") >= _ts(state.newest_completed)))
+    if snapshot is not None:
+        new.write.parquet(snapshot)
+        new = queries.sparkSession.read.schema(new.schema).parquet(snapshot)
     seen = new.agg(
         F.min(F.when(running, F.col("start_time"))).alias("oldest"),
         F.max("end_time").alias("last_end"),
         F.max(F.when(~running, F.col("end_time"))).alias("newest"),
     ).first()
     after = Watermarks(
-        max(seen.oldest or seen.last_end or EPOCH, state.oldest_running),
+        seen.oldest or seen.last_end or state.oldest_running,
         max(seen.newest or EPOCH, state.newest_completed),
     )
-    open_row = F.col("incomplete") | (F.col("end_time") == _ts(after.newest_completed))
-    slices = day_slices(new, as_of)
-    return QueryRefresh(slices.filter(~open_row), slices.filter(open_row), after)
+    newest = _ts(after.newest_completed)
+    open_row = F.col("incomplete") | (F.col("end_time") == newest)
+    slices = day_slices(new.filter(running | (F.col("end_time") <= newest)), as_of)
+    return QueryRefresh(slices.filter(~open_row), slices.filter(open_row), after, seen.last_end is not None)
 
 
 def refresh_simple(

@@ -21,7 +21,7 @@ def utilization(
     """Query credits joined with metered credits, both sides kept.
 
     Both sides are aggregated before the join, so the full outer join moves one row per
-    warehouse and period. Query work above the metered credits is capped at them, and the
+    warehouse and period, under the name of its latest query there. Query work above the metered credits is capped at them, and the
     ratio is NULL where nothing was metered. Serverless work is metered under id -1.
 
     Besides the ratio the parts are kept exact for further sums: ``unloaded_units`` where the
@@ -29,16 +29,16 @@ def utilization(
     """
     used = (
         slices.filter(~is_serverless_id("warehouse_id"))
-        .groupBy("st_period", "warehouse_id", "warehouse_name", "st_day" if grain == "day" else F.to_date("st_period").alias("st_day"))
-        .agg(F.count(F.lit(1)).alias("queries_executed"), F.sum("credit_units").alias("units"))
+        .groupBy("st_period", "warehouse_id", "st_day" if grain == "day" else F.to_date("st_period").alias("st_day"))
+        .agg(
+            F.count(F.lit(1)).alias("queries_executed"),
+            F.sum("credit_units").alias("units"),
+            F.max(F.struct("start_time", "warehouse_name"))["warehouse_name"].alias("warehouse_name"),
+        )
     )
-    keys = [trunc(grain, "start_time").alias("m_period"), F.col("warehouse_id").alias("m_id")]
-    if grain == "day" and "warehouse_name" in metering.columns:
-        keys.append(F.col("warehouse_name").alias("m_name"))
-    paid = metering.groupBy(*keys).agg(
+    paid = metering.groupBy(trunc(grain, "start_time").alias("m_period"), F.col("warehouse_id").alias("m_id")).agg(
         F.sum(F.col("credits_used_compute").cast(CREDITS)).alias("loaded")
     )
-    paid = paid.select("m_period", "m_id", "loaded")
     if serverless is not None:
         paid = paid.unionByName(
             serverless.groupBy(trunc(grain, "start_time").alias("m_period"))

@@ -158,10 +158,8 @@ FROM hq WHERE day = DATE '2000-06-01' GROUP BY ALL""",
 )
 def quota_usage_map(spark, d):
     hourly = quota.hourly_usage(adapters.query_history(spark, d), AS_OF)
-    maps = quota.usage_map(hourly, "2000-06-01")
-    return maps.select("kind", F.explode("usage").alias("name", "credits")).withColumn(
-        "credits", F.round("credits", 9)
-    )
+    rows = quota.day_totals(hourly, "2000-06-01").filter(F.col("name").isNotNull())
+    return rows.withColumn("credits", F.round("credits", 9))
 
 
 @register(
@@ -235,6 +233,7 @@ def table_layout(spark, d):
     )
 
 
+EARLY_LOAD = "1997-01-01 00:00:00"
 FIRST_LOAD = "1999-06-15 12:00:00"
 
 
@@ -243,20 +242,30 @@ FIRST_LOAD = "1999-06-15 12:00:00"
     o.with_(o.QH, o.SLICES) + "SELECT query_id, record_type, st, et, duration, incomplete, credit_units FROM slices",
 )
 def incr_refresh_queries(spark, d):
-    """Two refreshes, the first when part of the log was there and part still ran.
+    """Four refreshes that lose no row.
 
-    Closed rows are appended to a table, open rows replace a second one, and the union of both
-    must equal a full load.
+    The first sees no running query, so those that ran then arrive later with an earlier start;
+    its newest row ends exactly at the watermark. The second sees an empty log. Closed rows
+    are appended to a table, open rows replace a second one, and the union of both must equal
+    a full load.
     """
     path = workspace(spark, "queries")
     log = adapters.query_history(spark, d)
     columns = ["query_id", "record_type", "st", "et", "duration", "incomplete", "credit_units"]
-    first = rf.refresh_queries(adapters.query_history_at(log, FIRST_LOAD), rf.Watermarks(), FIRST_LOAD)
-    first.closed.select(*columns).write.mode("append").parquet(f"{path}/closed")
-    first.incomplete.select(*columns).write.mode("overwrite").parquet(f"{path}/incomplete")
-    second = rf.refresh_queries(log, first.state, AS_OF)
-    second.closed.select(*columns).write.mode("append").parquet(f"{path}/closed")
-    second.incomplete.select(*columns).write.mode("overwrite").parquet(f"{path}/incomplete")
+    start = adapters.query_history_at(log, EARLY_LOAD).filter("start_time <= end_time")
+    feeds = (
+        (start, EARLY_LOAD),
+        (log.filter("false"), "1997-02-01 00:00:00"),
+        (adapters.query_history_at(log, FIRST_LOAD), FIRST_LOAD),
+        (log, AS_OF),
+    )
+    state = rf.Watermarks()
+    for i, (feed, at) in enumerate(feeds):
+        step = rf.refresh_queries(feed, state, at, snapshot=f"{path}/read{i}", running_end=rf.EPOCH)
+        step.closed.select(*columns).write.mode("append").parquet(f"{path}/closed")
+        if step.changed:
+            step.incomplete.select(*columns).write.mode("overwrite").parquet(f"{path}/incomplete")
+        state = step.state
     return spark.read.parquet(f"{path}/closed").unionByName(spark.read.parquet(f"{path}/incomplete"))
 
 
@@ -269,7 +278,7 @@ def incr_refresh(spark, d):
     """Three refreshes without tables between them, aggregated by day."""
     log = adapters.query_history(spark, d)
     state, closed = rf.Watermarks(), []
-    for at in ("1997-01-01 00:00:00", FIRST_LOAD, AS_OF):
+    for at in (EARLY_LOAD, FIRST_LOAD, AS_OF):
         step = rf.refresh_queries(adapters.query_history_at(log, at), state, at)
         state = step.state
         closed.append(step.closed)

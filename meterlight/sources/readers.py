@@ -63,10 +63,8 @@ def active_users(users: DataFrame) -> DataFrame:
 
 def warehouse_dim(warehouses: DataFrame) -> DataFrame:
     """One row per warehouse name with size and type; the smallest pair of repeated names."""
-    return warehouses.groupBy("warehouse_name").agg(
-        F.min("warehouse_size").alias("warehouse_size"),
-        F.min("warehouse_type").alias("warehouse_type"),
-    )
+    pair = F.min(F.struct("warehouse_size", "warehouse_type"))
+    return warehouses.groupBy("warehouse_name").agg(pair.alias("pair")).select("warehouse_name", "pair.*")
 
 
 def date_spine(spark: SparkSession, as_of: datetime | str, days: int = 730) -> DataFrame:

@@ -9,7 +9,9 @@ from meterlight.functions import maps, tags, text
 from meterlight.operators import labels as lb
 from meterlight.operators import maintenance as mt
 from meterlight.operators import monitors as mon
+from meterlight.operators import utilization as ut
 from meterlight.operators.skew import lookup
+from meterlight.sources import readers
 
 D = datetime
 
@@ -172,6 +174,49 @@ def test_text(spark):
     assert rows[2].all == ["D.S.V", "DB0.MAIN.BASE", "DB0.MAIN.C", "DB0.S.U"]
 
 
+def test_text_with_literals_lists_and_quotes(spark):
+    sql = [
+        "select 1 from a, b as x, s.c y where note = '-- not a comment' and 1 = 1 join t2 on true",
+        'select 1 from "My T" join d."S 1".v using (k) -- from gone',
+        "select extract(day from ts) /* from no */ from t where x = 'from lit' order by 1",
+        "select 1 from a where note = '-- other' join t3 on true",
+    ]
+    df = spark.createDataFrame([(i, q) for i, q in enumerate(sql)], "i int, q string")
+    rows = df.select(
+        text.fingerprint("q").alias("f"), text.strip_comments("q").alias("s"),
+        text.referenced_tables("q", F.lit("db0"), F.lit("main")).alias("t"),
+    ).orderBy("i").collect()
+    assert rows[0].t == ["DB0.MAIN.A", "DB0.MAIN.B", "DB0.MAIN.T2", "DB0.S.C"]
+    assert rows[1].t == ["D.S 1.V", "DB0.MAIN.My T"]
+    assert rows[2].t == ["DB0.MAIN.T"]
+    assert rows[3].s == sql[3] and rows[1].s.endswith("(k) ")
+    assert len({r.f for r in rows}) == 4
+
+
+def test_many_rules_are_read_whole(spark):
+    table = spark.range(1500).selectExpr(
+        "'id % 1500 = ' || id AS condition", "'label_' || id AS name", "CAST(NULL AS string) AS group_name",
+        "CAST(NULL AS int) AS group_rank", "false AS is_dynamic", "true AS enabled",
+    )
+    assert len(lb.load_labels(table)) == 1500
+
+
+def test_size_and_type_of_a_warehouse_come_from_one_row(spark):
+    rows = [("W", "Large", "STANDARD"), ("W", "Small", "SNOWPARK-OPTIMIZED")]
+    dim = readers.warehouse_dim(spark.createDataFrame(rows, "warehouse_name string, warehouse_size string, warehouse_type string"))
+    assert [tuple(r) for r in dim.collect()] == [("W", "Large", "STANDARD")]
+
+
+def test_renamed_warehouse_has_one_row_a_day(spark):
+    used = [(1, "OLD", D(2024, 1, 1), D(2024, 1, 1, 3), 100), (1, "NEW", D(2024, 1, 1), D(2024, 1, 1, 9), 100)]
+    paid = [(1, "OLD", D(2024, 1, 1, 3), 5.0), (1, "NEW", D(2024, 1, 1, 9), 7.0)]
+    slices = spark.createDataFrame(used, "warehouse_id long, warehouse_name string, st_period timestamp_ntz, start_time timestamp_ntz, credit_units long")
+    slices = slices.withColumn("st_day", F.to_date("st_period"))
+    metering = spark.createDataFrame(paid, "warehouse_id long, warehouse_name string, start_time timestamp_ntz, credits_used_compute double")
+    rows = ut.utilization(slices, metering).collect()
+    assert [(r.warehouse_name, r.queries, r.loaded_cc) for r in rows] == [("NEW", 2, 12.0)]
+
+
 def test_very_long_literals(spark):
     long = "x" * 200_000 + "''" * 50_000
     df = spark.createDataFrame([(f"select '{long}', 12",), ("select 'a', 7",)], "q string")

@@ -121,10 +121,8 @@ def test_quota(spark):
     got = {(r.persona, r.name): (r.day, r.hour_of_day, r.credits_used) for r in out.collect()}
     at = (date(2024, 1, 1), 10)
     assert got == {("user", "ann"): (*at, 2.75), ("user", "bob"): (*at, 0.0), ("role", "R"): (*at, 2.75)}
-    for parts in (1, 7):
-        maps = quota.usage_map(out, "2024-01-01", parts).collect()
-        merged = {(r.kind, k): v for r in maps for k, v in r.usage.items()}
-        assert merged == {("users", "ann"): 2.75, ("users", "bob"): 0.0, ("roles", "R"): 2.75}
+    totals = {(r.kind, r.name): r.credits for r in quota.day_totals(out, "2024-01-01").collect()}
+    assert totals == {("users", "ann"): 2.75, ("users", "bob"): 0.0, ("roles", "R"): 2.75}
     assert quota.recent(spark.createDataFrame(rows, ddl), "2024-01-01 10:30:00").count() == 4
 
 
@@ -203,7 +201,24 @@ def test_refresh_keeps_boundary_and_running_rows_open(spark):
     two = rf.refresh_queries(second, one.state, "2024-01-01 07:00:00")
     assert ids(two.closed) == ["b", "d"] and ids(two.incomplete) == ["c", "e"]
     none = rf.refresh_queries(second.limit(0), two.state, "2024-01-01 08:00:00")
-    assert none.state == two.state and none.closed.count() == 0
+    assert none.state == two.state and none.closed.count() == 0 and not none.changed
+
+
+@pytest.mark.parametrize("running_end", [None, D(1970, 1, 1)])
+def test_refresh_without_running_rows_loses_nothing(spark, tmp_path, running_end):
+    hours = {"a": (1, 2), "b": (1, 4), "c": (5, 6), "d": (0, 7), "e": (6, 7)}
+    at = lambda names: queries(spark, [(n, *(D(2024, 1, 1, h) for h in hours[n])) for n in names])
+    ids = lambda df: [r.query_id for r in df.filter("record_type = 'DAILY'").collect()]
+    state, closed, kept = rf.Watermarks(), [], []
+    for i, names in enumerate(["ab", "ab", "abcd", "", "abcde"]):
+        feed = at(names) if names else at("a").limit(0)
+        step = rf.refresh_queries(feed, state, "2024-01-01 09:00:00", str(tmp_path / f"read{i}"), running_end)
+        closed += ids(step.closed)
+        if step.changed:
+            kept = ids(step.incomplete)
+        state = step.state
+    assert sorted(closed + kept) == ["a", "b", "c", "d", "e"]
+    assert state.newest_completed == D(2024, 1, 1, 7)
 
 
 def test_simple_refresh_takes_boundary_rows_once(spark):
