@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -16,15 +16,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlight.llm.common import Memo, arrow_map, blanks, cut, documents, held, portions
+from meterlight.llm.common import arrow_map, blanks, cut, documents, held, portions
 
 #: The most frequent words, which every task holds; all others are joined. With at most
 #: HOT_CHARS characters a word this bounds what is broadcast.
 HOT_WORDS = 250_000
 HOT_CHARS = 40
 ASCII_BLANKS = " \t\n\x0b\x0c\r"
-#: Entries of each generation of a worker's memory of chunks between blanks.
-CACHE_CHUNKS = 200_000
 #: Different words that a task counts before it sends them.
 COUNTED_WORDS = 600_000
 
@@ -47,7 +45,15 @@ class Splitter:
         splits = [p["pattern"]["Regex"] for p in given["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.words = regex.compile(splits[0].replace(r"[^\s", r"[^\p{White_Space}")).findall
         self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.chunk_words = Memo(lambda chunks: map(self.words, chunks), CACHE_CHUNKS)
+
+    def chunk(self, text: str) -> list[str]:
+        """The words of a chunk; most are ASCII letters, with or without one mark behind them."""
+        if text.isascii():
+            if text.isalpha():
+                return [text]
+            if text[:-1].isalpha() and not text[-1].isalnum():
+                return [text[:-1], text[-1]]
+        return self.words(text)
 
     def normal(self, text: str) -> str:
         # Lower case letter by letter: a final sigma has no form of its own.
@@ -64,7 +70,7 @@ class Splitter:
         """(words of each different chunk, chunk at each position, first position of each text and the end)."""
         special = {i: t for i, t in enumerate(texts) if "<|" in t}
         chunks, index, offsets = cut(["" if i in special else self.normal(t) for i, t in enumerate(texts)])
-        words = self.chunk_words(chunks)
+        words = list(map(self.chunk, chunks))
         # A text with something like a special token is one chunk of its own.
         for i, t in special.items():
             index[offsets[i]] = len(words)
@@ -117,7 +123,7 @@ def word_table(docs: DataFrame, vocabulary: str) -> DataFrame:
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        split, counts = _once(Splitter, vocabulary), Counter()
+        split, counts = _once(Splitter, vocabulary), defaultdict(int)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             for first, end in portions(texts):
@@ -143,6 +149,22 @@ def word_table(docs: DataFrame, vocabulary: str) -> DataFrame:
     )
 
 
+def _least_count(words: DataFrame, most: int) -> int:
+    """The count from which on at most ``most`` words of at most HOT_CHARS characters are seen.
+
+    It is a power of the eighth root of two, so that the histogram stays small whatever the corpus.
+    """
+    step = F.floor(F.log2("n") * 8).cast("int")
+    bins = words.where(F.length("word") <= HOT_CHARS).groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n")).collect()
+    least, total = 1 << 62, 0
+    for b in sorted(bins, key=lambda b: -b["step"]):
+        total += b["words"]
+        if total > most:
+            break
+        least = b["n"]
+    return least
+
+
 def _joined(docs: DataFrame, vocabulary: str, hot_words: int) -> tuple[DataFrame, object]:
     """Documents with the table entries of their rarer words, and the frequent entries.
 
@@ -152,7 +174,8 @@ def _joined(docs: DataFrame, vocabulary: str, hot_words: int) -> tuple[DataFrame
     spark = docs.sparkSession
     words = held(word_table(docs, vocabulary), "bpe-words")
     entry = words.select("word", "n", F.size("ids").alias("size"), F.concat_ws(" ", F.col("ids").cast("array<string>")).alias("ids"), F.concat_ws(" ", "pieces").alias("pieces"))
-    hot = entry.where(F.length("word") <= HOT_CHARS).orderBy(F.desc("n"), "word").limit(hot_words).drop("n").toArrow()
+    least = _least_count(words, hot_words)
+    hot = entry.where((F.length("word") <= HOT_CHARS) & (F.col("n") >= least)).drop("n").toArrow()
     frequent = spark.sparkContext.broadcast(hot)
     keyed = documents(docs).withColumn("key", F.xxhash64("doc_id", "text"))
 
@@ -201,10 +224,11 @@ def _each_text(frequent, vocabulary: str, batches: Iterator[pa.RecordBatch]) ->
     for batch in batches:
         for start in range(0, batch.num_rows, 4_000):
             b = batch.slice(start, 4_000)
-            doc_ids, rare = b.column("doc_id").to_pylist(), b.column("rare").to_pylist()
+            doc_ids, rare = b.column("doc_id").to_pylist(), b.column("rare")
             texts = [grow(t).decode() for t in b.column("text").to_pylist()]
             for first, end in portions(texts):
-                own = {r["word"]: (r["size"], r["ids"], r["pieces"]) for found in rare[first:end] for r in found or ()}
+                found = rare.slice(first, end - first).flatten()
+                own = dict(zip(found.field("word").to_pylist(), zip(*(found.field(k).to_pylist() for k in ("size", "ids", "pieces")))))
                 words, index, offsets = split(texts[first:end])
                 entries = [[known.get(w) or own[w] for w in chunk] for chunk in words]
                 yield doc_ids[first:end], entries, index, offsets
