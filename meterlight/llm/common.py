@@ -52,7 +52,7 @@ def arrow_map(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in each(batches):
             yield pa.RecordBatch.from_arrays(
-                [x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow
+                [x.cast(f.type) if isinstance(x := columns[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow
             )
 
     return df.mapInArrow(run, schema)

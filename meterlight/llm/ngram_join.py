@@ -185,37 +185,26 @@ def _each_set(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield first, shingle_sets(texts[first:end])
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_hash): a row per document; equal sets have equal 128-bit hashes."""
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, set_hash, keys, bits): a row per document, all from one pass over the texts.
+
+    Equal sets have equal 128-bit hashes. An empty set has no hash and no keys.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             for first, sets in _each_set(b):
+                found = [keys(s) if len(s) else np.empty(0, np.uint64) for s in sets]
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 yield {
                     "doc_id": b.column("doc_id").slice(first, len(sets)),
                     "n_shingles": [len(s) for s in sets],
                     "set_hash": [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets],
+                    "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64))),
+                    "bits": [bitmap(s) for s in sets],
                 }
 
-    return arrow_map(documents(docs), each, "doc_id long, n_shingles long, set_hash binary")
-
-
-def _keyed(texts: DataFrame) -> DataFrame:
-    """(key, id) for every document that stands for its set."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for b in batches:
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            for first, sets in _each_set(b):
-                for at in range(0, len(sets), 500):
-                    found = [keys(s) if len(s) else np.empty(0, np.uint64) for s in sets[at : at + 500]]
-                    size = [len(f) for f in found]
-                    yield {
-                        "key": pa.array(np.concatenate(found).view(np.int64)),
-                        "id": pa.array(np.repeat(ids[first + at : first + at + len(found)].astype(np.int64), size)),
-                    }
-
-    return arrow_map(texts, each, "key long, id long")
+    return arrow_map(documents(docs), each, "doc_id long, n_shingles long, set_hash binary, keys array<long>, bits binary")
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
@@ -245,8 +234,27 @@ def _shared(keyed: DataFrame) -> DataFrame:
     return arrow_map(keyed.repartition("key"), each, "key long, id long, least long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole texts are linked."""
+def _possible(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and parity bitmaps leave possible."""
+    left = sketch.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    some = pairs.join(sketch.withColumnRenamed("id", "b"), "b").join(left, "a").select("a", "b", "n", "n_a", "bits", "bits_a")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            if b.num_rows:
+                n, m = b.column("n").to_numpy(), b.column("n_a").to_numpy()
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("bits", "bits_a"))
+                bound = (n + m) * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
+                fits = pa.array((np.abs(n - m) <= bound) & (np.bitwise_count(x ^ y).sum(axis=1) <= bound))
+                yield {c: b.column(c).filter(fits) for c in ("a", "b")}
+
+    return arrow_map(some, each, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of a written table whose whole texts are linked."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts = held(docs.join(ids, "doc_id", "left_semi"), "ngram-texts")
     some = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(
         texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text")), "a"
     )
@@ -257,11 +265,12 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             texts, others = b.column("text").to_pylist(), b.column("text_b").to_pylist()
             for first, end in portions(others, _STEP):
                 out, right_sets = {"a": [], "b": []}, shingle_sets(others[first:end])
-                different = dict(zip(left[first:end], texts[first:end]))
-                for at in portions(list(different.values()), _STEP):
-                    kept = dict(zip(list(different)[slice(*at)], shingle_sets(list(different.values())[slice(*at)])))
-                    for x, y, s in zip(left[first:end], right[first:end], right_sets):
-                        if x in kept and linked(kept[x], s):
+                # A text of many pairs is cut once.
+                different = list(dict.fromkeys(texts[first:end]))
+                for at in portions(different, _STEP):
+                    kept = dict(zip(different[slice(*at)], shingle_sets(different[slice(*at)])))
+                    for x, y, t, s in zip(left[first:end], right[first:end], texts[first:end], right_sets):
+                        if t in kept and linked(kept[t], s):
                             out["a"].append(x)
                             out["b"].append(y)
                 yield out
@@ -269,20 +278,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return arrow_map(some.select("a", "b", "text", "text_b"), each, "a long, b long")
 
 
-def _bitmaps(texts: DataFrame) -> DataFrame:
-    """(id, n, bits)."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for b in batches:
-            for first, sets in _each_set(b):
-                yield {"id": b.column("doc_id").slice(first, len(sets)), "n": [len(s) for s in sets], "bits": [bitmap(s) for s in sets]}
-
-    return arrow_map(texts, each, "id long, n long, bits binary")
-
-
 def _open_pairs(members: DataFrame, most: int) -> DataFrame:
-    """(a, b) from (key, id, least, component, n, bits): pairs of a key in different components
-    that size and bitmap leave possible, at most ``most`` of each two components in a block.
+    """(a, b, cut) from (key, id, least, component, n, bits): pairs of a key in different components
+    that size and bitmap leave possible, at most ``most`` of each two components in a block; cut
+    marks pairs of a block that has more.
 
     Keys with many members are divided into blocks, and two blocks meet in a task of their own.
     """
@@ -304,7 +303,7 @@ def _open_pairs(members: DataFrame, most: int) -> DataFrame:
         if waiting:
             yield _pairs_of(waiting, most)
 
-    return arrow_map(met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "id"), each, "a long, b long").distinct()
+    return arrow_map(met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "id"), each, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
 
 def _pairs_of(rows: list[tuple], most: int) -> dict:
@@ -313,6 +312,7 @@ def _pairs_of(rows: list[tuple], most: int) -> dict:
     bits = np.frombuffer(b"".join(bits), np.uint64).reshape(len(ids), -1)
     out: dict[str, list] = {"a": [], "b": []}
     seen: dict[tuple, int] = {}
+    cut = False
     for i in range(len(ids)):
         js = np.arange(i + 1, len(ids))
         if low[0] != high[0]:
@@ -331,7 +331,9 @@ def _pairs_of(rows: list[tuple], most: int) -> dict:
                 seen[two] = seen.get(two, 0) + 1
                 out["a"].append(int(min(ids[i], ids[j])))
                 out["b"].append(int(max(ids[i], ids[j])))
-    return out
+            else:
+                cut = True
+    return out | {"cut": [cut] * len(out["a"])}
 
 
 def joined(docs: DataFrame) -> DataFrame:
@@ -346,50 +348,60 @@ def joined(docs: DataFrame) -> DataFrame:
 
     1. Equal sets become one class, known by its smallest doc_id; only classes go on.
     2. Every class emits the keys of its size band. Each key's members are compared with its
-       smallest id, which joins groups of copies without looking at all their pairs.
-    3. What then shares a key but no component is compared by size and parity bitmap, and what
-       stays possible by text: first a few pairs for each two components, then more, until no
-       pair is open.
+       smallest id by size and parity bitmap. Of what stays possible, one pair for each id is
+       compared by text, then those that are still in different components; so groups of
+       copies are joined without looking at all their pairs.
+    3. What then shares a key but no component is compared in the same way: first a few pairs
+       for each two components, then more, until no pair is open.
     """
     texts = documents(docs).where(F.col("doc_id").isNotNull())
-    measured = held(sizes(docs), "ngram-sizes")
-    classes = held(
-        measured.where(F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull()).groupBy("set_hash").agg(F.min("doc_id").alias("id")), "ngram-classes"
-    )
-    standing = texts.join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    shared = held(_shared(_keyed(standing)), "ngram-keys")
+    measured = held(signatures(docs), "ngram-sets")
+    known = measured.where(F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull())
+    classes = held(known.groupBy("set_hash").agg(F.min("doc_id").alias("id")), "ngram-classes")
+    standing = known.join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    shared = held(_shared(standing.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))), "ngram-keys")
+    sketch = known.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bits")
     star = shared.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    needed = held(texts.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "ngram-texts")
-    links = held(_verified(star, needed), "ngram-links")
+    possible = held(_possible(star, sketch), "ngram-pairs")
+    first = held(possible.groupBy("b").agg(F.min("a").alias("a")), "ngram-pairs")
+    links = held(_verified(first, texts), "ngram-links")
     # Documents with the same id and different texts are one document.
-    doubled = measured.where(F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull()).join(classes, "set_hash").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).where("a != b")
-    found, tested, most = components(links), None, 4
-    sketch = None
+    of_class = known.select("doc_id", "set_hash").join(classes, "set_hash").select("doc_id", "id").distinct()
+    several = of_class.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a != last").drop("last")
+    links = links.unionByName(held(of_class.join(several, "doc_id").where("id != a").select("a", F.col("id").alias("b")), "ngram-links"))
+    found = components(links)
+    rest = held(_apart(possible.join(first, ["a", "b"], "left_anti"), found), "ngram-pairs")
+    if not rest.isEmpty():
+        links = links.unionByName(held(_verified(rest, texts), "ngram-links"))
+        found = components(links)
+    tested, most = None, 4
     while True:
         members = shared.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         # Keys whose members are all in one component have nothing open.
         per_key = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low != high and size > 2")
-        if per_key.isEmpty():
-            break
-        sketch = sketch or held(_bitmaps(needed), "ngram-bitmaps")
         open_members = members.join(per_key.select("key", "size"), "key").join(sketch, "id")
-        pairs = _open_pairs(open_members.select("key", "id", "least", "component", "n", "bits", "size"), most)
-        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = held(pairs, "ngram-pairs")
-        if pairs.isEmpty():
-            if most >= BLOCK * BLOCK:
-                break
-            most = BLOCK * BLOCK
-            continue
-        more = held(_verified(pairs, needed), "ngram-links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = links.unionByName(more)
-        if not more.isEmpty():
-            found = components(links)
-        most = min(most * 16, BLOCK * BLOCK)
-    # Through the classes to all documents; an id may stand in several classes.
-    whole = components(links.unionByName(doubled)).withColumnRenamed("id", "doc_id")
-    return measured.join(whole, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        pairs = held(_open_pairs(open_members.select("key", "id", "least", "component", "n", "bits", "size"), most), "ngram-pairs")
+        cut = not pairs.where("cut").isEmpty()
+        fresh = pairs.select("a", "b") if tested is None else held(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"), "ngram-pairs")
+        if not fresh.isEmpty():
+            tested = fresh if tested is None else tested.unionByName(fresh)
+            more = held(_verified(fresh, texts), "ngram-links")
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                found = components(links)
+        if not cut:
+            break
+        most *= 64
+    # Through the classes to all documents. A class is known by its smallest doc_id.
+    whole = classes.join(found, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return measured.join(whole, "set_hash", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ids lie in different components."""
+    a, b = (found.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
+    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
