@@ -27,6 +27,8 @@ DELETION_KEYS = 24
 BITS = 1024
 #: Members of a key that are compared in one task; larger ones are divided into blocks.
 BLOCK = 2048
+#: Pairs of a block whose bitmaps are compared at once.
+PAIRS = 100_000
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -186,29 +188,40 @@ def _each_set(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, keys, bits): a row per document, all from one pass over the texts.
+    """(doc_id, n_shingles, set_hash, set_id, keys, bits): a row per document, all from one pass over the texts.
 
-    Equal sets have equal 128-bit hashes. An empty set has no hash and no keys.
+    Equal sets have equal 128-bit hashes; set_id is the first half. An empty set has neither. Of
+    equal sets of a task only the first that has a doc_id carries its keys.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        done: set[bytes] = set()
         for b in batches:
+            doc_ids = b.column("doc_id").to_pylist()
             for first, sets in _each_set(b):
-                found = [keys(s) if len(s) else np.empty(0, np.uint64) for s in sets]
+                hashes = [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets]
+                found = []
+                for doc_id, s, h in zip(doc_ids[first:], sets, hashes):
+                    new = doc_id is not None and h is not None and h not in done
+                    found.append(keys(s) if new else np.empty(0, np.uint64))
+                    if new:
+                        done.add(h)
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 yield {
                     "doc_id": b.column("doc_id").slice(first, len(sets)),
                     "n_shingles": [len(s) for s in sets],
-                    "set_hash": [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets],
+                    "set_hash": hashes,
+                    "set_id": [h and int.from_bytes(h[:8], "big", signed=True) for h in hashes],
                     "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64))),
                     "bits": [bitmap(s) for s in sets],
                 }
 
-    return arrow_map(documents(docs), each, "doc_id long, n_shingles long, set_hash binary, keys array<long>, bits binary")
+    schema = "doc_id long, n_shingles long, set_hash binary, set_id long, keys array<long>, bits binary"
+    return arrow_map(documents(docs), each, schema)
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
-    """(key, id, least) for the ids of keys that several ids have; least is the key's smallest id.
+    """(key, id, least) for the ids of keys that several ids have; least is the smallest of them.
 
     Nearly all keys stand alone. The rows are dealt by key once; each task sorts its own in
     numpy. A key has one row for each different set, never one for each copy.
@@ -312,25 +325,28 @@ def _pairs_of(rows: list[tuple], most: int) -> dict:
     bits = np.frombuffer(b"".join(bits), np.uint64).reshape(len(ids), -1)
     out: dict[str, list] = {"a": [], "b": []}
     seen: dict[tuple, int] = {}
-    cut = False
-    for i in range(len(ids)):
-        js = np.arange(i + 1, len(ids))
+    cut, step = False, max(PAIRS // len(ids), 1)
+    for first in range(0, len(ids), step):
+        i, j = np.nonzero(np.arange(len(ids)) > np.arange(first, min(first + step, len(ids)))[:, None])
+        i += first
+        # Pairs with the key's least have been compared before.
+        fits = (component[i] != component[j]) & (ids[i] != least[i]) & (ids[j] != least[j])
         if low[0] != high[0]:
-            js = js[block[js] != block[i]]
-        # Pairs with the key's smallest id have been compared before.
-        js = js[(component[js] != component[i]) & (ids[js] != least[js])] if ids[i] != least[i] else js[:0]
-        if not len(js):
-            continue
-        bound = (n[js] + n[i]) * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
-        js = js[(np.abs(n[js] - n[i]) <= bound)]
-        bound = (n[js] + n[i]) * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
-        differ = np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1)
-        for j in js[differ <= bound][np.argsort(differ[differ <= bound], kind="stable")].tolist():
-            two = (min(component[i], component[j]), max(component[i], component[j]))
+            fits &= block[i] != block[j]
+        i, j = i[fits], j[fits]
+        bound = (n[i] + n[j]) * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
+        fits = np.abs(n[i] - n[j]) <= bound
+        i, j, bound = i[fits], j[fits], bound[fits]
+        differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1)
+        fits = differ <= bound
+        i, j = i[fits], j[fits]
+        order = np.lexsort((differ[fits], i))
+        for x, y in zip(i[order].tolist(), j[order].tolist()):
+            two = (min(component[x], component[y]), max(component[x], component[y]))
             if seen.get(two, 0) < most:
                 seen[two] = seen.get(two, 0) + 1
-                out["a"].append(int(min(ids[i], ids[j])))
-                out["b"].append(int(max(ids[i], ids[j])))
+                out["a"].append(int(min(ids[x], ids[y])))
+                out["b"].append(int(max(ids[x], ids[y])))
             else:
                 cut = True
     return out | {"cut": [cut] * len(out["a"])}
@@ -347,8 +363,8 @@ def joined(docs: DataFrame) -> DataFrame:
     empty one.
 
     1. Equal sets become one class, known by its smallest doc_id; only classes go on.
-    2. Every class emits the keys of its size band. Each key's members are compared with its
-       smallest id by size and parity bitmap. Of what stays possible, one pair for each id is
+    2. Every class emits the keys of its size band. Each key's members are compared with one
+       of them by size and parity bitmap. Of what stays possible, one pair for each id is
        compared by text, then those that are still in different components; so groups of
        copies are joined without looking at all their pairs.
     3. What then shares a key but no component is compared in the same way: first a few pairs
@@ -357,9 +373,12 @@ def joined(docs: DataFrame) -> DataFrame:
     texts = documents(docs).where(F.col("doc_id").isNotNull())
     measured = held(signatures(docs), "ngram-sets")
     known = measured.where(F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull())
-    classes = held(known.groupBy("set_hash").agg(F.min("doc_id").alias("id")), "ngram-classes")
-    standing = known.join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    shared = held(_shared(standing.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))), "ngram-keys")
+    classes = held(known.groupBy("set_hash", "set_id").agg(F.min("doc_id").alias("id")), "ngram-classes")
+    # Keys move under the set's id; the classes of those that meet are looked up afterwards. Sets
+    # of equal id and different hash would both be found.
+    shared = _shared(known.select(F.explode("keys").alias("key"), F.col("set_id").alias("id")))
+    own, pivot = classes.select(F.col("set_id").alias("of"), F.col("id").alias("own")), classes.select(F.col("set_id").alias("least"), F.col("id").alias("pivot"))
+    shared = held(shared.withColumnRenamed("id", "of").join(own, "of").join(pivot, "least").select("key", F.col("own").alias("id"), F.col("pivot").alias("least")), "ngram-keys")
     sketch = known.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bits")
     star = shared.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     possible = held(_possible(star, sketch), "ngram-pairs")
