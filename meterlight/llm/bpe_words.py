@@ -22,6 +22,8 @@ from meterlight.llm.common import arrow_map, blanks, cut, documents, held, porti
 #: HOT_CHARS characters a word this bounds what is broadcast.
 HOT_WORDS = 250_000
 HOT_CHARS = 40
+#: Bytes of text that a task cuts into words together, about.
+CUT_BYTES = 4 << 20
 ASCII_BLANKS = " \t\n\x0b\x0c\r"
 #: Different words that a task counts before it sends them.
 COUNTED_WORDS = 600_000
@@ -40,7 +42,6 @@ class Splitter:
 
         with open(path, encoding="utf-8") as f:
             given = json.load(f)
-        self.vocabulary: dict[str, int] = given["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in given["added_tokens"]}
         splits = [p["pattern"]["Regex"] for p in given["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.words = regex.compile(splits[0].replace(r"[^\s", r"[^\p{White_Space}")).findall
@@ -126,7 +127,7 @@ def word_table(docs: DataFrame, vocabulary: str) -> DataFrame:
         split, counts = _once(Splitter, vocabulary), defaultdict(int)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            for first, end in portions(texts):
+            for first, end in portions(texts, CUT_BYTES):
                 words, index, _ = split(texts[first:end])
                 for chunk, n in zip(words, np.bincount(index, minlength=len(words)).tolist()):
                     if n:
@@ -183,7 +184,7 @@ def _joined(docs: DataFrame, vocabulary: str, hot_words: int) -> tuple[DataFrame
         split, known, done = _once(Splitter, vocabulary), _entries(frequent), set()
         for b in batches:
             keys, texts = b.column("key").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
-            for first, end in portions(texts):
+            for first, end in portions(texts, CUT_BYTES):
                 words, index, offsets = split(texts[first:end])
                 unknown = [[w for w in chunk if w not in known] for chunk in words]
                 at = np.flatnonzero(np.array([bool(u) for u in unknown])[index])
@@ -198,7 +199,8 @@ def _joined(docs: DataFrame, vocabulary: str, hot_words: int) -> tuple[DataFrame
                 done.clear()
 
     wanted = arrow_map(keyed, rare, "key long, word string")
-    found = wanted.join(entry.drop("n"), "word").groupBy("key").agg(F.collect_set(F.struct("word", "size", "ids", "pieces")).alias("rare"))
+    # An entry travels as one text; words, ids and pieces hold no tab.
+    found = wanted.join(entry.drop("n", "size"), "word").groupBy("key").agg(F.collect_set(F.concat_ws("\t", "word", "ids", "pieces")).alias("rare"))
 
     def shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         shrink = zstandard.ZstdCompressor(level=3).compress
@@ -226,9 +228,9 @@ def _each_text(frequent, vocabulary: str, batches: Iterator[pa.RecordBatch]) ->
             b = batch.slice(start, 4_000)
             doc_ids, rare = b.column("doc_id").to_pylist(), b.column("rare")
             texts = [grow(t).decode() for t in b.column("text").to_pylist()]
-            for first, end in portions(texts):
-                found = rare.slice(first, end - first).flatten()
-                own = dict(zip(found.field("word").to_pylist(), zip(*(found.field(k).to_pylist() for k in ("size", "ids", "pieces")))))
+            for first, end in portions(texts, CUT_BYTES):
+                found = (e.split("\t") for e in rare.slice(first, end - first).flatten().to_pylist())
+                own = {word: (ids.count(" ") + 1, ids, text) for word, ids, text in found}
                 words, index, offsets = split(texts[first:end])
                 entries = [[known.get(w) or own[w] for w in chunk] for chunk in words]
                 yield doc_ids[first:end], entries, index, offsets
