@@ -31,6 +31,15 @@ def held(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that one task writes, about, and the fewest tasks that write a table.
+NARROW_ROWS, NARROW_TASKS = 500_000, 8
+
+
+def held_narrow(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """Like :func:`held` for at most ``rows`` rows of a few numbers: as many files as they fill."""
+    return held(df.coalesce(max(NARROW_TASKS, -(-rows // NARROW_ROWS))), name)
+
+
 def documents(docs: DataFrame) -> DataFrame:
     """Only (doc_id, text): other columns, whatever their names, never reach an operator."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlight.llm.common import arrow_map, documents, held, portions
-from meterlight.llm.graph import components
+from meterlight.llm.common import arrow_map, documents, held, held_narrow, portions
+from meterlight.llm.graph import apart, components
 
 SHINGLE = 5
 #: Similarity of linked documents, as a fraction.
@@ -382,17 +382,22 @@ def joined(docs: DataFrame) -> DataFrame:
     sketch = known.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bits")
     star = shared.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     possible = held(_possible(star, sketch), "ngram-pairs")
-    first = held(possible.groupBy("b").agg(F.min("a").alias("a")), "ngram-pairs")
+    n_possible = possible.count()
+    first = held_narrow(possible.groupBy("b").agg(F.min("a").alias("a")), "ngram-pairs", n_possible)
     links = held(_verified(first, texts), "ngram-links")
     # Documents with the same id and different texts are one document.
-    of_class = known.select("doc_id", "set_hash").join(classes, "set_hash").select("doc_id", "id").distinct()
-    several = of_class.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a != last").drop("last")
-    links = links.unionByName(held(of_class.join(several, "doc_id").where("id != a").select("a", F.col("id").alias("b")), "ngram-links"))
+    n_known = measured.count()
+    several = known.groupBy("doc_id").agg(F.min("set_hash").alias("low"), F.max("set_hash").alias("high")).where("low != high").select("doc_id")
+    several = held_narrow(several, "ngram-several", n_known)
+    if not several.isEmpty():
+        of_class = known.join(several, "doc_id").select("doc_id", "set_hash").join(classes, "set_hash").select("doc_id", "id").distinct()
+        least = of_class.groupBy("doc_id").agg(F.min("id").alias("a"))
+        links = held(links.unionByName(of_class.join(least, "doc_id").where("id != a").select("a", F.col("id").alias("b"))), "ngram-links")
     found = components(links)
-    rest = held(_apart(possible.join(first, ["a", "b"], "left_anti"), found), "ngram-pairs")
+    rest = apart(possible.join(first, ["a", "b"], "left_anti"), found).select("a", "b")
+    rest = held_narrow(rest, "ngram-pairs", n_possible)
     if not rest.isEmpty():
-        links = links.unionByName(held(_verified(rest, texts), "ngram-links"))
-        found = components(links)
+        found = components(held(_verified(rest, texts), "ngram-links"), found)
     tested, most = None, 4
     while True:
         members = shared.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -406,8 +411,7 @@ def joined(docs: DataFrame) -> DataFrame:
             tested = fresh if tested is None else tested.unionByName(fresh)
             more = held(_verified(fresh, texts), "ngram-links")
             if not more.isEmpty():
-                links = links.unionByName(more)
-                found = components(links)
+                found = components(more, found)
         if not cut:
             break
         most *= 64
@@ -417,12 +421,6 @@ def joined(docs: DataFrame) -> DataFrame:
     return measured.join(whole, "set_hash", "left").select("doc_id", "n_shingles", component.alias("component_id"))
 
 
-def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ids lie in different components."""
-    a, b = (found.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
-    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-
-
 def representatives(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stand for their component: those with its smallest doc_id, and
     all rows without an id; all columns as given."""

@@ -258,6 +258,24 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, **{i: 5 for i in range(5, 11)}, 20: 20, 30: 20, **{i: 100 for i in range(100, 150)}}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_links_that_come_in_two_parts(spark, seed):
+    rng = np.random.default_rng(seed)
+    # A zigzag, where hooking alone needs several rounds, and random links.
+    zigzag = [(1000 + i // 2 if i % 2 == 0 else 2000 - i, 2000 - i - 1 if i % 2 == 0 else 1000 + i // 2 + 1) for i in range(30)]
+    links = zigzag + [tuple(map(int, rng.integers(0, 60, 2))) for _ in range(40)]
+    root = {x: x for link in links for x in link}
+    for _ in links:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {x: r for x, r in root.items() if any(x in link and link[0] != link[1] for link in links)}
+    half = len(links) // 2
+    first, second = (spark.createDataFrame(part, "a long, b long") for part in (links[:half], links[half:]))
+    got = dict(rows(graph.components(second, graph.components(first))))
+    assert {x: got.get(x, x) for x in want} == want
+    assert dict(rows(graph.components(spark.createDataFrame(links, "a long, b long")))) == want
+
+
 # quality
 
 
