@@ -63,23 +63,38 @@ def append_settled(path: str) -> Callable[[DataFrame, int], None]:
     return on_batch
 
 
+def _newest(df: DataFrame) -> DataFrame:
+    """One version of each query: of the latest arrival, then with the latest end."""
+    kept = [c for c in df.columns if c != "arrival"]
+    order = F.struct("arrival", "end_time", F.to_json(F.struct(*kept)))
+    return df.groupBy("query_id").agg(F.max_by(F.struct(*kept), order).alias("row")).select("row.*")
+
+
 def keep_queries(path: str) -> Callable[[DataFrame, int], None]:
-    """Closed queries appended, running ones replaced by each batch.
+    """Closed queries appended once, running ones replaced by each batch.
 
     A query first arrives as running and later as finished; the finished row removes it from
-    the open table. The state of the refresh is the open table itself.
+    the open table. A finished row that comes again is not stored again, and a running row that
+    comes after the finished one does not open the query again. A query keeps its start time,
+    so only the part of the closed table from the oldest start in the batch on is read.
     """
 
     def on_batch(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
+        fresh = df.withColumn("arrival", F.lit(batch)).persist()
         running = F.col("start_time") > F.col("end_time")
-        done = df.filter(~running)
-        waiting = df.filter(running)
+        done, waiting = _newest(fresh.filter(~running)), fresh.filter(running)
+        oldest = fresh.agg(F.min("start_time")).first()[0]
+        if batch > 0 and oldest is not None:
+            since = F.col("start_time") >= F.lit(oldest).cast(df.schema["start_time"].dataType)
+            before = read_all(spark, path, "closed").filter((F.col("batch") < batch) & since).select("query_id")
+            done, waiting = (x.join(before, "query_id", "left_anti") for x in (done, waiting))
         if batch > 0:
-            waiting = waiting.unionByName(read_batch(spark, path, "open", batch - 1))
-        still = waiting.join(done.select("query_id"), "query_id", "left_anti").dropDuplicates(["query_id"])
+            waiting = waiting.unionByName(read_batch(spark, path, "open", batch - 1).withColumn("arrival", F.lit(batch - 1)))
+        still = _newest(waiting.join(done.select("query_id"), "query_id", "left_anti"))
         _write(done, path, "closed", batch)
         _write(still, path, "open", batch)
+        fresh.unpersist()
 
     return on_batch
 
