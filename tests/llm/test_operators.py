@@ -376,6 +376,20 @@ def test_kneser_ney_sums_to_one(spark):
         assert 0.5 < total <= 1.0 + 1e-3
 
 
+def test_rare_ngrams_stay_in_the_model(spark):
+    # 70 000 different words of one rare kind beside a frequent one: all their 5-grams are counted.
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rare = [a + b + c + d for a, b, c, d in itertools.product(letters, repeat=4)][:70_000]
+    rows_ = [("xx", " ".join(rare[i : i + 1_000]) + " zzzz" * 50) for i in range(0, len(rare), 1_000)]
+    models = langid.fit(spark.createDataFrame(rows_, "lang string, text string"))
+    keys, values = models.grams[5]
+    grams = {langid.BEGIN * 4 + w + langid.END for w in [*rare, "zzzz"]}
+    grams = {g[i : i + 5] for g in grams for i in range(len(g) - 4)}
+    assert len(keys) == len(grams) > 60_000 and np.all(keys[1:] > keys[:-1])
+    found = langid._lookup(keys, values, langid._hash(langid._codes(sorted(grams))))
+    assert not np.isnan(found).any()
+
+
 def _prefix(models, word, column, end):
     """Log probability of everything in the word but its second letter."""
     n = models.order
