@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,16 +34,46 @@ CACHE_WORDS = 300_000
 
 #: Stripped off words before they are cut into n-grams.
 EDGES = ".,;:!?\"'()[]{}<>|#*$%&"
+#: Longer words, in bytes of UTF-8, are divided: at punctuation, and into overlapping parts of so many characters.
+LONG, PART = 60, 16
+JOINTS = re.compile("[!-/:-@\\[-`{-~\u2010-\u2027\u3000-\u303f\uff01-\uff0f\uff1a-\uff20]+")
 PRIME = np.uint64(0x100000001B3)
 
 
+def _long(word: str) -> bool:
+    return 4 * len(word) > LONG and (len(word) > LONG or not word.isascii()) and len(word.encode("utf-8", "replace")) > LONG
+
+
+def parts_of(word: str) -> list[str]:
+    """What stands for a word in the windows: itself or, for a long one, the words between its
+    punctuation and then overlapping parts that cover all of it."""
+    if not _long(word) or not _long(word := word.strip(EDGES)):
+        return [word]
+    joined = [p for p in JOINTS.split(word) if p and not _long(p)]
+    step = PART // 2
+    return joined + [word[i : i + PART] for i in range(0, len(word) - step, step)]
+
+
+def divided(words: list[str], index: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Different words, their order and the texts' first ones, as from ``cut``, with long words divided."""
+    if not any(map(_long, words)):
+        return words, index, offsets
+    parts = [parts_of(w) for w in words]
+    known: dict[str, int] = {}
+    flat = np.array([known.setdefault(p, len(known)) for some in parts for p in some], np.int64)
+    size = np.array([len(some) for some in parts], np.int64)
+    first, per = (np.cumsum(size) - size)[index], size[index]
+    ends = np.concatenate(([0], np.cumsum(per)))
+    return list(known), flat[np.repeat(first - ends[:-1], per) + np.arange(ends[-1])], ends[offsets]
+
+
 def words_of(text: str) -> list[str]:
-    return blanks(text.lower()).split()
+    return [p for w in blanks(text.lower()).split() for p in parts_of(w)]
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(start of each word's part, buckets): hashed byte n-grams of all words in one pass."""
-    raw = [b"<" + w.strip(EDGES).encode("utf-8", "replace")[:60] + b">" for w in words]
+    raw = [b"<" + w.strip(EDGES).encode("utf-8", "replace") + b">" for w in words]
     size = np.array([len(r) for r in raw], np.int64)
     ends = np.cumsum(size)
     codes = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
@@ -204,7 +235,7 @@ class Scorer:
 
     def margins(self, texts: list[str]) -> np.ndarray:
         """Of the worst window of each text."""
-        words, index, offsets = cut([blanks(t.lower()) for t in texts])
+        words, index, offsets = divided(*cut([blanks(t.lower()) for t in texts]))
         running = np.concatenate(([0.0], np.cumsum(np.array(self.known(words), float)[index])))
         out = np.full(len(texts), -np.inf)
         kept = np.array([w != "" for w in words], bool)[index]
@@ -244,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> Model
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """A row per document: doc_id, score, predicted (1 from 0.7 on).
 
-    The whole text is read in windows. A null or empty text scores near 0; repeated rows and
+    The whole text is read in windows, long words in parts. A null or empty text scores near 0; repeated rows and
     null ids are scored like any other; an empty table gives an empty one. Without labels of
     both classes every text scores the same low value. No other column is read.
     """

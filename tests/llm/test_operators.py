@@ -445,6 +445,45 @@ def test_subwords_are_the_words_ngrams():
     assert len(parts[0] & parts[2]) >= 2 and not parts[0] & parts[1]
 
 
+def _toxic_model(good, bad):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(good, 12)) for _ in range(400)]
+    labels = [i % 2 for i in range(400)]
+    return toxicity.train([f"{t} {rng.choice(bad)}" if y else t for t, y in zip(texts, labels)], labels)
+
+
+def test_long_words_are_read_to_their_end():
+    good = ["river", "morning", "window", "garden", "letter", "summer", "mountain", "paper", "silver", "yellow"]
+    model = _toxic_model(good, ["zqxkvj", "wqzzxv"])
+    scorer = toxicity.Scorer(model)
+    for joint in (".", "-", "_", "|", "/"):
+        clean = joint.join(good * 3)
+        worse, same = scorer.margins([f"{clean}{joint}zqxkvj", clean])
+        assert worse > same
+        assert scorer([f"{clean}{joint}zqxkvj{joint}wqzzxv"])[0] >= toxicity.THRESHOLD > scorer([clean])[0]
+    run = "".join(good * 3)
+    worse, same = scorer.margins([run + "zqxkvj", run])
+    assert worse > same
+    # Each character is 3 bytes; nothing but the last two tells the texts apart.
+    wide = "".join(chr(0x4E00 + i) for i in range(40))
+    assert not set(toxicity.words_of(wide + "\u6bd2\u85e5")) <= set(toxicity.words_of(wide))
+
+
+def test_parts_cover_long_words():
+    for word in ("ab" * 500, "\u0e01\u0e02\u0e03" * 30, "-" * 100, "a." * 60, "x" * 61, "\U0001f92c" * 16, "b" * 60, "", "..."):
+        parts = toxicity.parts_of(word)
+        assert parts and all(len(p.encode()) <= toxicity.LONG + 4 for p in parts)
+        if len(parts) == 1:
+            assert parts == [word.strip(toxicity.EDGES)] or parts == [word]
+        else:
+            at = [p for p in parts if len(p) == toxicity.PART or word.strip(toxicity.EDGES).endswith(p)]
+            assert sum(map(len, at)) >= len(word.strip(toxicity.EDGES))
+    texts = ["a b", "", " x ", "ab" * 100 + " c", "c " + "long-" * 40 + " d", "a"]
+    words, index, offsets = toxicity.divided(*toxicity.cut([t for t in texts]))
+    for t, first, end in zip(texts, offsets, offsets[1:]):
+        assert [words[i] for i in index[first:end] if words[i]] == toxicity.words_of(t)
+
+
 def test_windows_cover_all_words():
     for n in range(1, 40):
         assert set().union(*(range(a, b) for a, b in toxicity.windows(n))) == set(range(n))
