@@ -541,5 +541,35 @@ def test_licences(spark, edge, empty):
     assert licenses.scanned(empty).count() == 0
 
 
+MIT_NOTICE = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software."""
+GPL_NOTICE = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+BSD_NOTICE = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:"""
+
+
+def test_licences_over_lines_and_in_long_lines(spark):
+    plain = " ".join(["the river ran past the old mill and the children counted boats"] * 400)
+    two = "Released under the MIT License. Licensed under the Apache License, Version 2.0."
+    given = [
+        (1, MIT_NOTICE, "mit"), (2, GPL_NOTICE, "gpl"), (3, BSD_NOTICE, "bsd"), (4, f"int x;\n\n{GPL_NOTICE}\n\nint y;", "gpl"), (5, two, "apache-2.0,mit"),
+        (6, f"{plain} Released under the MIT License. {plain}", "mit"), (7, f"{plain} {MIT_NOTICE} {plain}".replace("\n", " "), "mit"), (8, f"{plain} the licence of the plumber {plain}", ""),
+        (9, f"All rights\nreserved.\n \n{BSD_NOTICE}", "bsd,proprietary"), (10, "All\n\nrights\n\nreserved", ""),
+    ]
+    corpus = frame(spark, [(1000 + r["doc_id"], r["text"], None, None, None) for r in spark.read.parquet(f"{sf()}/documents.parquet").collect()])
+    docs = frame(spark, [(i, t, None, None, None) for i, t, _ in given]).unionByName(corpus)
+    got = {r["doc_id"]: r for r in licenses.scanned(docs).where("doc_id < 1000").collect()}
+    assert {i: got[i]["families"] for i, *_ in given} == {i: f for i, _, f in given}
+    assert got[4]["n_paragraphs"] == 3 and [x["paragraph"] for x in got[4]["licences"]] == [1]
+    assert got[9]["n_paragraphs"] == 2
+
+
 def test_every_template_has_an_anchor():
     assert all(re.search(licenses.ANCHORS, t) for _, t in licenses.TEMPLATES)
