@@ -390,6 +390,20 @@ def test_rare_ngrams_stay_in_the_model(spark):
     assert not np.isnan(found).any()
 
 
+def test_only_calibration_rows_are_not_learned_from(spark, monkeypatch):
+    ids = [i for i in range(4_000) if zlib.crc32(str(i).encode()) % 64 == 1]
+    others = [i for i in range(200) if zlib.crc32(str(i).encode()) % 64 != 1 and zlib.crc32(str(i).encode()) % 4 != 2]
+    # One language has calibration rows only; a word stands in such rows only.
+    given = [(i, "der Hund und die Katze", "de", None, None) for i in others] + [(i, "qwxyz qwxyz", "de", None, None) for i in ids[5:]] + [(i, "kissa ja koira", "fi", None, None) for i in ids[:5]]
+    learned = []
+    fit = langid.fit
+    monkeypatch.setattr(langid, "fit", lambda train, *a: learned.append(Counter(r["lang"] for r in train.collect())) or fit(train, *a))
+    monkeypatch.setattr(langid, "CALIBRATION_DOCS", 10)
+    found = langid.identified(frame(spark, given)).where("lang_pred = 'fi'").count()
+    assert found == 5
+    assert sum(learned[0].values()) >= len(given) - 10 and learned[0]["fi"] >= 1
+
+
 def _prefix(models, word, column, end):
     """Log probability of everything in the word but its second letter."""
     n = models.order
