@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlight.llm import bpe_words, exact_dedup, langid, licenses, ngram_join, packing, quality_model, quality_rules, toxicity, url_filter
+from meterlight.llm import bpe_words, centroids, conversations, decontamination, exact_dedup, langid, licenses, ngram_join, oracles, packing, quality_model, quality_rules, toxicity, url_filter
 from meterlight.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,11 +66,48 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents")).drop("licences")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digests(conversations.repaired(conversations.damaged(table(spark, sf_dir, "conversations"))))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings")).withColumn("centroid", F.sha2(F.concat_ws(",", F.col("centroid").cast("array<string>")), 256)).withColumnRenamed("centroid", "centroid_sha256")
+
+
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_ngram_join, op2_quality_classifier, op3_packing, op4_language_id, op5_exact_dedup, op6_quality_rules, op7_bpe, op8_toxicity, op9_url_filter, op10_license_scan)
+    for f in (
+        op1_ngram_join,
+        op2_quality_classifier,
+        op3_packing,
+        op4_language_id,
+        op5_exact_dedup,
+        op6_quality_rules,
+        op7_bpe,
+        op8_toxicity,
+        op9_url_filter,
+        op10_license_scan,
+        op11_conversation_repair,
+        op12_centroid_clustering,
+        op13_benchmark_decontamination,
+    )
 }
 ORACLES: dict[str, str] = {
+    "op11_conversation_repair": oracles.CONVERSATION_REPAIR,
+    "op12_centroid_clustering": oracles.clustering(),
+    "op13_benchmark_decontamination": oracles.DECONTAMINATION,
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256

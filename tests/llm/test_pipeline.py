@@ -42,4 +42,4 @@ def test_registered(spark):
 
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(queries.ORACLES) <= set(entry.oracle_sql())
-    assert len(queries.QUERIES) == 10
+    assert len(queries.QUERIES) == 13
