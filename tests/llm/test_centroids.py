@@ -79,11 +79,12 @@ def test_cells_hold_their_vectors():
     assert (c.unpacked(c.packed(codes)) == codes).all()
     centers = given[:8]
     exact = c.distances(given, centers)
+    known = c.Intervals(cells, centers)
     at = codes.astype(int) + cells.offsets
-    for k, (least, most) in enumerate(zip(*cells.tables(centers))):
-        assert (least[at].sum(axis=1) <= exact[:, k]).all()
-        assert (most[at].sum(axis=1) >= exact[:, k]).all()
-    near = c.Intervals(cells, centers)(codes)
+    for b in range(8):
+        for k in range(8):
+            assert (known.farther[b, k][at].sum(axis=1) <= exact[:, k] - exact[:, b]).all()
+    near = known(codes)
     sure = near >= 0
     assert sure.any() and (near[sure] == exact.argmin(axis=1)[sure]).all()
 
