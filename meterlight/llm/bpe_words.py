@@ -5,28 +5,36 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlight.llm.common import arrow_map, blanks, cut, documents, held, portions
+from meterlight.llm.words import word_hashes
+from meterlight.session import workspace
 
 #: The most frequent words, which every task holds; all others are joined. With at most
 #: HOT_CHARS characters a word this bounds what is broadcast.
-HOT_WORDS = 250_000
+HOT_WORDS = 500_000
 HOT_CHARS = 40
 #: Bytes of text that a task cuts into words together, about.
 CUT_BYTES = 4 << 20
-ASCII_BLANKS = " \t\n\x0b\x0c\r"
 #: Different words that a task counts before it sends them.
-COUNTED_WORDS = 600_000
+COUNTED_WORDS = 200_000
+#: Entries that a task packs together by portion.
+PACKED_ENTRIES = 200_000
+#: Buckets of words for each shuffle partition.
+BUCKETS_EACH = 4
+ASCII_BLANKS = " \t\n\x0b\x0c\r"
 
 
 class Splitter:
@@ -115,39 +123,161 @@ def pieces(spark, vocabulary: str) -> DataFrame:
     return spark.createDataFrame(sorted(rows.items()), "id int, piece string")
 
 
-def word_table(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(word, n, ids, pieces): every distinct word of all texts, encoded and decoded once.
+def _zipped(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32, byte by byte in planes, as equal high bytes then lie together."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def _unzipped(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return planes.T.copy().view("<u4").ravel().astype(np.int64)
+
+
+def _steps(numbers: np.ndarray) -> np.ndarray:
+    """Differences, which are small where numbers rise one by one."""
+    return np.diff(numbers, prepend=0) & 0xFFFFFFFF
+
+
+def _summed(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps) & 0xFFFFFFFF
+
 
-    Words are counted in the task before they are sent. The ids are exploded, joined with the
-    vocabulary's id-to-piece table (broadcast; it has as many rows as the vocabulary) and put
-    together again in order, all where the word already lies.
+def _zipped_words(words: list[str]) -> bytes:
+    """Neither words nor ids and pieces hold line feeds."""
+    return zstandard.ZstdCompressor(level=3).compress("\n".join(words).encode())
+
+
+def _unzipped_words(data: bytes) -> list[str]:
+    text = zstandard.ZstdDecompressor().decompress(data).decode()
+    return text.split("\n") if text else []
+
+
+PORTION = "portion long, doc_ids array<long>, ends binary, chunks binary, chunk_sizes binary, chunk_words binary, words binary, counts binary"
+
+
+def cut_texts(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """A row for each portion of some texts, each text cut once; written, in buckets by portion.
+
+    A portion, a row of a few compressed numbers and words, holds its different words and how often each stands there, its different chunks as
+    numbers of words, and its texts as numbers of chunks. From here on no text moves.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        split, counts = _once(Splitter, vocabulary), defaultdict(int)
+        split, number = _once(Splitter, vocabulary), TaskContext.get().partitionId() << 32
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
+            doc_ids, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
             for first, end in portions(texts, CUT_BYTES):
-                words, index, _ = split(texts[first:end])
-                for chunk, n in zip(words, np.bincount(index, minlength=len(words)).tolist()):
-                    if n:
-                        for w in chunk:
-                            counts[w] += n
+                chunks, index, offsets = split(texts[first:end])
+                known: dict[str, int] = {}
+                flat = np.array([known.setdefault(w, len(known)) for chunk in chunks for w in chunk], np.int64)
+                size = np.array([len(chunk) for chunk in chunks], np.int64)
+                counts = np.bincount(flat, np.repeat(np.bincount(index, minlength=len(chunks)), size), minlength=len(known))
+                yield {
+                    "portion": [number],
+                    "doc_ids": [doc_ids[first:end]],
+                    "ends": [_zipped(_steps(offsets[1:]))],
+                    "chunks": [_zipped(index)],
+                    "chunk_sizes": [_zipped(size)],
+                    "chunk_words": [_zipped(_steps(flat))],
+                    "words": [_zipped_words(list(known))],
+                    "counts": [_zipped(counts)],
+                }
+                number += 1
+
+    spark = docs.sparkSession
+    cut = arrow_map(documents(docs), each, PORTION)
+    path = workspace(spark, "bpe-portions")
+    name = "bpe_portions_" + uuid.uuid4().hex
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut.write.bucketBy(buckets, "portion").option("path", path).saveAsTable(name)
+    written = spark.table(name)
+    # Only the name goes; the files and what reads them stay.
+    spark.sql(f"DROP TABLE {name}")
+    return written
+
+
+def word_table(cut: DataFrame, vocabulary: str) -> DataFrame:
+    """(word, n, ids, pieces): every distinct word of all texts, encoded and decoded once.
+
+    A task adds up the counts of its portions and sends its words by buckets of their hash, a
+    compressed row for each; a bucket is added up where it arrives.
+    The ids are exploded, joined with the vocabulary's id-to-piece table (broadcast; it has as
+    many rows as the vocabulary) and put together again. The rows of a word stay neighbours and
+    in order all along, so nothing is shuffled for that.
+    """
+
+    spark = cut.sparkSession
+    buckets = BUCKETS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        counts: dict[str, int] = defaultdict(int)
+        for b in batches:
+            for words, n in zip(b.column("words"), b.column("counts")):
+                for w, k in zip(_unzipped_words(words.as_py()), _unzipped(n.as_py()).tolist()):
+                    counts[w] += k
                 if len(counts) > COUNTED_WORDS:
-                    yield {"word": list(counts), "n": list(counts.values())}
+                    yield _dealt(counts, buckets)
                     counts.clear()
-        yield {"word": list(counts), "n": list(counts.values())}
+        yield _dealt(counts, buckets)
 
-    @F.pandas_udf("array<int>")
-    def encode(words: pd.Series) -> pd.Series:
-        own = _once(WordEncoder, vocabulary)
-        return words.map(own)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        own, counts, at = _once(WordEncoder, vocabulary), defaultdict(int), None
+        for b in batches:
+            for bucket, words, n in zip(*(b.column(c).to_pylist() for c in ("bucket", "words", "counts"))):
+                if bucket != at:
+                    yield {"word": list(counts), "n": list(counts.values()), "ids": list(map(own, counts))}
+                    at = bucket
+                    counts.clear()
+                for w, k in zip(_unzipped_words(words), _unzipped(n).tolist()):
+                    counts[w] += k
+        yield {"word": list(counts), "n": list(counts.values()), "ids": list(map(own, counts))}
 
-    words = arrow_map(documents(docs).select("text"), each, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    by_piece = words.select("word", "n", F.posexplode(encode("word")).alias("at", "id")).join(F.broadcast(pieces(docs.sparkSession, vocabulary)), "id")
-    return by_piece.groupBy("word").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "id", "piece"))).alias("p")).select(
-        "word", "n", F.col("p")["id"].alias("ids"), F.col("p")["piece"].alias("pieces")
-    )
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if last is not None:
+                b = pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
+            starts = np.flatnonzero(b.column("at").to_numpy() == 0)
+            # The last word may go on in the next batch.
+            last = b.slice(int(starts[-1]))
+            yield _words_of(b.slice(0, int(starts[-1])), starts[:-1])
+        if last is not None:
+            yield _words_of(last, np.zeros(1, np.int64))
+
+    dealt = arrow_map(cut.select("words", "counts"), count, "bucket int, words binary, counts binary").repartition("bucket").sortWithinPartitions("bucket")
+    ids = arrow_map(dealt, encode, "word string, n long, ids array<int>").select("word", "n", F.posexplode("ids").alias("at", "id"))
+    by_piece = ids.join(F.broadcast(pieces(cut.sparkSession, vocabulary)), "id").select("word", "n", "at", "id", "piece")
+    return arrow_map(by_piece, together, "word string, n long, ids array<int>, pieces array<string>")
+
+
+def _dealt(counts: dict[str, int], buckets: int) -> dict:
+    """Words and their counts, a row for each bucket."""
+    if not counts:
+        return {"bucket": [], "words": [], "counts": []}
+    words, n = list(counts), np.fromiter(counts.values(), np.int64)
+    data = "\n".join(words).encode()
+    size = np.array([len(w.encode()) for w in words], np.int64)
+    ends = np.cumsum(size + 1) - 1
+    bucket = (word_hashes(data, ends - size, ends) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    parts = np.split(order, first[1:])
+    return {
+        "bucket": bucket[order][first],
+        "words": [_zipped_words([words[i] for i in p.tolist()]) for p in parts],
+        "counts": [_zipped(n[p]) for p in parts],
+    }
+
+
+def _words_of(b: pa.RecordBatch, starts: np.ndarray) -> dict:
+    """Rows (word, n, at, id, piece) with a row for each id as one for each word."""
+    first = pa.array(starts)
+    ends = pa.array(np.append(starts, b.num_rows).astype(np.int32))
+    lists = {c: pa.ListArray.from_arrays(ends, b.column(of)) for c, of in (("ids", "id"), ("pieces", "piece"))}
+    return {"word": b.column("word").take(first), "n": b.column("n").take(first)} | lists
 
 
 def _least_count(words: DataFrame, most: int) -> int:
@@ -166,74 +296,105 @@ def _least_count(words: DataFrame, most: int) -> int:
     return least
 
 
-def _joined(docs: DataFrame, vocabulary: str, hot_words: int) -> tuple[DataFrame, object]:
-    """Documents with the table entries of their rarer words, and the frequent entries.
+class Entries:
+    """Sizes, ids and pieces of the frequent words, as Arrow columns; they travel compressed."""
+
+    def __init__(self, words: bytes, size: bytes, ids: bytes, pieces: bytes) -> None:
+        self.packed = words, size, ids, pieces
+        self.words = pa.array(_unzipped_words(words), pa.large_string())
+        self.size = _unzipped(size)
+        self.text = {c: pa.array(_unzipped_words(t), pa.large_string()) for c, t in (("ids", ids), ("pieces", pieces))}
+
+    def __reduce__(self) -> tuple:
+        return Entries, self.packed
 
-    The entries of a document's rarer words come by a join on the word and then meet the
-    document by a key of its id and text. The text travels compressed.
+    @classmethod
+    def of(cls, table: pa.Table) -> Entries:
+        table = table.sort_by("word")
+        words, ids, pieces = (_zipped_words(table[c].to_pylist()) for c in ("word", "ids", "pieces"))
+        return cls(words, _zipped(table["size"].to_numpy()), ids, pieces)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where each word stands among the frequent ones; -1 for others."""
+        return pc.fill_null(pc.index_in(words.cast(pa.large_string()), value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _joined(docs: DataFrame, vocabulary: str, hot_words: int) -> tuple[DataFrame, Broadcast]:
+    """Portions with the table entries of their rarer words, and the frequent entries.
+
+    Each rarer word of a portion is joined once; the entries then meet their portion, which
+    lies in its bucket and does not move.
     """
     spark = docs.sparkSession
-    words = held(word_table(docs, vocabulary), "bpe-words")
+    cut = cut_texts(docs, vocabulary)
+    words = held(word_table(cut, vocabulary), "bpe-words")
     entry = words.select("word", "n", F.size("ids").alias("size"), F.concat_ws(" ", F.col("ids").cast("array<string>")).alias("ids"), F.concat_ws(" ", "pieces").alias("pieces"))
     least = _least_count(words, hot_words)
-    hot = entry.where((F.length("word") <= HOT_CHARS) & (F.col("n") >= least)).drop("n").toArrow()
-    frequent = spark.sparkContext.broadcast(hot)
-    keyed = documents(docs).withColumn("key", F.xxhash64("doc_id", "text"))
+    is_hot = (F.length("word") <= HOT_CHARS) & (F.col("n") >= least)
+    frequent = spark.sparkContext.broadcast(Entries.of(entry.where(is_hot).drop("n").toArrow()))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        split, known, done = _once(Splitter, vocabulary), _entries(frequent), set()
         for b in batches:
-            keys, texts = b.column("key").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
-            for first, end in portions(texts, CUT_BYTES):
-                words, index, offsets = split(texts[first:end])
-                unknown = [[w for w in chunk if w not in known] for chunk in words]
-                at = np.flatnonzero(np.array([bool(u) for u in unknown])[index])
-                found: dict[int, set] = {}
-                for doc, chunk in zip((np.searchsorted(offsets, at, "right") - 1).tolist(), index[at].tolist()):
-                    found.setdefault(keys[first + doc], set()).update(unknown[chunk])
-                for key in found.keys() & done:
-                    del found[key]
-                done.update(found)
-                yield {"key": [k for k, u in found.items() for _ in u], "word": [w for u in found.values() for w in u]}
-            if len(done) > 1_000_000:
-                done.clear()
-
-    wanted = arrow_map(keyed, rare, "key long, word string")
-    # An entry travels as one text; words, ids and pieces hold no tab.
-    found = wanted.join(entry.drop("n", "size"), "word").groupBy("key").agg(F.collect_set(F.concat_ws("\t", "word", "ids", "pieces")).alias("rare"))
-
-    def shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        shrink = zstandard.ZstdCompressor(level=3).compress
+            words, place, ends = _places(frequent.value, b)
+            for portion, first, end in zip(b.column("portion").to_pylist(), [0, *ends], ends):
+                at = np.flatnonzero(place[first:end] < 0)
+                yield {"portion": np.full(len(at), portion), "at": at, "word": words.slice(first, end - first).take(pa.array(at))}
+
+    wanted = arrow_map(cut.select("portion", "words"), rare, "portion long, at int, word string")
+    met = wanted.join(entry.where(~is_hot).drop("n"), "word").select("portion", F.concat_ws("\t", "at", "size", "ids", "pieces").alias("entry"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        waiting: dict[int, list[str]] = defaultdict(list)
+        n = 0
         for b in batches:
-            yield {"key": b.column("key"), "doc_id": b.column("doc_id"), "text": [shrink((t or "").encode()) for t in b.column("text").to_pylist()]}
+            for portion, one in zip(b.column("portion").to_pylist(), b.column("entry").to_pylist()):
+                waiting[portion].append(one)
+            n += b.num_rows
+            if n >= PACKED_ENTRIES:
+                yield {"portion": list(waiting), "entries": [_zipped_words(e) for e in waiting.values()]}
+                waiting.clear()
+                n = 0
+        yield {"portion": list(waiting), "entries": [_zipped_words(e) for e in waiting.values()]}
+
+    found = arrow_map(met, packed, "portion long, entries binary").groupBy("portion").agg(F.collect_list("entries").alias("rare"))
+    return cut.drop("counts").join(found, "portion", "left"), frequent
 
-    return arrow_map(keyed, shrunk, "key long, doc_id long, text binary").join(found, "key", "left"), frequent
 
+def _places(known: Entries, batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, list[int]]:
+    """(words, place among the frequent ones, end of each portion's words) of a batch of portions."""
+    words = [_unzipped_words(w) for w in batch.column("words").to_pylist()]
+    flat = pa.array([w for some in words for w in some], pa.large_string())
+    return flat, known.places(flat), np.cumsum([len(w) for w in words]).tolist()
 
-def _entries(frequent) -> dict[str, tuple]:
-    """word -> (size, ids, pieces) of the frequent words; put together once for each worker."""
-    kept, table = _entries.__dict__, frequent.value
-    if kept.get("of") is not table:
-        kept["of"] = table
-        kept["entries"] = dict(zip(table["word"].to_pylist(), zip(table["size"].to_pylist(), table["ids"].to_pylist(), table["pieces"].to_pylist())))
-    return kept["entries"]
 
+def _strung(values: pa.Array, index: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """For each list the values of its numbers, joined by blanks; a list ends where ``ends`` says."""
+    taken = values.take(pa.array(index))
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], ends))), taken), pa.scalar(" ", pa.large_string()))
 
-def _each_text(frequent, vocabulary: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(doc_ids, entries of each different chunk, chunk at each position, first positions), some rows at a time."""
-    split, grow = _once(Splitter, vocabulary), zstandard.ZstdDecompressor().decompress
-    known = _entries(frequent)
+
+def _each_portion(frequent: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, dict[str, pa.Array]]]:
+    """(doc_ids, number of tokens, ids and pieces of each text joined by blanks), a portion at a time."""
+    known: Entries = frequent.value
     for batch in batches:
-        for start in range(0, batch.num_rows, 4_000):
-            b = batch.slice(start, 4_000)
-            doc_ids, rare = b.column("doc_id").to_pylist(), b.column("rare")
-            texts = [grow(t).decode() for t in b.column("text").to_pylist()]
-            for first, end in portions(texts, CUT_BYTES):
-                found = (e.split("\t") for e in rare.slice(first, end - first).flatten().to_pylist())
-                own = {word: (ids.count(" ") + 1, ids, text) for word, ids, text in found}
-                words, index, offsets = split(texts[first:end])
-                entries = [[known.get(w) or own[w] for w in chunk] for chunk in words]
-                yield doc_ids[first:end], entries, index, offsets
+        _, places, word_ends = _places(known, batch)
+        for i, first, end in zip(range(batch.num_rows), [0, *word_ends], word_ends):
+            row = {c: batch.column(c)[i] for c in batch.schema.names}
+            place = places[first:end]
+            rare = [e.split("\t") for some in row["rare"].as_py() or () for e in _unzipped_words(some)]
+            size, own = known.size, known.text
+            if rare:
+                at, sizes, ids, text = zip(*rare)
+                place[np.array(at, np.int64)] = len(size) + np.arange(len(rare))
+                size = np.concatenate((size, np.array(sizes, np.int64)))
+                own = {c: pa.concat_arrays([known.text[c], pa.array(t, pa.large_string())]) for c, t in (("ids", ids), ("pieces", text))}
+            ends, chunks, chunk_sizes, flat = (_unzipped(row[c].as_py()) for c in ("ends", "chunks", "chunk_sizes", "chunk_words"))
+            ends, chunk_ends, flat = _summed(ends), np.cumsum(chunk_sizes), _summed(flat)
+            of_word = place[flat] if len(flat) else np.empty(0, np.int64)
+            strung = {c: _strung(_strung(text, of_word, chunk_ends), chunks, ends) for c, text in own.items()}
+            per_chunk = np.diff(np.concatenate(([0], np.cumsum(size[of_word])))[np.concatenate(([0], chunk_ends))])
+            tokens = np.diff(np.concatenate(([0], np.cumsum(per_chunk[chunks])))[np.concatenate(([0], ends))])
+            yield row["doc_ids"].values, tokens, strung
 
 
 def encoded(docs: DataFrame, vocabulary: str, hot_words: int = HOT_WORDS) -> DataFrame:
@@ -245,9 +406,8 @@ def encoded(docs: DataFrame, vocabulary: str, hot_words: int = HOT_WORDS) -> Dat
     joined, frequent = _joined(docs, vocabulary, hot_words)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for doc_ids, entries, index, offsets in _each_text(frequent, vocabulary, batches):
-            ids = [[int(i) for e in chunk for i in e[1].split()] for chunk in entries]
-            yield {"doc_id": doc_ids, "ids": [[i for c in index[a:b] for i in ids[c]] for a, b in zip(offsets, offsets[1:])]}
+        for doc_ids, _, strung in _each_portion(frequent, batches):
+            yield {"doc_id": doc_ids, "ids": [[int(i) for i in t.split()] for t in strung["ids"].to_pylist()]}
 
     return arrow_map(joined, each, "doc_id long, ids array<int>")
 
@@ -269,15 +429,8 @@ def digests(docs: DataFrame, vocabulary: str, hot_words: int = HOT_WORDS) -> Dat
     joined, frequent = _joined(docs, vocabulary, hot_words)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for doc_ids, entries, index, offsets in _each_text(frequent, vocabulary, batches):
-            size = np.array([sum([e[0] for e in chunk]) for chunk in entries], np.int64)
-            ids, text = ([" ".join([e[k] for e in chunk]) for chunk in entries] for k in (1, 2))
-            out = {"doc_id": doc_ids, "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            for first, end in zip(offsets, offsets[1:]):
-                at = index[first:end].tolist()
-                out["n_tokens"].append(int(size[at].sum()))
-                out["ids_sha256"].append(sha256(" ".join([ids[i] for i in at]).encode()).hexdigest())
-                out["decoded_sha256"].append(sha256(" ".join([text[i] for i in at]).encode()).hexdigest())
-            yield out
+        for doc_ids, tokens, strung in _each_portion(frequent, batches):
+            ids, text = ([sha256(t).hexdigest() for t in strung[c].cast(pa.large_binary()).to_pylist()] for c in ("ids", "pieces"))
+            yield {"doc_id": doc_ids, "n_tokens": tokens, "ids_sha256": ids, "decoded_sha256": text}
 
     return arrow_map(joined, each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
