@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -51,18 +53,67 @@ def pairs(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield doc_id, text or ""
 
 
+#: Bytes of text in a batch that are turned into Python objects together, about.
+SLICE_BYTES = 8 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, large ones in parts of about ``size`` bytes, without a copy; a row stays whole.
+
+    Rows count with their text, if there is one, else alike.
+    """
+    for b in batches:
+        if b.nbytes <= size:
+            yield b
+            continue
+        if "text" in b.schema.names:
+            weight = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        else:
+            weight = np.full(b.num_rows, b.nbytes // b.num_rows)
+        ends = np.cumsum(weight)
+        first = 0
+        while first < b.num_rows:
+            end = max(int(np.searchsorted(ends, (ends[first - 1] if first else 0) + size, "right")), first + 1)
+            yield b.slice(first, end - first)
+            first = end
+
+
+def freed() -> None:
+    """Gives back what a task has used: the worker lives on, beside those of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
+def filtered(docs: DataFrame, keep: Callable[[], Callable[[list[str]], Iterable[bool]]]) -> DataFrame:
+    """The rows of ``docs`` whose texts are kept, all columns as given; ``keep`` makes the function of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = keep()
+        for b in slices(batches):
+            yield b.filter(pa.array(of([t or "" for t in b.column("text").to_pylist()]), pa.bool_()))
+        del of
+        freed()
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def arrow_map(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
-    """``mapInArrow`` for a function that yields columns as a dict of lists."""
+    """``mapInArrow`` for a function that yields columns as a dict of lists; batches come in :func:`slices`."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in each(batches):
+        for columns in each(slices(batches)):
             yield pa.RecordBatch.from_arrays(
                 [x.cast(f.type) if isinstance(x := columns[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow
             )
+        freed()
 
     return df.mapInArrow(run, schema)
 

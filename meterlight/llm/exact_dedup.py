@@ -8,21 +8,26 @@ from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from meterlight.llm.common import arrow_map, held
+from meterlight.llm.common import arrow_map, freed, held, slices
 
 #: Bytes of a task's rows that are combined before they are sent.
-COMBINE_BYTES = 64 << 20
+COMBINE_BYTES = 16 << 20
 #: Bytes of distinct content that the table of one bucket holds.
-TABLE_BYTES = 64 << 20
+TABLE_BYTES = 24 << 20
 #: Spill files a bucket is divided into, by the next bits of the hash.
 FANOUT_BITS = 4
 
 
+#: Columns of the combined rows, before the one that holds the text.
+COMBINED = StructType([StructField(c, StringType() if c == "sha" else LongType()) for c in ("doc_id", "rid", "lead", "sha", "h", "n")])
+
+
 class ContentTable:
     """Open addressing with linear probing over (hash, content); equal hashes compare contents."""
 
@@ -100,10 +105,13 @@ def _best(rows: Iterable[tuple]) -> tuple:
 def _combined(docs: DataFrame, carry: bool, combine_bytes: int) -> DataFrame:
     """A row per document; of equal documents near each other one carries the text for all.
 
-    That bounds what a group sends: of a third of all rows, one text for each 64 MB of them.
+    That bounds what a group sends: of a third of all rows, one text for each ``combine_bytes`` of them. The text
+    travels once: with ``carry`` inside the row, else by itself.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(None).cast("boolean")
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("row"))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if carry:
+        given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    carried = given.columns[-1]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, seen = TaskContext.get().partitionId() << 33, 0
@@ -112,10 +120,11 @@ def _combined(docs: DataFrame, carry: bool, combine_bytes: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             nonlocal seen
             whole = pa.Table.from_batches(waiting).combine_chunks()
+            texts = whole["text"] if carried == "text" else pc.struct_field(whole["row"], "text").cast(pa.string())
             found, groups, group_of, hashes = ContentTable(), [], [], []
             digests = []
-            for i, (doc_id, text) in enumerate(zip(whole["doc_id"].to_pylist(), whole["text"].to_pylist())):
-                content = (text or "").encode()
+            for i, (doc_id, text) in enumerate(zip(whole["doc_id"].to_pylist(), texts)):
+                content = (text.as_py() or "").encode()
                 digest = sha256(content)
                 h = int.from_bytes(digest.digest()[:8], "big")
                 at = found.find(h, content)
@@ -137,12 +146,11 @@ def _combined(docs: DataFrame, carry: bool, combine_bytes: int) -> DataFrame:
                 pa.array([hashes[g] for g in group_of], pa.int64()),
                 pa.array([len(groups[g]) if best[g] == r else None for g, r in zip(group_of, rows)], pa.int64()),
             ]
-            texts = whole["text"].combine_chunks().fill_null("")
-            out += [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (texts.take(leads), whole["row"].combine_chunks().take(leads))]
+            sent = whole[carried].take(leads)
             seen += len(group_of)
-            return pa.RecordBatch.from_arrays(out, ["doc_id", "rid", "lead", "sha", "h", "n", "text", "row"])
+            return pa.RecordBatch.from_arrays([*out, sent.combine_chunks() if isinstance(sent, pa.ChunkedArray) else sent], [*COMBINED.names, carried])
 
-        for batch in batches:
+        for batch in slices(batches, combine_bytes):
             waiting.append(batch)
             size += batch.nbytes
             if size >= combine_bytes:
@@ -150,14 +158,16 @@ def _combined(docs: DataFrame, carry: bool, combine_bytes: int) -> DataFrame:
                 waiting, size = [], 0
         if waiting and sum(b.num_rows for b in waiting):
             yield flush()
+        waiting = []
+        freed()
 
-    out = StructType.fromDDL("doc_id long, rid long, lead long, sha string, h long, n long, text string")
-    return given.mapInArrow(each, out.add("row", given.schema["row"].dataType))
+    return given.mapInArrow(each, StructType([*COMBINED.fields, StructField(carried, given.schema[carried].dataType)]))
 
 
 def _groups(combined: DataFrame, table_bytes: int) -> DataFrame:
     """(rid, keep_rid, keep_id, group_size) for every row that carries a text."""
-    leads = combined.where(F.col("n").isNotNull()).select("h", "text", "doc_id", "rid", "n").repartition("h")
+    text = F.col("text" if "text" in combined.columns else "row.text").cast("string")
+    leads = combined.where(F.col("n").isNotNull()).select("h", F.coalesce(text, F.lit("")).alias("text"), "doc_id", "rid", "n").repartition("h")
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlight.llm.common import arrow_map, documents, pairs
+from meterlight.llm.common import arrow_map, documents, filtered, pairs
 
 #: Dimensions of the hashed features.
 DIMENSIONS = 1 << 13
@@ -195,9 +195,10 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, steps: int = STEPS) -> Sc
                     out[name].append(v)
             yield out
 
-    # At most train_docs ids.
-    sample = arrow_map(texts.join(F.broadcast(chosen), "doc_id"), each, "doc_id long, good double, buckets array<int>, values array<float>")
-    rows = sample.toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True).drop_duplicates("doc_id")
+    # At most train_docs ids; of rows with the same id the one with the least text.
+    one_each = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    sample = arrow_map(one_each, each, "doc_id long, good double, buckets array<int>, values array<float>")
+    rows = sample.toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True)
     if rows.empty:
         return Scorer(labels, np.zeros(DIMENSIONS), 0.0)
     weights, bias = logistic(list(rows["buckets"]), list(rows["values"]), rows["good"].to_numpy(float), steps)
@@ -246,10 +247,9 @@ def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
 
 def good(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns as given."""
+    """The rows of ``docs`` that are kept, all columns as given.
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array([scorer(t or "")[0] >= THRESHOLD for t in b.column("text").to_pylist()], pa.bool_()))
-
-    return docs.mapInArrow(each, docs.schema)
+    Rows are judged as by :func:`scored`: texts without words (null, empty) go, repeated rows stay
+    or go together, whole texts are read, an empty table gives an empty one.
+    """
+    return filtered(docs, lambda: lambda texts: [scorer(t)[0] >= THRESHOLD for t in texts])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlight.llm.common import Memo, arrow_map, blanks, cut, documents, pairs, portions, remainder
+from meterlight.llm.common import Memo, arrow_map, blanks, cut, documents, filtered, freed, pairs, portions, remainder
 
 BUCKETS = 1 << 18
 DIMENSIONS = 6
@@ -30,7 +30,7 @@ EPOCHS = 24
 RATE = 3.0
 THRESHOLD = 0.7
 #: Entries of each generation of a task's memory of words.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 #: Stripped off words before they are cut into n-grams.
 EDGES = ".,;:!?\"'()[]{}<>|#*$%&"
@@ -168,8 +168,10 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
 
     for epoch in range(epochs):
         V = word_vectors()
-        running = np.concatenate((np.zeros((1, DIMENSIONS)), np.cumsum(V[ids], axis=0, dtype=np.float64)))
-        hidden = ((running[spans[:, 1]] - running[spans[:, 0]]) / length[:, None]).astype(np.float32)
+        hidden = np.empty((len(spans), DIMENSIONS), np.float32)
+        for k in range(DIMENSIONS):
+            running = np.concatenate(([0.0], np.cumsum(V[ids, k], dtype=np.float64)))
+            hidden[:, k] = (running[spans[:, 1]] - running[spans[:, 0]]) / length
         logits = hidden @ W + b
         margin = logits[:, 1] - logits[:, 0]
         worst = np.maximum.reduceat(margin, first)
@@ -266,10 +268,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> Model
     texts = documents(docs).where(F.length("text") <= TRAIN_CHARS)
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = usable.where("toxic = 1").orderBy(*order).limit(max_docs).unionAll(usable.where("toxic = 0").orderBy(*order).limit(max_docs))
-    # At most 2 * max_docs ids.
-    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
+    # At most 2 * max_docs ids; of rows with the same id the one with the least text.
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows = sorted(rows, key=lambda r: r["doc_id"])
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    model = train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    freed()
+    return model
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -291,12 +295,14 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, all columns as given."""
+    """The rows of ``docs`` that are not predicted toxic, all columns as given.
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Rows are judged as by :func:`scored`: null and empty texts stay, repeated rows stay or go
+    together, whole texts are read, an empty table gives an empty one.
+    """
+
+    def keep():
         scorer = Scorer(model)
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array([s < THRESHOLD for s in scorer(texts)], pa.bool_()))
+        return lambda texts: [s < THRESHOLD for s in scorer(texts)]
 
-    return docs.mapInArrow(each, docs.schema)
+    return filtered(docs, keep)
