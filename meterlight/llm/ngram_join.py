@@ -7,12 +7,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlight.llm.common import arrow_map, documents, held, held_narrow, portions
 from meterlight.llm.graph import apart, components
+from meterlight.llm.words import LOWER, STEP, mixed, rolled, word_hashes, word_spans
 
 SHINGLE = 5
 #: Similarity of linked documents, as a fraction.
@@ -30,78 +32,69 @@ BLOCK = 2048
 #: Pairs of a block whose bitmaps are compared at once.
 PAIRS = 100_000
 
-PRIME = np.uint64(0x9E3779B97F4A7C15)
-_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+#: Bytes of words: all but ASCII white space.
+_WORD = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser."""
-    x = (x ^ (x >> np.uint64(31))) * PRIME
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+def _hashed(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(words, shingles) of each text as rows of two independent 64-bit hashes.
 
-
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
-#: A random number for each byte, and the base of the words' polynomials.
-_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * PRIME)
-_BASE = 0xD1342543DE82EF95
-#: Bytes that are hashed together.
-_STEP = 1 << 21
-
-
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64."""
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 2**64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+    Words are what stands between ASCII white space, A-Z in lower case. Of fewer than five words the
+    whole sequence is one shingle; without words there is none.
+    """
+    raw = [t.encode("utf-8", "replace") for t in texts]
+    data = b"\n".join(raw).translate(LOWER)
+    starts, ends = word_spans(data, _WORD)
+    offsets = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raw)]))
+    words = np.stack([word_hashes(data, starts, ends, key) for key in (0, 1)])
+    shingles = np.stack([rolled(words[key], SHINGLE, key) for key in (0, 1)])
+    for first, end in zip(offsets.tolist(), offsets[1:].tolist()):
+        n = end - first
+        if n >= SHINGLE:
+            yield words[:, first:end], shingles[:, first : end - SHINGLE + 1]
+        else:
+            yield words[:, first:end], np.stack([rolled(words[key, first:end], n, key) if n else np.empty(0, np.uint64) for key in (0, 1)])
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(first byte, hash) of the words of lower-cased bytes.
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """The sorted distinct 5-word shingles of each text, as 64-bit hashes."""
+    return [np.unique(s[0]) for _, s in _hashed(texts)]
 
-    A word's hash is a polynomial of its bytes' random numbers, taken from running sums: no
-    word is ever a Python object. A part of the bytes ends where a word does.
-    """
-    starts, hashes, first = [], [], 0
-    while first < len(data):
-        end = min(first + _STEP, len(data))
-        while end < len(data) and not _BLANK[data[end]]:
-            end += 1
-        part = np.frombuffer(data, np.uint8, end - first, first)
-        word = np.concatenate(([False], ~_BLANK[part], [False]))
-        edge = np.flatnonzero(word[1:] != word[:-1])
-        s, e = edge[::2], edge[1::2]
-        up, down = (x[: len(part)] for x in _powers(max(_STEP, 1 << (len(part) - 1).bit_length())))
-        running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[part] * up)))
-        hashes.append(mixed((running[e] - running[s]) * down[s] + (e - s).astype(np.uint64) * PRIME))
-        starts.append(s + first)
-        first = end
-    return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.empty(0, np.int64), np.empty(0, np.uint64))
 
+def identified_sets(texts: list[str]) -> list[tuple[np.ndarray, bytes | None]]:
+    """The sets of :func:`shingle_sets`, each with a name that equal sets share: from 128 bits of every shingle."""
+    out = []
+    for _, both in _hashed(texts):
+        own, at = np.unique(both[0], return_index=True)
+        out.append((own, xxhash.xxh128_digest(own.tobytes() + both[1][at].tobytes()) if len(own) else None))
+    return out
 
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """The sorted distinct 5-word shingles of each text, as 64-bit hashes.
 
-    Words are what stands between ASCII white space, A-Z in lower case. Of fewer words the whole
-    sequence is one shingle; without words there is none.
-    """
-    raw = [t.encode("utf-8", "replace") for t in texts]
-    first_byte = np.cumsum([0, *(len(r) + 1 for r in raw)])
-    starts, flat = word_hashes(b"\n".join(raw).translate(_LOWER))
-    offsets = np.searchsorted(starts, first_byte)
-    rolled = np.zeros(max(len(flat) - SHINGLE + 1, 0), np.uint64)
-    for k in range(SHINGLE if len(rolled) else 0):
-        rolled += mixed(flat[k : k + len(rolled)] ^ _FACTORS[k]) * _FACTORS[k]
-    rolled, out = mixed(rolled), []
+def _ranked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each different pair."""
+    return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1] if len(a) else np.empty(0, np.int64)
+
+
+def exact_sets(texts: list[str]) -> list[np.ndarray]:
+    """The sorted distinct shingles of each text by numbers that only equal ones of these texts share: nothing is hashed."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.large_string())))
+    coded = pc.list_flatten(parts).dictionary_encode()
+    words, index = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    # White space at the ends of a text leaves empty words there.
+    kept = (pc.binary_length(words).to_numpy(zero_copy_only=False) > 0)[index] if len(index) else np.empty(0, bool)
+    offsets = np.concatenate(([0], np.cumsum(kept)))[np.asarray(parts.offsets).astype(np.int64)]
+    index = index[kept]
+    two = _ranked(index[:-1], index[1:])
+    four = _ranked(two[:-2], two[2:])
+    five = _ranked(four[:-1], index[4:])
+    short: dict[tuple, int] = {}
+    out = []
     for first, end in zip(offsets.tolist(), offsets[1:].tolist()):
-        n = end - first
-        if n >= SHINGLE:
-            out.append(np.unique(rolled[first : end - SHINGLE + 1]))
+        if end - first >= SHINGLE:
+            out.append(np.unique(five[first : end - SHINGLE + 1]))
         else:
-            whole = sum(int(flat[first + i]) * int(_FACTORS[i]) for i in range(n)) + n
-            out.append(mixed(np.array([whole % 2**64], np.uint64)) if n else np.empty(0, np.uint64))
+            whole = tuple(index[first:end].tolist())
+            out.append(np.array([-1 - short.setdefault(whole, len(short))] if whole else [], np.int64))
     return out
 
 
@@ -180,17 +173,17 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
-def _each_set(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(position of the first row, sets) for some rows of a batch at a time."""
+def _each_set(batch: pa.RecordBatch) -> Iterator[tuple[int, list[tuple[np.ndarray, bytes | None]]]]:
+    """(position of the first row, sets with their names) for some rows of a batch at a time."""
     texts = [t or "" for t in batch.column("text").to_pylist()]
-    for first, end in portions(texts, _STEP):
-        yield first, shingle_sets(texts[first:end])
+    for first, end in portions(texts, STEP):
+        yield first, identified_sets(texts[first:end])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, set_hash, set_id, keys, bits): a row per document, all from one pass over the texts.
 
-    Equal sets have equal 128-bit hashes; set_id is the first half. An empty set has neither. Of
+    Equal sets have equal 128-bit names; set_id is the first half. An empty set has neither. Of
     equal sets of a task only the first that has a doc_id carries its keys.
     """
 
@@ -198,8 +191,8 @@ def signatures(docs: DataFrame) -> DataFrame:
         done: set[bytes] = set()
         for b in batches:
             doc_ids = b.column("doc_id").to_pylist()
-            for first, sets in _each_set(b):
-                hashes = [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets]
+            for first, named in _each_set(b):
+                sets, hashes = zip(*named)
                 found = []
                 for doc_id, s, h in zip(doc_ids[first:], sets, hashes):
                     new = doc_id is not None and h is not None and h not in done
@@ -265,7 +258,7 @@ def _possible(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of a written table whose whole texts are linked."""
+    """The pairs (a, b) of a written table whose whole texts are linked, by their words themselves."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = held(docs.join(ids, "doc_id", "left_semi"), "ngram-texts")
     some = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(
@@ -276,17 +269,17 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         for b in batches:
             left, right = b.column("a").to_pylist(), b.column("b").to_pylist()
             texts, others = b.column("text").to_pylist(), b.column("text_b").to_pylist()
-            for first, end in portions(others, _STEP):
-                out, right_sets = {"a": [], "b": []}, shingle_sets(others[first:end])
+            first = size = 0
+            for i in range(len(left)):
+                size += len(texts[i]) + len(others[i])
+                if size < STEP and i < len(left) - 1:
+                    continue
                 # A text of many pairs is cut once.
-                different = list(dict.fromkeys(texts[first:end]))
-                for at in portions(different, _STEP):
-                    kept = dict(zip(different[slice(*at)], shingle_sets(different[slice(*at)])))
-                    for x, y, t, s in zip(left[first:end], right[first:end], texts[first:end], right_sets):
-                        if t in kept and linked(kept[t], s):
-                            out["a"].append(x)
-                            out["b"].append(y)
-                yield out
+                different = list(dict.fromkeys(texts[first : i + 1] + others[first : i + 1]))
+                sets = dict(zip(different, exact_sets(different)))
+                hit = [k for k in range(first, i + 1) if linked(sets[texts[k]], sets[others[k]])]
+                yield {"a": [left[k] for k in hit], "b": [right[k] for k in hit]}
+                first, size = i + 1, 0
 
     return arrow_map(some.select("a", "b", "text", "text_b"), each, "a long, b long")
 
@@ -365,7 +358,7 @@ def joined(docs: DataFrame) -> DataFrame:
     1. Equal sets become one class, known by its smallest doc_id; only classes go on.
     2. Every class emits the keys of its size band. Each key's members are compared with one
        of them by size and parity bitmap. Of what stays possible, one pair for each id is
-       compared by text, then those that are still in different components; so groups of
+       compared by text, word by word, then those that are still in different components; so groups of
        copies are joined without looking at all their pairs.
     3. What then shares a key but no component is compared in the same way: first a few pairs
        for each two components, then more, until no pair is open.

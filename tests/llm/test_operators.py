@@ -252,6 +252,36 @@ def test_ngram_join_empty(empty):
     assert ngram_join.representatives(empty).columns == empty.columns
 
 
+def test_words_are_compared_and_not_their_hashes(spark):
+    """Two words by the Thue-Morse rule, which polynomial hashes modulo 2**64 confuse, and unbroken words of megabytes."""
+    morse = ["a", "b"]
+    for _ in range(10):
+        morse = [morse[0] + morse[1], morse[1] + morse[0]]
+    docs = [(1, " ".join([morse[0]] * 6)), (2, " ".join([morse[1]] * 6)), (3, " ".join([morse[0]] * 7)), (4, "x" * 8_000_000), (5, "X" * 8_000_000 + " "), (6, "x" * 8_000_001)]
+    found = ngram_join.joined(frame(spark, [(i, t, None, None, None) for i, t in docs]))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4, 6: 6}
+
+
+def test_exact_sets_are_those_of_the_words():
+    texts = ["", " a ", "A b", "a b c d e", "a b c d e f a b c d e", "\ta\x0bB  c\nd e", "b a", "é É é É é", "a b c d", "a\x85b c d e f"]
+    exact, hashed = ngram_join.exact_sets(texts), ngram_join.shingle_sets(texts)
+    lower = {65 + i: 97 + i for i in range(26)}
+    plain = []
+    for t in texts:
+        w = re.findall("[^\x20\x09-\x0d]+", t.translate(lower))
+        plain.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))})
+    for i, j in itertools.product(range(len(texts)), repeat=2):
+        want = len(plain[i] & plain[j])
+        assert len(np.intersect1d(exact[i], exact[j])) == want
+        assert len(np.intersect1d(hashed[i], hashed[j])) == want
+
+
+def test_names_of_equal_sets():
+    named = ngram_join.identified_sets(["a b c d e f", "A  b c d e f", "a b c d e f a b c d e f", "", "a b c d e g"])
+    assert named[0][1] == named[1][1] != named[4][1]
+    assert named[0][1] != named[2][1] and named[3][1] is None and len(named[3][0]) == 0
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (10, 9), (9, 8), (8, 7), (7, 6), (6, 5), (20, 30), (5, 5)] + [(100, 100 + i) for i in range(1, 50)]
     got = dict(rows(graph.components(spark.createDataFrame(links, "a long, b long"))))
