@@ -58,12 +58,18 @@ def overwrite_days(df: DataFrame, path: str, columns: list[str]) -> None:
     ).mode("overwrite").parquet(path)
 
 
-def upsert(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
+def upsert(target: DataFrame, updates: DataFrame, keys: list[str], null_safe: bool = False) -> DataFrame:
     """Target after a merge: rows of ``updates`` replace those with equal keys or are added.
 
-    A NULL key equals nothing, so such rows are kept on both sides, as in MERGE.
+    A NULL key equals nothing, so such rows are kept on both sides, as in MERGE; with
+    ``null_safe`` it equals another NULL.
     """
-    kept = target.join(updates.select(*keys).distinct(), keys, "left_anti")
+    new = updates.select(*keys).distinct()
+    if null_safe:
+        new = new.select(*[F.col(k).alias(f"_new_{k}") for k in keys])
+        kept = target.join(new, [F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys], "left_anti")
+    else:
+        kept = target.join(new, keys, "left_anti")
     return kept.select(*target.columns).unionByName(updates.select(*target.columns))
 
 

@@ -43,11 +43,16 @@ PREDEFINED_PROBES = (
     Probe("Costs 50 Credits", "approx_credits > 50"),
 )
 
-# Wording of the alert emails.
-SUBJECT = "Probe [{probe_name}] matched query."
+SUBJECT = "Monitor {probe_name}: query {query_id}"
 EMAIL_BODY = (
-    "Query Id: {query_id}\nQuery User: {user_name}\nWarehouse Name: {warehouse_name}\n"
-    "Start Time: {start_time}\nQuery Text: \n{query_text}\nAccount Locator:\n{identifier}\n"
+    "The monitor {probe_name} has found a running query.\n\n"
+    "query:     {query_id}\nstarted:   {start_time}\nby:        {user_name}\n"
+    "warehouse: {warehouse_name}\naccount:   {identifier}\n\n{query_text}\n"
+)
+#: For chats that show what stands between back quotes as code.
+CHAT_BODY = (
+    "*{probe_name}* has found query `{query_id}`, started `{start_time}` by {user_name} on "
+    "`{warehouse_name}` in account `{identifier}`:\n```{query_text}```"
 )
 
 
@@ -179,15 +184,39 @@ def probe_actions(
     )
 
 
+def action_log(actions: DataFrame) -> DataFrame:
+    """Rows of the action log for ``probe_actions`` rows: methods with their destinations, the CANCEL flag,
+    and an outcome that is empty until it is reported."""
+    return actions.select(
+        F.col("probe_time").alias("action_time"),
+        "probe_name",
+        "query_id",
+        F.col("action_taken").alias("actions_taken"),
+        F.lit("").alias("outcome"),
+        *("user_name", "warehouse_name", "start_time", "query_text"),
+    )
+
+
 def messages(actions: DataFrame, identifier: str) -> DataFrame:
-    """Subject and body of the email of each action."""
+    """What to send for each action: a row for each method that has a destination.
+
+    Mails have a subject and a plain body, other methods (chats) no subject and a body with
+    code marks.
+    """
     values = {
         c: F.col(c)
         for c in ("probe_name", "query_id", "user_name", "warehouse_name", "start_time", "query_text")
     }
     values["identifier"] = F.lit(identifier)
-    return actions.select(
-        "query_id", "probe_name", render(SUBJECT, values).alias("subject"), render(EMAIL_BODY, values).alias("body")
+    sent = actions.select("*", F.explode(F.map_filter("action_taken", lambda k, v: (k != "CANCEL") & (F.length(v) > 1))).alias("method", "destination"))
+    mail = F.lower("method") == "email"
+    return sent.select(
+        "query_id",
+        "probe_name",
+        "method",
+        "destination",
+        F.when(mail, render(SUBJECT, values)).alias("subject"),
+        F.when(mail, render(EMAIL_BODY, values)).otherwise(render(CHAT_BODY, values)).alias("body"),
     )
 
 

@@ -124,6 +124,19 @@ def sessions(
     return _emit(_resolve(key_events(events, tie), chunk, starts_only=True), literal_micros(as_of))
 
 
+def cut_starts(rows: DataFrame, chunk: str = "hour") -> DataFrame:
+    """The start events among ``key_events`` rows with their run and the event that follows, which do
+    not depend on the time they are looked at."""
+    return _resolve(rows, chunk, starts_only=True).select(
+        "_us", "warehouse_id", "warehouse_name", "cluster_number", "session_type", "_run", "_over", "_stop", "_near"
+    )
+
+
+def emit_sessions(starts: DataFrame, as_of: datetime | str) -> DataFrame:
+    """The sessions of ``cut_starts`` rows as of an instant."""
+    return _emit(starts, literal_micros(as_of))
+
+
 @dataclass(frozen=True)
 class SessionRefresh:
     """``closed`` is final; ``open`` and ``carry`` replace what the refresh before returned.

@@ -289,29 +289,34 @@ def actions(spark, d):
     return mon.probe_actions(found, PROBES, readers.active_users(adapters.users(spark, d)), AS_OF)
 
 
+TAKEN_SQL = """CASE probe_name WHEN 'Long Queries' THEN CASE WHEN writer IS NULL THEN '' ELSE writer || ',' END
+    WHEN 'Costs 50 Credits' THEN CASE WHEN writer IS NULL THEN '' ELSE writer || ',' END || 'cost@example.com' END AS email,
+  CASE WHEN probe_name = 'Big Readers' THEN '#ops, #cost' END AS slack, CASE WHEN probe_name = 'Costs 50 Credits' THEN 'true' ELSE 'false' END AS cancel"""
+
+
+def taken(column):
+    """Destinations by method and the CANCEL flag of an action."""
+    return [F.try_element_at(column, F.lit(k)).alias(k.lower()) for k in ("Email", "Slack", "CANCEL")]
+
+
 @register(
     "probe_actions",
-    ACTIONS
-    + """SELECT query_id, probe_name, user_name, TIMESTAMP '2001-09-01' AS probe_time,
-  CASE probe_name WHEN 'Long Queries' THEN CASE WHEN writer IS NULL THEN '' ELSE writer || ',' END
-    WHEN 'Costs 50 Credits' THEN CASE WHEN writer IS NULL THEN '' ELSE writer || ',' END || 'cost@example.com' END AS email,
-  CASE WHEN probe_name = 'Big Readers' THEN '#ops, #cost' END AS slack, CASE WHEN probe_name = 'Costs 50 Credits' THEN 'true' ELSE 'false' END AS cancel FROM ac""",
+    ACTIONS + f"SELECT query_id, probe_name, user_name, TIMESTAMP '2001-09-01' AS probe_time, {TAKEN_SQL} FROM ac",
 )
 def probe_actions(spark, d):
-    taken = lambda key: F.try_element_at("action_taken", F.lit(key))
-    return actions(spark, d).select(
-        "query_id", "probe_name", "user_name", "probe_time",
-        taken("Email").alias("email"), taken("Slack").alias("slack"), taken("CANCEL").alias("cancel"),
-    )
+    return actions(spark, d).select("query_id", "probe_name", "user_name", "probe_time", *taken("action_taken"))
 
 
 @register(
     "render_message",
     ACTIONS
-    + """SELECT query_id, probe_name, 'Probe [' || probe_name || '] matched query.' AS subject,
-  'Query Id: ' || query_id || chr(10) || 'Query User: ' || user_name || chr(10) || 'Warehouse Name: ' || warehouse_name || chr(10) ||
-  'Start Time: ' || strftime(start_time, '%Y-%m-%d %H:%M:%S') || chr(10) || 'Query Text: ' || chr(10) || query_text || chr(10) ||
-  'Account Locator:' || chr(10) || 'ACC1' || chr(10) AS body FROM ac""",
+    + f""", tk AS (SELECT *, {TAKEN_SQL}, strftime(start_time, '%Y-%m-%d %H:%M:%S') AS began FROM ac)
+SELECT query_id, probe_name, 'Email' AS method, email AS destination, 'Monitor ' || probe_name || ': query ' || query_id AS subject,
+  'The monitor ' || probe_name || ' has found a running query.' || chr(10) || chr(10) || 'query:     ' || query_id || chr(10) || 'started:   ' || began || chr(10) ||
+  'by:        ' || user_name || chr(10) || 'warehouse: ' || warehouse_name || chr(10) || 'account:   ACC1' || chr(10) || chr(10) || query_text || chr(10) AS body
+FROM tk WHERE length(email) > 1
+UNION ALL SELECT query_id, probe_name, 'Slack', slack, NULL, '*' || probe_name || '* has found query `' || query_id || '`, started `' || began || '` by ' || user_name ||
+  ' on `' || warehouse_name || '` in account `ACC1`:' || chr(10) || '```' || query_text || '```' FROM tk WHERE length(slack) > 1""",
 )
 def render_message(spark, d):
     return mon.messages(actions(spark, d), "ACC1")

@@ -1,4 +1,8 @@
-"""Streaming transformations: a streaming DataFrame in, a streaming DataFrame out."""
+"""Streaming transformations: a streaming DataFrame in, a streaming DataFrame out.
+
+None of them keeps a watermark on the time of an event: rows of a log arrive when they arrive,
+and what a late one changes is decided by the tables in :mod:`meterlight.streaming.tables`.
+"""
 
 from __future__ import annotations
 
@@ -8,47 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlight.operators.monitors import Probe, match_probes
-from meterlight.operators.quota import credits_used, persona_rows
-
-
-def event_time(sdf: DataFrame, ts: str, delay: str) -> DataFrame:
-    """Adds ``event_time``, the column the watermark is kept on."""
-    return sdf.withColumn("event_time", F.col(ts).cast("timestamp")).withWatermark("event_time", delay)
 
 
-def stream_settled(sdf: DataFrame, ts: str, delay_minutes: int, keys: list[str]) -> DataFrame:
-    """Each record once; records older than the lateness allowance are dropped.
+def stream_probe_matches(live: DataFrame, probes: Iterable[Probe]) -> DataFrame:
+    """Rule matches of a live feed, every time the feed shows the query.
 
-    State is one entry per key and only for as long as the allowance; the number of records
-    dropped is in the query's progress (``numRowsDroppedByWatermark``).
+    The rules are one projection, so nothing is joined and no state is kept: that each fires
+    once per query is left to the action log.
     """
-    marked = event_time(sdf, ts, f"{delay_minutes} minutes")
-    return marked.dropDuplicates([*keys, "event_time"]).drop("event_time")
+    return match_probes(live, probes)
 
 
-def stream_probe_matches(
-    live: DataFrame, probes: Iterable[Probe], ts: str = "start_time", delay: str = "1 hour"
-) -> DataFrame:
-    """Rule matches of a live feed, once per rule and query within the watermark.
-
-    The rules are one projection, so nothing is joined; what lies beyond the watermark is left
-    to the action log.
-    """
-    found = match_probes(event_time(live, ts, delay), probes)
-    return found.dropDuplicatesWithinWatermark(["probe_name", "query_id"]).drop("event_time")
-
-
-def stream_hourly_quota(queries: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Running totals per hour, name and persona, for update mode."""
-    rows = event_time(persona_rows(queries.filter(F.col("start_time") <= F.col("end_time"))), "end_time", delay)
-    return (
-        rows.groupBy(F.window("event_time", "1 hour").alias("hour"), "name", "persona")
-        .agg(credits_used().alias("credits_used"))
-        .select(
-            F.to_date("hour.start").alias("day"),
-            F.hour("hour.start").alias("hour_of_day"),
-            "name",
-            "persona",
-            "credits_used",
-        )
-    )
+def stream_finished(queries: DataFrame) -> DataFrame:
+    """The finished rows of a query log; running ones carry an end before their start."""
+    return queries.filter(F.col("start_time") <= F.col("end_time"))

@@ -1,24 +1,32 @@
 """Sinks that keep tables from micro-batches, exactly once.
 
-Each batch writes folders named after its number and overwrites them when it is replayed, and
-it reads only what the batch before it wrote. A batch that fails half-way, or an executor lost
-during it, leaves nothing behind that the next attempt does not replace. All state lies in the
-checkpointed folder on shared storage; nothing is kept in the driver between batches.
+Rows that only ever come to a table are written to a folder named after their batch, which a
+replayed batch overwrites. Tables whose rows change lie in partitions by day: a batch works out
+the new content of the days it touches, writes it down once, and then overwrites just those
+partitions; a replay finds what was written and goes on from there. What a batch hands to the
+next one is a small table of its own, which goes when the batch after has been written. All
+state lies in the checkpointed folder on shared storage; nothing is kept in the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from datetime import datetime, timedelta
+from collections.abc import Callable, Iterable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import DateType, IntegerType, StructField, StructType
 
-from meterlight.functions.timeops import micros
-from meterlight.operators.sessions import SessionRefresh, refresh_sessions
+from meterlight.functions.timeops import GRID_MICROS, from_micros, literal_micros, micros
+from meterlight.operators import monitors as mon
+from meterlight.operators.history import day_slices
+from meterlight.operators.maintenance import overwrite_days, upsert
+from meterlight.operators.quota import persona_rows
+from meterlight.operators.refresh import EPOCH, Watermarks
+from meterlight.operators.sessions import cut_starts, emit_sessions, key_events
 
-EPOCH = datetime(1970, 1, 1)
+Clock = Callable[[], "datetime | str"]
 
 
 def run_available(
@@ -36,10 +44,24 @@ def run_available(
     return query
 
 
-def _write(df: DataFrame, path: str, table: str, batch: int) -> None:
-    df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
-        f"{path}/{table}/batch={batch}"
-    )
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file_system(spark, path)
+    return fs.exists(at)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def _write(df: DataFrame, path: str, table: str, batch: int, by: Iterable[str] = ()) -> None:
+    out = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    out.partitionBy(*by).parquet(f"{path}/{table}/batch={batch}")
 
 
 def read_all(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -51,18 +73,108 @@ def read_batch(spark: SparkSession, path: str, table: str, batch: int) -> DataFr
     return spark.read.parquet(f"{path}/{table}/batch={batch}")
 
 
+def _before(spark: SparkSession, path: str, table: str, schema, batch: int | None = None) -> DataFrame:
+    """The rows of a table that batches before ``batch`` wrote; none if there is no table yet."""
+    if not _exists(spark, f"{path}/{table}"):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(f"{path}/{table}")
+    return rows if batch is None else rows.filter(F.col("batch") < batch)
+
+
+def _handed_on(spark: SparkSession, path: str, table: str, schema, batch: int) -> DataFrame:
+    """What the batch before handed on."""
+    at = f"{path}/{table}/batch={batch - 1}"
+    return spark.read.schema(schema).parquet(at) if _exists(spark, at) else spark.createDataFrame([], schema)
+
+
+def _hand_on(df: DataFrame, path: str, table: str, batch: int) -> None:
+    """Written for the next batch. What the batch before last handed on is needed by no replay."""
+    _write(df, path, table, batch)
+    _remove(df.sparkSession, f"{path}/{table}/batch={batch - 2}")
+
+
 def last_batch(spark: SparkSession, path: str, table: str) -> int:
-    """Number of the newest batch of a table, from its folder names."""
-    return read_all(spark, path, table).agg(F.max("batch")).first()[0]
+    """Number of the newest batch that handed this table on, with or without rows: by its folders."""
+    fs, at = _file_system(spark, f"{path}/{table}")
+    return max(int(s.getPath().getName().removeprefix("batch=")) for s in fs.listStatus(at) if s.isDirectory())
+
 
+def _replace_days(content: Callable[[], DataFrame], spark: SparkSession, path: str, table: str, batch: int) -> None:
+    """Overwrites the ``day`` partitions of a table that occur in ``content``, which may read that table.
+
+    The content is written down first. If the batch fails while partitions are overwritten, its
+    replay takes what was written instead of reading a table that is changed in part.
+    """
+    at = f"{path}/new-{table}/batch={batch}"
+    if not _exists(spark, f"{at}/_SUCCESS"):
+        _write(content(), path, f"new-{table}", batch)
+    rows = spark.read.parquet(at)
+    if not rows.isEmpty():
+        overwrite_days(rows, f"{path}/{table}", ["day"])
+    _remove(spark, f"{path}/new-{table}/batch={batch - 1}")
+
+
+def _day(ts: str):
+    return F.to_date(ts)
+
+
+def _one_each(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of those with equal keys, whatever their order."""
+    row = F.struct(*df.columns)
+    return df.groupBy(*keys).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+
+
+def _with(schema: StructType, *columns: str) -> StructType:
+    """A schema with the columns of its folders behind it."""
+    kinds = {"day": DateType(), "batch": IntegerType()}
+    return StructType([*schema.fields, *(StructField(c, kinds[c]) for c in columns)])
+
+
+# settled rows ---------------------------------------------------------------------------------
+
+
+def keep_settled(
+    path: str, ts: str, delay_minutes: int, keys: list[str], clock: Clock | None = None
+) -> Callable[[DataFrame, int], None]:
+    """Rows of a log once they are final, each once: the streaming form of ``readers.settled``.
+
+    A row waits in ``held`` until the clock is past its lateness allowance. One that arrives
+    later than that is final at once and comes through like any other. A row that comes again
+    is left out: it is looked up among those held and those settled on its days. ``clock`` is
+    the time of the run; without one it is the newest row seen.
+    """
 
-def append_settled(path: str) -> Callable[[DataFrame, int], None]:
     def on_batch(df: DataFrame, batch: int) -> None:
-        _write(df, path, "settled", batch)
+        spark = df.sparkSession
+        schema = df.schema
+        last = _handed_on(spark, path, "clock", "now bigint", batch).first()
+        fresh = _one_each(df, keys).persist()
+        seen = fresh.agg(F.max(micros(ts)).alias("newest"), F.min(_day(ts)).alias("oldest")).first()
+        now = max(last.now if last else 0, literal_micros(clock()) if clock else seen.newest or 0)
+        held = _handed_on(spark, path, "held", schema, batch)
+        if seen.oldest is not None:
+            known = _before(spark, path, "settled", _with(df.schema, "batch", "day"), batch)
+            fresh_rows = fresh.join(held.select(*keys), keys, "left_anti").join(
+                known.filter(F.col("day") >= F.lit(seen.oldest)).select(*keys), keys, "left_anti"
+            )
+            held = held.unionByName(fresh_rows)
+        limit = now - delay_minutes * GRID_MICROS["minute"]
+        ready = F.lit(True) if delay_minutes <= 0 else micros(ts) < F.lit(limit).cast("bigint")
+        _write(held.filter(ready).withColumn("day", _day(ts)), path, "settled", batch, ["day"])
+        _hand_on(held.filter(~ready), path, "held", batch)
+        _hand_on(spark.range(1).select(F.lit(now).cast("bigint").alias("now")), path, "clock", batch)
+        fresh.unpersist()
 
     return on_batch
 
 
+def settled_kept(spark: SparkSession, path: str, schema) -> DataFrame:
+    return _before(spark, path, "settled", _with(schema, "batch", "day")).drop("batch", "day")
+
+
+# queries --------------------------------------------------------------------------------------
+
+
 def _newest(df: DataFrame) -> DataFrame:
     """One version of each query: of the latest arrival, then with the latest end."""
     kept = [c for c in df.columns if c != "arrival"]
@@ -70,134 +182,216 @@ def _newest(df: DataFrame) -> DataFrame:
     return df.groupBy("query_id").agg(F.max_by(F.struct(*kept), order).alias("row")).select("row.*")
 
 
-def keep_queries(path: str) -> Callable[[DataFrame, int], None]:
+STATE = "oldest_running timestamp_ntz, newest_completed timestamp_ntz"
+
+
+def keep_queries(path: str, clock: Clock | None = None) -> Callable[[DataFrame, int], None]:
     """Closed queries appended once, running ones replaced by each batch.
 
     A query first arrives as running and later as finished; the finished row removes it from
     the open table. A finished row that comes again is not stored again, and a running row that
     comes after the finished one does not open the query again. A query keeps its start time,
-    so only the part of the closed table from the oldest start in the batch on is read.
+    so only the days of the closed table from the oldest start in the batch on are read.
+
+    Each batch hands on the two watermarks: the oldest start still running (else the newest
+    end seen) and the newest end of a finished query. With a ``clock`` it also writes slices:
+    those of closed queries once, those of open ones anew.
     """
 
     def on_batch(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
+        schema = df.schema
         fresh = df.withColumn("arrival", F.lit(batch)).persist()
         running = F.col("start_time") > F.col("end_time")
         done, waiting = _newest(fresh.filter(~running)), fresh.filter(running)
-        oldest = fresh.agg(F.min("start_time")).first()[0]
-        if batch > 0 and oldest is not None:
-            since = F.col("start_time") >= F.lit(oldest).cast(df.schema["start_time"].dataType)
-            before = read_all(spark, path, "closed").filter((F.col("batch") < batch) & since).select("query_id")
-            done, waiting = (x.join(before, "query_id", "left_anti") for x in (done, waiting))
-        if batch > 0:
-            waiting = waiting.unionByName(read_batch(spark, path, "open", batch - 1).withColumn("arrival", F.lit(batch - 1)))
-        still = _newest(waiting.join(done.select("query_id"), "query_id", "left_anti"))
-        _write(done, path, "closed", batch)
-        _write(still, path, "open", batch)
-        fresh.unpersist()
+        oldest = fresh.agg(F.min(_day("start_time"))).first()[0]
+        if oldest is not None:
+            closed = _before(spark, path, "closed", _with(df.schema, "batch", "day"), batch)
+            known = closed.filter(F.col("day") >= F.lit(oldest)).select("query_id")
+            done, waiting = (x.join(known, "query_id", "left_anti") for x in (done, waiting))
+        earlier = _handed_on(spark, path, "open", schema, batch).withColumn("arrival", F.lit(batch - 1))
+        done = done.persist()
+        still = _newest(waiting.unionByName(earlier).join(done.select("query_id"), "query_id", "left_anti")).persist()
+        _write(done.withColumn("day", _day("start_time")), path, "closed", batch, ["day"])
+        _hand_on(still, path, "open", batch)
+        if clock is not None:
+            _write(day_slices(done, clock()), path, "closed-slices", batch)
+            _hand_on(day_slices(still, clock()), path, "open-slices", batch)
+        state = _handed_on(spark, path, "state", STATE, batch)
+        ends = done.agg(F.max("end_time").cast("timestamp_ntz").alias("newest_completed")).unionByName(state.select("newest_completed"))
+        opened = still.agg(F.min("start_time").cast("timestamp_ntz").alias("oldest_running"))
+        after = ends.agg(F.max("newest_completed").alias("newest_completed")).crossJoin(opened)  # one row each
+        after = after.select(F.coalesce("oldest_running", "newest_completed").alias("oldest_running"), "newest_completed")
+        _hand_on(after, path, "state", batch)
+        for x in (fresh, done, still):
+            x.unpersist()
 
     return on_batch
 
 
 def queries_kept(spark: SparkSession, path: str) -> DataFrame:
     """Finished queries and those still running."""
-    newest = last_batch(spark, path, "closed")
-    return read_all(spark, path, "closed").drop("batch").unionByName(read_batch(spark, path, "open", newest))
+    still = read_batch(spark, path, "open", last_batch(spark, path, "state"))
+    return _before(spark, path, "closed", _with(still.schema, "batch", "day")).drop("batch", "day").unionByName(still)
+
 
+def slices_kept(spark: SparkSession, path: str) -> DataFrame:
+    """The slices of finished queries and of those still running, as of the last batch."""
+    still = read_batch(spark, path, "open-slices", last_batch(spark, path, "state"))
+    return _before(spark, path, "closed-slices", _with(still.schema, "batch")).drop("batch").unionByName(still)
 
-def keep_sessions(path: str, delay_minutes: int = 0, tie: str | None = None) -> Callable[[DataFrame, int], None]:
-    """Sessions from a stream of events.
 
-    Events wait in ``held`` until the newest event is ``delay_minutes`` past them, so they are
-    applied in order; events older than what was already applied are too late and go to
-    ``late``, where they can be counted. Each batch reads the small carry of the batch before,
-    not the log. The work of a batch is that of ``refresh_sessions``: one busy warehouse is
-    spread over tasks by time chunks.
+def watermarks_kept(spark: SparkSession, path: str) -> Watermarks:
+    """The watermarks after the last batch."""
+    row = read_batch(spark, path, "state", last_batch(spark, path, "state")).first()
+    return Watermarks(row.oldest_running or EPOCH, row.newest_completed or EPOCH)
+
+
+# sessions -------------------------------------------------------------------------------------
+
+EVENTS = "_us bigint, warehouse_id bigint, warehouse_name string, cluster_number bigint, _event int, _tie bigint"
+RUNS = "warehouse_id bigint, _last bigint"
+
+
+def keep_sessions(path: str, tie: str | None = None, chunk: str = "hour") -> Callable[[DataFrame, int], None]:
+    """Sessions from a stream of events, in any order and however late.
+
+    A batch reopens only what its events touch. For each warehouse that is the run before its
+    first new event, or the last run if the event comes after all others, and all that follows:
+    those events are cut anew, and the sessions that begin there replace the ones before, in
+    the days they begin on. An event at the instant of another one is like a late one. What
+    was cut does not depend on the clock; open ends are filled in by :func:`sessions_kept`.
+
+    Between batches only the last run of each warehouse is handed on. Earlier runs are looked
+    up for warehouses with late events alone.
     """
 
     def on_batch(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
-        applied = 0
-        if batch > 0:
-            applied = read_batch(spark, path, "clock", batch - 1).first()["applied"]
-        newest = df.agg(F.max(micros("timestamp"))).first()[0]
-        limit = max(applied, (newest or 0) - delay_minutes * 60_000_000)
-        late = micros("timestamp") <= applied
-        _write(df.filter(late), path, "late", batch)
-        ready = df.filter(~late)
-        open_rows = carry = None
-        if batch > 0:
-            ready = ready.unionByName(read_batch(spark, path, "held", batch - 1))
-            open_rows = read_batch(spark, path, "open", batch - 1)
-            carry = read_batch(spark, path, "carry", batch - 1)
-        _write(ready.filter(micros("timestamp") > limit), path, "held", batch)
-        step = refresh_sessions(
-            ready.filter(micros("timestamp") <= limit),
-            EPOCH + timedelta(microseconds=limit),
-            open_rows,
-            carry,
-            tie=tie,
-        )
-        step.rows.persist()
-        _write(step.closed, path, "closed", batch)
-        _write(step.open, path, "open", batch)
-        _write(step.carry, path, "carry", batch)
-        step.rows.unpersist()
-        _write(spark.range(1).select(F.lit(limit).cast("bigint").alias("applied")), path, "clock", batch)
+        typed = [F.col(f).cast(kind).alias(f) for f, kind in (x.split() for x in EVENTS.split(", "))]
+        _write(key_events(df, tie).select(*typed), path, "events", batch)
+        fresh = read_batch(spark, path, "events", batch)
+        runs = _handed_on(spark, path, "runs", RUNS, batch)
+        first = fresh.groupBy("warehouse_id").agg(F.min("_us").alias("_first")).join(runs, "warehouse_id", "left").persist()
+        late = first.filter("_first <= _last")
+        since = first.select("warehouse_id", F.when(F.col("_first") > F.col("_last"), F.col("_last")).alias("_since"))
+        newest_late = late.agg(F.max("_first")).first()[0]
+        if newest_late is not None:
+            day = F.to_date(from_micros(F.lit(newest_late).cast("bigint")))
+            known = spark.read.parquet(f"{path}/sessions").filter(F.col("day") <= day).select("warehouse_id", "_run")
+            found = known.join(late, "warehouse_id").filter("_run < _first").groupBy("warehouse_id").agg(F.max("_run").alias("_found"))
+            since = since.join(found, "warehouse_id", "left").select("warehouse_id", F.coalesce("_since", "_found").alias("_since"))
+        since = since.fillna({"_since": -(1 << 62)}).persist()
+        low = since.agg(F.min("_since")).first()[0]
+        if low is not None:
+            new = None
+
+            def content() -> DataFrame:
+                nonlocal new
+                events = _before(spark, path, "events", f"{EVENTS}, batch int", batch + 1).filter(F.col("_us") >= low)
+                touched = events.join(since, "warehouse_id").filter("_us >= _since").drop("_since", "batch")
+                new = cut_starts(touched, chunk).withColumn("day", _day(from_micros(F.col("_us")))).persist()
+                if not _exists(spark, f"{path}/sessions"):
+                    return new
+                kept = spark.read.parquet(f"{path}/sessions").join(new.select("day").distinct(), "day", "left_semi")
+                kept = kept.join(since, "warehouse_id", "left").filter("_since IS NULL OR _us < _since").drop("_since")
+                return kept.unionByName(new.select(*kept.columns))
+
+            _replace_days(content, spark, path, "sessions", batch)
+            cut = read_batch(spark, path, "new-sessions", batch).join(since.select("warehouse_id"), "warehouse_id", "left_semi")
+            last = cut.groupBy("warehouse_id").agg(F.max("_run").alias("_last"))
+            runs = upsert(runs, last, ["warehouse_id"])
+            if new is not None:
+                new.unpersist()
+        _hand_on(runs, path, "runs", batch)
+        first.unpersist()
+        since.unpersist()
 
     return on_batch
 
 
-def sessions_kept(spark: SparkSession, path: str, as_of: datetime | str, tie: str | None = None) -> DataFrame:
-    """All sessions as of an instant: closed ones, and open ones with the events still held."""
-    newest = last_batch(spark, path, "clock")
-    step: SessionRefresh = refresh_sessions(
-        read_batch(spark, path, "held", newest),
-        as_of,
-        read_batch(spark, path, "open", newest),
-        read_batch(spark, path, "carry", newest),
-        tie=tie,
-    )
-    closed = read_all(spark, path, "closed").drop("batch")
-    return closed.unionByName(step.closed).unionByName(step.open)
+def sessions_kept(spark: SparkSession, path: str, as_of: datetime | str) -> DataFrame:
+    """All sessions as of an instant; those without a stop end at midnight or, before that, now."""
+    if not _exists(spark, f"{path}/sessions"):
+        return emit_sessions(cut_starts(spark.createDataFrame([], EVENTS)), as_of)
+    return emit_sessions(spark.read.parquet(f"{path}/sessions").drop("day"), as_of)
 
 
-def log_alerts(path: str) -> Callable[[DataFrame, int], None]:
-    """Appends matches that the action log does not hold yet: each alert fires once.
+# alerts ---------------------------------------------------------------------------------------
 
-    A query keeps its start time, so only the part of the log from the oldest start in the
-    batch on is read.
+ACTIONS = (
+    "action_time timestamp_ntz, probe_name string, query_id string, actions_taken map<string,string>, outcome string, "
+    "user_name string, warehouse_name string, start_time timestamp_ntz, query_text string, batch int, day date"
+)
+
+
+def log_alerts(
+    path: str, probes: Iterable[mon.Probe], users: DataFrame, clock: Clock
+) -> Callable[[DataFrame, int], None]:
+    """The action log: what to do for each match that it does not hold yet, so that each fires once.
+
+    It needs no order of arrival: a query that started long ago and matches now fires now. A
+    query keeps its start time, so only the days of the log from the oldest start in the batch
+    on are read. ``outcome`` is empty until whoever sends and cancels reports back.
     """
+    rules = list(probes)
 
     def on_batch(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
-        fresh = df.select("probe_name", "query_id", "user_name", "warehouse_name", "start_time").persist()
-        oldest = fresh.agg(F.min("start_time")).first()[0]
-        new = fresh
-        if batch > 0 and oldest is not None:
-            since = F.col("start_time") >= F.lit(oldest).cast("timestamp_ntz")
-            before = read_all(spark, path, "actions").filter((F.col("batch") < batch) & since)
-            new = fresh.join(before.select("probe_name", "query_id"), ["probe_name", "query_id"], "left_anti")
-        _write(new, path, "actions", batch)
+        keys = ["probe_name", "query_id"]
+        fresh = _one_each(df.select(*keys, "user_name", "warehouse_name", "start_time", "query_text"), keys).persist()
+        oldest = fresh.agg(F.min(_day("start_time"))).first()[0]
+        if oldest is not None:
+            held = _before(spark, path, "actions", ACTIONS, batch).filter(F.col("day") >= F.lit(oldest))
+            actions = mon.probe_actions(fresh.join(held.select(*keys), keys, "left_anti"), rules, users, clock())
+            log = mon.action_log(actions).withColumn("day", _day("start_time"))
+            _write(log, path, "actions", batch, ["day"])
         fresh.unpersist()
 
     return on_batch
 
 
+def alerts_kept(spark: SparkSession, path: str) -> DataFrame:
+    return _before(spark, path, "actions", ACTIONS).drop("batch", "day")
+
+
+# hourly spend ---------------------------------------------------------------------------------
+
+QUOTA_KEYS = ["day", "hour_of_day", "name", "persona"]
+QUOTA = "hour_of_day int, name string, persona string, work bigint, cloud decimal(38,9), day date"
+
+
 def keep_quota(path: str) -> Callable[[DataFrame, int], None]:
-    """Versions of the hourly totals; the newest version of a key is the one that counts."""
+    """Exact sums of work per hour, name and persona, from a stream of finished queries.
+
+    The hours of a batch are added up, merged into the days they belong to, and those days are
+    overwritten in place. A query that ends in an hour long past raises that hour.
+    """
 
     def on_batch(df: DataFrame, batch: int) -> None:
-        _write(df, path, "quota", batch)
+        spark = df.sparkSession
+
+        def added(rows: DataFrame) -> DataFrame:
+            sums = (F.sum("work").alias("work"), F.sum("cloud").cast("decimal(38,9)").alias("cloud"))
+            return rows.groupBy(*QUOTA_KEYS).agg(*sums)
+
+        def content() -> DataFrame:
+            rows = persona_rows(df).select(
+                _day("end_time").alias("day"), F.hour("end_time").alias("hour_of_day"), "name", "persona",
+                F.col("_work").alias("work"), F.col("_cloud").alias("cloud"),
+            )
+            fresh = added(rows).persist()
+            held = _before(spark, path, "quota", QUOTA).join(fresh.select("day").distinct(), "day", "left_semi")
+            same = [held[k].eqNullSafe(fresh[k]) for k in QUOTA_KEYS]
+            updates = added(fresh.unionByName(held.join(fresh, same, "left_semi")))
+            return upsert(held, updates, QUOTA_KEYS, null_safe=True)
+
+        _replace_days(content, spark, path, "quota", batch)
 
     return on_batch
 
 
 def quota_kept(spark: SparkSession, path: str) -> DataFrame:
-    """The newest total per hour, name and persona."""
-    keys = ["day", "hour_of_day", "name", "persona"]
-    return (
-        read_all(spark, path, "quota")
-        .groupBy(*keys)
-        .agg(F.max_by("credits_used", "batch").alias("credits_used"))
-    )
+    """Credits per hour, name and persona."""
+    credits = F.col("work").cast("double") / F.lit(3_600_000.0) + F.col("cloud").cast("double")
+    return _before(spark, path, "quota", QUOTA).select(*QUOTA_KEYS, credits.alias("credits_used"))

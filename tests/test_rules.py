@@ -107,8 +107,15 @@ def test_actions_and_messages(spark):
     assert got[("q2", "both")] == {"Email": "x@y.z", "CANCEL": "true"}
     assert got[("q1", "slack")] == {"Email": "ann@x", "Slack": "#a", "CANCEL": "false"}
     assert got[("q3", "slack")] == {"Slack": "#a", "CANCEL": "false"}
-    body = mon.messages(acts.filter("query_id = 'q1'"), "ACC").first()
-    assert "Query Id: q1\nQuery User: ann" in body.body and body.body.endswith("Account Locator:\nACC\n")
+    sent = {(r.query_id, r.probe_name, r.method): r for r in mon.messages(acts, "ACC").collect()}
+    mail = sent["q1", "both", "Email"]
+    assert (mail.destination, mail.subject) == ("ann@x,x@y.z", "Monitor both: query q1")
+    assert "query:     q1\n" in mail.body and "account:   ACC\n" in mail.body
+    chat = sent["q1", "slack", "Slack"]
+    assert (chat.destination, chat.subject) == ("#a", None)
+    assert chat.body.startswith("*slack* has found query `q1`") and chat.body.endswith("```")
+    # Cancelling is no message, and who has no address gets none.
+    assert ("q3", "slack", "Email") not in sent and not any(m == "CANCEL" for _, _, m in sent)
 
 
 def test_render(spark):

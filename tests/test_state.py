@@ -1,11 +1,13 @@
 """Schedules, quota, run log, refreshes and streams on hand-made rows."""
 
 import json
+import os
 from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from meterlight.operators import monitors as mon
 from meterlight.operators import quota
 from meterlight.operators import refresh as rf
 from meterlight.operators import runlog
@@ -260,25 +262,61 @@ def test_tenant(spark):
     assert keep("A1", "NOWHERE") == []
 
 
-def test_stream_drops_late_and_repeated_rows(spark, tmp_path):
-    path = str(tmp_path)
-    ddl = "event_id bigint, timestamp timestamp_ntz"
-    batches = [
-        [(1, D(2024, 1, 1, 10)), (1, D(2024, 1, 1, 10)), (2, D(2024, 1, 1, 11))],
-        [(1, D(2024, 1, 1, 10)), (3, D(2024, 1, 1, 20))],
-        [(4, D(2024, 1, 1, 12)), (5, D(2024, 1, 1, 19))],  # 4 is older than three hours
-    ]
-    for rows in batches:
-        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(f"{path}/in")
-        sdf = spark.readStream.schema(ddl).parquet(f"{path}/in")
-        settled = streams.stream_settled(sdf, "timestamp", 180, ["event_id"])
-        query = tables.run_available(settled, path, tables.append_settled(path))
-    assert sorted(r.event_id for r in tables.read_all(spark, path, "settled").collect()) == [1, 2, 3, 5]
-    dropped = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
-    assert dropped == 1
+def arrive(spark, path, ddl, rows, on_batch, make=lambda sdf: sdf):
+    """Rows come as one more file; what has arrived is processed."""
+    spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    tables.run_available(make(spark.readStream.schema(ddl).parquet(f"{path}/in")), path, on_batch)
 
 
-def test_stream_sessions_hold_late_events_and_replay(spark, tmp_path):
+def folders(path, table):
+    return sorted(p for p in os.listdir(f"{path}/{table}") if p.startswith("batch="))
+
+
+def test_stream_settled_withholds_rows_and_lets_late_ones_through(spark, tmp_path):
+    path, ddl = str(tmp_path), "event_id bigint, timestamp timestamp_ntz"
+    now = []
+    keep = tables.keep_settled(path, "timestamp", 180, ["event_id"], clock=lambda: now[-1])
+    ids = lambda: sorted(r.event_id for r in tables.settled_kept(spark, path, schemas.schema(ddl)).collect())
+    t = lambda h, m=0: D(2024, 1, 1, h, m)
+    for at, rows, want in (
+        (t(12), [(1, t(8)), (1, t(8)), (2, t(11)), (3, t(9))], [1]),  # nine o'clock is just not old enough
+        (t(14, 30), [(1, t(8)), (2, t(11)), (4, t(14))], [1, 2, 3]),
+        (t(15), [(5, t(2)), (2, t(11))], [1, 2, 3, 5]),  # thirteen hours late
+        (t(15), [(6, t(12))], [1, 2, 3, 5]),
+        (t(23), [], [1, 2, 3, 4, 5, 6]),
+    ):
+        now.append(at)
+        if rows:
+            arrive(spark, path, ddl, rows, keep)
+        else:
+            keep(spark.createDataFrame([], ddl), 4)
+        assert ids() == want
+    assert folders(path, "held") == ["batch=3", "batch=4"]
+    # The same batch again, as after a crash, changes nothing.
+    keep(spark.createDataFrame([], ddl), 4)
+    assert ids() == [1, 2, 3, 4, 5, 6]
+    whole = [(1, t(8)), (2, t(11)), (3, t(9)), (4, t(14)), (5, t(2)), (6, t(12))]
+    assert readers.settled(spark.createDataFrame(whole, ddl), "timestamp", 180, t(23)).count() == 6
+
+
+def test_stream_queries_see_batches_of_running_rows_only(spark, tmp_path):
+    path, ddl = str(tmp_path), "query_id string, start_time timestamp_ntz, end_time timestamp_ntz"
+    t = lambda h, m=0: D(2024, 1, 1, h, m)
+    keep = tables.keep_queries(path)
+    kept = lambda: {r.query_id: r.end_time for r in tables.queries_kept(spark, path).collect()}
+    arrive(spark, path, ddl, [("x", t(1), t(2))], keep)
+    arrive(spark, path, ddl, [("y", t(3), rf.EPOCH)], keep)
+    assert kept() == {"x": t(2), "y": rf.EPOCH}
+    assert tables.watermarks_kept(spark, path) == rf.Watermarks(t(3), t(2))
+    arrive(spark, path, ddl, [("y", t(3), t(9)), ("x", t(1), rf.EPOCH), ("z", t(0), t(1))], keep)
+    assert kept() == {"x": t(2), "y": t(9), "z": t(1)}
+    assert tables.watermarks_kept(spark, path) == rf.Watermarks(t(9), t(9))
+    arrive(spark, path, ddl, [("w", t(5), rf.EPOCH)], keep)
+    assert kept() == {"x": t(2), "y": t(9), "z": t(1), "w": rf.EPOCH}
+    assert folders(path, "open") == folders(path, "state") == ["batch=2", "batch=3"]
+
+
+def test_stream_sessions_in_any_order_and_replayed(spark, tmp_path):
     from test_sessions import DDL, brute, event, found
 
     path = str(tmp_path)
@@ -286,17 +324,92 @@ def test_stream_sessions_hold_late_events_and_replay(spark, tmp_path):
     batches = [
         [event(t(10), 1, 1, eid=1), event(t(12), 1, 2, 1, eid=3)],
         [event(t(11), 1, 2, 2, eid=2), event(t(14), 1, 3, 1, eid=4), event(t(15), 2, 1, eid=5)],
-        [event(t(9), 1, 4, eid=9), event(t(16), 1, 4, eid=6)],  # nine o'clock comes too late
+        [event(t(9), 1, 4, eid=9), event(t(16), 1, 4, eid=6)],
+        # Two warehouses resume in one instant in two batches; a run is parted by a late resume.
+        [event(t(17), 3, 1, eid=10), event(t(13), 1, 1, eid=11)],
+        [event(t(17), 4, 1, eid=12), event(t(17), 3, 2, 1, eid=13), event(t(10), 1, 2, 3, eid=14)],
+        [event(t(1), 3, 1, eid=15), event(t(2), 3, 4, eid=16), event(D(2024, 1, 3, 1), 4, 4, eid=17)],
     ]
+    keep = tables.keep_sessions(path, tie="event_id")
+    as_of, got = D(2024, 1, 2, 6), []
     for rows in batches:
-        spark.createDataFrame(rows, DDL).coalesce(1).write.mode("append").parquet(f"{path}/in")
-        sdf = spark.readStream.schema(DDL).parquet(f"{path}/in")
-        tables.run_available(sdf, path, tables.keep_sessions(path, delay_minutes=120, tie="event_id"))
-    kept = [e for b in batches for e in b if e[8] != 9]
-    as_of = D(2024, 1, 2, 6)
-    assert found(tables.sessions_kept(spark, path, as_of, "event_id")) == brute(kept, as_of)
-    assert [r.event_id for r in tables.read_all(spark, path, "late").collect()] == [9]
+        arrive(spark, path, DDL, rows, keep)
+        got += rows
+        until = max(as_of, max(e[0] for e in got if isinstance(e[0], D)) if isinstance(got[0][0], D) else as_of)
+        assert found(tables.sessions_kept(spark, path, until)) == brute(got, until)
     # The same batch again, as after a crash, changes nothing.
-    again = spark.createDataFrame(batches[2], DDL)
-    tables.keep_sessions(path, delay_minutes=120, tie="event_id")(again, 2)
-    assert found(tables.sessions_kept(spark, path, as_of, "event_id")) == brute(kept, as_of)
+    keep(spark.createDataFrame(batches[-1], DDL), len(batches) - 1)
+    assert found(tables.sessions_kept(spark, path, until)) == brute(got, until)
+    assert folders(path, "runs") == ["batch=4", "batch=5"]
+
+
+def test_stream_sessions_rewrite_only_days_that_change(spark, tmp_path):
+    from test_sessions import DDL, event
+
+    path = str(tmp_path)
+    keep = tables.keep_sessions(path, tie="event_id")
+    day = lambda n, h: D(2024, 1, n, h)
+    arrive(spark, path, DDL, [event(day(n, 1), w, 1, eid=10 * n + w) for n in (1, 2, 3) for w in (1, 2)], keep)
+    files = lambda n: sorted(os.listdir(f"{path}/sessions/day=2024-01-0{n}"))
+    before = [files(n) for n in (1, 2, 3)]
+    arrive(spark, path, DDL, [event(day(3, 2), 1, 4, eid=50)], keep)
+    assert [files(n) == b for n, b in zip((1, 2, 3), before)] == [True, True, False]
+
+
+def test_stream_sessions_without_any(spark, tmp_path):
+    from test_sessions import DDL, event
+
+    keep = tables.keep_sessions(str(tmp_path), tie="event_id")
+    arrive(spark, str(tmp_path), DDL, [event(D(2024, 1, 1), 1, 4, eid=1)], keep)
+    assert tables.sessions_kept(spark, str(tmp_path), D(2024, 1, 2)).count() == 0
+
+
+def test_stream_alerts_fire_once_in_any_order(spark, tmp_path):
+    """A query that started at eight and matches after one of 12:01 still fires."""
+    path = str(tmp_path)
+    ddl = "query_id string, user_name string, warehouse_name string, start_time timestamp_ntz, query_text string, bytes_scanned bigint"
+    probes = (mon.Probe("Big", "bytes_scanned > 10", notify_writer=True, notify_other=None, cancel=True), mon.Probe("Huge", "bytes_scanned > 100", notify_other="#ops", notify_other_method="Slack"))
+    users = spark.createDataFrame([("ann", "ann@x.org")], "name string, email string")
+    t = lambda h, m=0: D(2024, 1, 1, h, m)
+    row = lambda q, at, n, who="ann": (q, who, "W", at, "select 1", n)
+    now = []
+    keep = tables.log_alerts(path, probes, users, clock=lambda: now[-1])
+    for at, rows in (
+        (t(12, 5), [row("a", t(12), 50), row("b", t(12, 1), 20), row("c", t(8), 5), row("a", t(12), 50)]),
+        (t(12, 6), [row("c", t(8), 11), row("a", t(12), 60)]),
+        (t(12, 7), [row("a", t(12), 101), row("c", t(8), 12), row("d", t(7), 11, "bob")]),
+    ):
+        now.append(at)
+        arrive(spark, path, ddl, rows, keep, lambda sdf: streams.stream_probe_matches(sdf, probes))
+    got = {(r.probe_name, r.query_id): (r.action_time, r.actions_taken, r.outcome) for r in tables.alerts_kept(spark, path).collect()}
+    mail = {"Email": "ann@x.org", "CANCEL": "true"}
+    assert got == {
+        ("Big", "a"): (t(12, 5), mail, ""),
+        ("Big", "b"): (t(12, 5), mail, ""),
+        ("Big", "c"): (t(12, 6), mail, ""),
+        ("Huge", "a"): (t(12, 7), {"Slack": "#ops", "CANCEL": "false"}, ""),
+        ("Big", "d"): (t(12, 7), {"CANCEL": "true"}, ""),
+    }
+    assert tables.alerts_kept(spark, path).count() == len(got)
+
+
+def test_stream_quota_takes_late_rows_and_overwrites_their_days(spark, tmp_path):
+    path = str(tmp_path)
+    ddl = (
+        "start_time timestamp_ntz, end_time timestamp_ntz, user_name string, role_name string, warehouse_name string, "
+        "warehouse_size string, total_elapsed_time bigint, credits_used_cloud_services double"
+    )
+    row = lambda day, h, who="ann": (D(2024, 1, day, h), D(2024, 1, day, h, 30), who, None, "W", "Small", 1_800_000, 0.25)
+    batches = [[row(1, 9), row(1, 20), row(2, 14)], [row(2, 9), row(2, 14, None)], [row(2, 15), (D(2024, 1, 2), rf.EPOCH, "ann", "r", "W", "Small", 0, 0.0)]]
+    keep = tables.keep_quota(path)
+    for rows in batches:
+        arrive(spark, path, ddl, rows, keep, streams.stream_finished)
+    files = sorted(os.listdir(f"{path}/quota/day=2024-01-01"))
+    # Five hours late, and the same batch once more.
+    late = [row(2, 10), row(2, 9)]
+    arrive(spark, path, ddl, late, keep, streams.stream_finished)
+    keep(spark.createDataFrame(late, ddl), 3)
+    whole = spark.createDataFrame([r for b in (*batches, late) for r in b], ddl)
+    want = quota.hourly_usage(whole, "2024-01-03 00:00:00").drop("last_updated")
+    assert sorted(map(str, tables.quota_kept(spark, path).collect())) == sorted(map(str, want.collect()))
+    assert sorted(os.listdir(f"{path}/quota/day=2024-01-01")) == files
