@@ -98,6 +98,15 @@ def validate_rule(df: DataFrame, condition: str, dynamic: bool = False) -> str |
     return None
 
 
+def check_rules(df: DataFrame, conditions: Iterable[str]) -> DataFrame:
+    """A row per condition: rule, valid, matches. One pass counts the rows that the valid ones match."""
+    rules = list(conditions)
+    valid = [validate_rule(df, rule) is None for rule in rules]
+    counted = df.agg(*[(F.count(F.when(F.expr(r), 1)) if ok else F.lit(None).cast("bigint")).alias(f"_{i}") for i, (r, ok) in enumerate(zip(rules, valid))])
+    rows = [F.struct(F.lit(r).alias("rule"), F.lit(ok).alias("valid"), F.col(f"_{i}").alias("matches")) for i, (r, ok) in enumerate(zip(rules, valid))]
+    return counted.select(F.explode(F.array(*rows)).alias("row")).select("row.*")
+
+
 def name_conflicts(labels: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Names that cannot become columns, with the reason.
 

@@ -58,6 +58,33 @@ def overwrite_days(df: DataFrame, path: str, columns: list[str]) -> None:
     ).mode("overwrite").parquet(path)
 
 
+def batch_read(
+    spark: SparkSession, path: str, where: str | None = None, order: list[str] | None = None, limit: int | None = None
+) -> DataFrame:
+    """Rows of a written table in an order; the filter reaches the folders and files.
+
+    With ``limit`` each task keeps that many rows before they meet; without one the order is
+    made by ranges over all tasks.
+    """
+    rows = spark.read.parquet(path)
+    rows = rows.filter(where) if where else rows
+    rows = rows.orderBy(*order) if order else rows
+    return rows.limit(limit) if limit is not None else rows
+
+
+def column_lists(columns: DataFrame) -> DataFrame:
+    """Per table_name the columns as ``name:type``, in the order of their positions, in one text."""
+    text = F.expr("listagg(column || ':' || type, ', ') WITHIN GROUP (ORDER BY position)")
+    return columns.groupBy("table_name").agg(text.alias("columns"))
+
+
+def rule_lists(labels: DataFrame) -> DataFrame:
+    """Per group the names of its rules in the order they apply: by rank, then by id."""
+    grouped = labels.filter("group_name IS NOT NULL AND name IS NOT NULL")
+    names = F.expr("listagg(name, ', ') WITHIN GROUP (ORDER BY coalesce(group_rank, 0), label_id)")
+    return grouped.groupBy("group_name").agg(F.count(F.lit(1)).alias("rules"), names.alias("names"))
+
+
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], null_safe: bool = False) -> DataFrame:
     """Target after a merge: rows of ``updates`` replace those with equal keys or are added.
 

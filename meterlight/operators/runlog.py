@@ -52,33 +52,58 @@ def close_row(log: DataFrame, task: str, obj: str, run_id: str, output: str, as_
     return log.withColumns({c: F.when(mine, v).otherwise(F.col(c)) for c, v in updates.items()})
 
 
-def split_event_rows(log: DataFrame, run_id: str, output: str, as_of: datetime | str) -> DataFrame:
-    """Extra log rows of the event task: one for cluster and one for warehouse sessions."""
-    base = log.filter(
-        (F.col("task_run_id") == run_id) & (F.col("object_name") == "WAREHOUSE_EVENTS_HISTORY")
-    )
-    out = F.lit(output)
-    parts = F.array(
-        *[
-            F.struct(
-                F.lit(f"{kind.upper()}_SESSIONS").alias("object_name"),
-                F.get_json_object(out, f"$.{kind}_range_min").cast("timestamp_ntz").alias("range_min"),
-                F.get_json_object(out, f"$.{kind}_range_max").cast("timestamp_ntz").alias("range_max"),
-            )
-            for kind in ("cluster", "warehouse")
-        ]
-    )
-    rows = base.withColumn("_part", F.explode(parts)).withColumns(
+def _outcome(output: Column, as_of: datetime | str, prefix: str = "") -> dict[str, Column]:
+    """What a run's output says about it; it succeeded unless that holds SQLERRM."""
+    field = lambda name: F.get_json_object(output, f"$.{name}").cast("timestamp_ntz")
+    return {
+        "success": F.get_json_object(output, "$.SQLERRM").isNull(),
+        "output": output,
+        "task_finish": literal_ts(as_of),
+        "range_min": field(f"{prefix}range_min"),
+        "range_max": field(f"{prefix}range_max"),
+    }
+
+
+def start_runs(log: DataFrame, runs: DataFrame, as_of: datetime | str) -> DataFrame:
+    """The rows that starting tasks add, from ``runs`` (task_name, object_name, task_run_id, query_id).
+
+    The input of each is the output of the last good run of its task and object, one
+    aggregate for all; a first run has none. They carry the range of that run.
+    """
+    names = ["task_name", "object_name"]
+    good = log.filter("success").groupBy(*names).agg(F.max_by("output", F.struct("task_start", "task_run_id")).alias("input"))
+    field = lambda name: F.get_json_object("input", f"$.{name}").cast("timestamp_ntz")
+    rows = runs.join(good, names, "left").withColumns(
         {
-            "object_name": F.col("_part.object_name"),
-            "success": F.get_json_object(out, "$.SQLERRM").isNull(),
-            "output": out,
-            "task_finish": literal_ts(as_of),
-            "range_min": F.col("_part.range_min"),
-            "range_max": F.col("_part.range_max"),
+            "task_start": literal_ts(as_of),
+            "success": F.lit(None).cast("boolean"),
+            "output": F.lit(None).cast("string"),
+            "task_finish": F.lit(None).cast("timestamp_ntz"),
+            "range_min": field("range_min"),
+            "range_max": field("range_max"),
         }
     )
-    return rows.select(*log.columns)
+    return rows.select(*schema(TASK_LOG).fieldNames())
+
+
+def finish_runs(log: DataFrame, results: DataFrame, as_of: datetime | str) -> DataFrame:
+    """The log after runs finished, from ``results`` (task_run_id, task_name, object_name, output)."""
+    keys = ["task_run_id", "task_name", "object_name"]
+    done = log.join(results.select(*keys, F.col("output").alias("_output"), F.lit(True).alias("_done")), keys, "left")
+    new = _outcome(F.col("_output"), as_of)
+    return done.select(*[F.when(F.col("_done"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in log.columns])
+
+
+def split_event_runs(log: DataFrame, results: DataFrame, as_of: datetime | str) -> DataFrame:
+    """Extra log rows of event runs, from ``results`` (task_run_id, output): one for cluster and one for
+    warehouse sessions, each with its own range."""
+    base = log.filter(F.col("object_name") == "WAREHOUSE_EVENTS_HISTORY")
+    rows = base.join(results.select("task_run_id", F.col("output").alias("_output")), "task_run_id")
+    split = rows.withColumn("_kind", F.explode(F.array(F.lit("cluster"), F.lit("warehouse"))))
+    cluster, warehouse = (_outcome(F.col("_output"), as_of, f"{kind}_") for kind in ("cluster", "warehouse"))
+    mine = {c: F.when(F.col("_kind") == "cluster", cluster[c]).otherwise(warehouse[c]) for c in cluster}
+    mine["object_name"] = F.concat(F.upper("_kind"), F.lit("_SESSIONS"))
+    return split.select(*[mine[c].alias(c) if c in mine else F.col(c) for c in log.columns])
 
 
 def close_stale(
@@ -87,41 +112,36 @@ def close_stale(
     as_of: datetime | str,
     task: str | None = None,
     obj: str | None = None,
-    details: tuple[str, ...] = ("execution_status", "user_name", "warehouse_name"),
 ) -> DataFrame:
-    """The log with open rows closed as failed, the query's details in their output.
+    """The log with open rows closed as failed, with the whole history row of their query as details.
 
-    Only the last day of the history is searched. Open rows without a query id stay open.
-    Every open row is closed unless a task and object are named.
+    Only the last day of the history is searched, and only the queries of open rows go on from
+    there. Open rows without a query id stay open. Every open row is closed unless a task and
+    object are named.
     """
     stale = F.col("success").isNull() & F.col("query_id").isNotNull()
     if task is not None:
         stale = stale & (F.col("task_name") == task)
     if obj is not None:
         stale = stale & (F.col("object_name") == obj)
-    recent = history.filter(F.col("start_time") > literal_ts(as_of) - F.expr("INTERVAL 1 DAY")).select(
-        "query_id", F.struct(*details).alias("_details")
-    )
+    open_log = log.filter(stale)
+    recent = history.filter(F.col("start_time") > literal_ts(as_of) - F.expr("INTERVAL 1 DAY"))
+    recent = recent.join(open_log.select("query_id").distinct(), "query_id", "left_semi")
+    fields = [F.col(c).alias(c.upper()) for c in history.columns]
+    details = recent.select("query_id", F.to_json(F.struct(F.lit(True).alias("FORCE_CLOSED"), *fields)).alias("_found"))
     message = F.concat(
         F.lit("Could not find query history for task="), "task_name",
         F.lit(", object="), "object_name",
         F.lit(", task_run_id="), "task_run_id",
         F.lit(", query_id="), "query_id",
     )
-    found = F.to_json(
-        F.struct(F.lit(True).alias("FORCE_CLOSED"), *[F.col(f"_details.{c}").alias(c.upper()) for c in details])
-    )
     missing = F.to_json(F.struct(F.lit(True).alias("FORCE_CLOSED"), message.alias("details")))
-    open_rows = (
-        log.filter(stale)
-        .join(recent, "query_id", "left")
-        .withColumns(
-            {
-                "success": F.lit(False),
-                "output": F.when(F.col("_details").isNotNull(), found).otherwise(missing),
-                "task_finish": literal_ts(as_of),
-            }
-        )
+    open_rows = open_log.join(details, "query_id", "left").withColumns(
+        {
+            "success": F.lit(False),
+            "output": F.coalesce("_found", missing),
+            "task_finish": literal_ts(as_of),
+        }
     )
     rest = log.filter(~F.coalesce(stale, F.lit(False)))
     return rest.unionByName(open_rows.select(*log.columns))

@@ -212,17 +212,16 @@ sc AS (SELECT 's' || k AS id_val, 'WH_' || w AS name,
   slot <> 3 AS weekday, w % 11 <> 5 AS enabled FROM sb)"""
 
 WAREHOUSES = f"""
-wh AS (SELECT 'WH_' || c_custkey // 4 AS warehouse_name, ({SIZE_LIST})[(c_custkey // 4) % 10 + 1] AS warehouse_size,
-  CASE WHEN c_custkey % 3 = 0 THEN 'SNOWPARK-OPTIMIZED' ELSE 'STANDARD' END AS warehouse_type,
-  1 + (c_custkey // 4) % 5 AS suspend_minutes, true AS resume,
-  CASE WHEN (c_custkey // 4) % 3 = 0 THEN 0 ELSE 1 END AS scale_min,
-  CASE WHEN (c_custkey // 4) % 3 = 0 THEN 0 ELSE 2 END AS scale_max, 'Standard' AS warehouse_mode
-  FROM customer WHERE c_custkey % 4 = 0)"""
+wh AS (SELECT 'WH_' || w AS warehouse_name, ({SIZE_LIST})[w % 10 + 1] AS warehouse_size,
+  CASE WHEN k % 3 = 0 THEN 'SNOWPARK-OPTIMIZED' ELSE 'STANDARD' END AS warehouse_type,
+  1 + w % 5 AS suspend_minutes, true AS resume, CASE WHEN w % 3 = 0 THEN 0 ELSE 1 END AS scale_min,
+  CASE WHEN w % 3 = 0 THEN 0 ELSE 2 END AS scale_max, 'Standard' AS warehouse_mode
+  FROM (SELECT c_custkey // 4 AS w, min(c_custkey) AS k FROM customer GROUP BY ALL))"""
 
 TASK_LOG = """
 tb AS (SELECT o_orderkey k, o_orderdate + to_seconds((o_orderkey * 7919) % 86400) AS task_start,
   CASE WHEN o_orderkey % 33 = 9 THEN NULL ELSE o_orderkey % 12 <> 6 END AS success, o_custkey % 4 AS t
-  FROM orders WHERE o_orderkey % 3 = 0),
+  FROM orders),
 tl AS (SELECT task_start, success,
   (['QUERY_HISTORY_MAINTENANCE','SIMPLE_DATA_EVENTS_MAINTENANCE','WAREHOUSE_EVENTS_MAINTENANCE','WAREHOUSE_LOAD_MAINTENANCE'])[t + 1] AS task_name,
   CASE t WHEN 0 THEN 'QUERY_HISTORY' WHEN 1 THEN (['LOGIN_HISTORY','SESSIONS','TASK_HISTORY'])[k % 3 + 1]

@@ -211,26 +211,10 @@ def schema_diff(spark, d):
 )
 def schema_column_list(spark, d):
     customer = adapters.table(spark, d, "customer")
-    listed = ", ".join(f"{f.name}:{f.dataType.simpleString()}" for f in customer.schema.fields)
-    return customer.agg(F.count(F.lit(1)).alias("records")).select(F.lit(listed).alias("columns"), "records")
-
-
-@register(
-    "table_layout",
-    o.with_(o.QH, o.SLICES)
-    + """SELECT record_type, CAST(st_period AS DATE) AS st_day, count(*) AS slices, CAST(sum(duration) AS BIGINT) AS duration FROM slices
-WHERE record_type = 'DAILY' AND st_period BETWEEN TIMESTAMP '2000-01-01' AND TIMESTAMP '2000-03-31' GROUP BY ALL""",
-)
-def table_layout(spark, d):
-    """Slices written by record type and month, read back with pruned partitions."""
-    path = workspace(spark, "layout")
-    rows = h.slices(spark, d).select("query_id", "record_type", "st_period", "duration")
-    rows = rows.withColumn("st_month", F.date_format("st_period", "yyyy-MM"))
-    mt.write_layout(rows, path, ["record_type", "st_month"], ["st_period"])
-    back = spark.read.parquet(path).filter("record_type = 'DAILY' AND st_month BETWEEN '2000-01' AND '2000-03'")
-    return back.groupBy("record_type", F.to_date("st_period").alias("st_day")).agg(
-        F.count(F.lit(1)).alias("slices"), F.sum("duration").alias("duration")
-    )
+    columns = [("customer", i, f.name, f.dataType.simpleString()) for i, f in enumerate(customer.schema.fields)]
+    listed = mt.column_lists(spark.createDataFrame(columns, "table_name string, position int, column string, type string"))
+    records = customer.groupBy(F.lit("customer").alias("table_name")).agg(F.count(F.lit(1)).alias("records"))
+    return records.join(listed, "table_name").select("columns", "records")
 
 
 EARLY_LOAD = "1997-01-01 00:00:00"
@@ -276,10 +260,10 @@ def incr_refresh_queries(spark, d):
 )
 def incr_refresh(spark, d):
     """Three refreshes without tables between them, aggregated by day."""
-    log = adapters.query_history(spark, d)
+    log, path = adapters.query_history(spark, d), workspace(spark, "refresh")
     state, closed = rf.Watermarks(), []
-    for at in (EARLY_LOAD, FIRST_LOAD, AS_OF):
-        step = rf.refresh_queries(adapters.query_history_at(log, at), state, at)
+    for i, at in enumerate((EARLY_LOAD, FIRST_LOAD, AS_OF)):
+        step = rf.refresh_queries(adapters.query_history_at(log, at), state, at, snapshot=f"{path}/read{i}")
         state = step.state
         closed.append(step.closed)
     rows = closed[0].unionByName(closed[1]).unionByName(closed[2])
@@ -351,7 +335,7 @@ def _simple_tables(spark, d):
         "'TABLE' AS object_type", "cast(warehouse_id AS string) AS object_id", "start_time", "end_time",
         "credits_used_cloud_services AS credits_used",
     )
-    views = adapters.metering(spark, d).filter("warehouse_id < 3").selectExpr(
+    views = adapters.metering(spark, d).selectExpr(
         "start_time", "end_time", "credits_used", "warehouse_id AS table_id"
     )
     tasks = q.selectExpr("user_name AS name", "query_text", "end_time AS completed_time", "query_id")
@@ -376,7 +360,7 @@ UNION ALL SELECT 'SESSIONS', count(*), min(start_time), max(start_time) FROM qh
 UNION ALL SELECT 'WAREHOUSE_METERING_HISTORY', count(*), min(end_time), max(end_time) FROM mt
 UNION ALL SELECT 'LOGIN_HISTORY', count(*), min(ts), max(ts) FROM events
 UNION ALL SELECT 'HYBRID_TABLE_USAGE_HISTORY', count(*), min(end_time), max(end_time) FROM mt
-UNION ALL SELECT 'MATERIALIZED_VIEW_REFRESH_HISTORY', count(*), min(end_time), max(end_time) FROM mt WHERE warehouse_id < 3""",
+UNION ALL SELECT 'MATERIALIZED_VIEW_REFRESH_HISTORY', count(*), min(end_time), max(end_time) FROM mt""",
 )
 def simple_tables(spark, d):
     out = None

@@ -226,24 +226,24 @@ def schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def warehouses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Current settings of each warehouse: one row per fourth customer."""
-    return table(spark, sf_dir, "customer").filter("c_custkey % 4 = 0").selectExpr(
-        "concat('WH_', c_custkey div 4) AS warehouse_name",
-        f"{SIZES}[cast((c_custkey div 4) % 10 AS int)] AS warehouse_size",
-        "CASE WHEN c_custkey % 3 = 0 THEN 'SNOWPARK-OPTIMIZED' ELSE 'STANDARD' END AS warehouse_type",
-        "1 + (c_custkey div 4) % 5 AS suspend_minutes",
+    """Current settings of each warehouse: four customers make one, the first of them its type."""
+    made = table(spark, sf_dir, "customer").groupBy(F.expr("c_custkey div 4").alias("w")).agg(F.min("c_custkey").alias("k"))
+    return made.selectExpr(
+        "concat('WH_', w) AS warehouse_name",
+        f"{SIZES}[cast(w % 10 AS int)] AS warehouse_size",
+        "CASE WHEN k % 3 = 0 THEN 'SNOWPARK-OPTIMIZED' ELSE 'STANDARD' END AS warehouse_type",
+        "1 + w % 5 AS suspend_minutes",
         "true AS resume",
-        "CASE WHEN (c_custkey div 4) % 3 = 0 THEN 0 ELSE 1 END AS scale_min",
-        "CASE WHEN (c_custkey div 4) % 3 = 0 THEN 0 ELSE 2 END AS scale_max",
+        "CASE WHEN w % 3 = 0 THEN 0 ELSE 1 END AS scale_min",
+        "CASE WHEN w % 3 = 0 THEN 0 ELSE 2 END AS scale_max",
         "'Standard' AS warehouse_mode",
     )
 
 
 def task_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run log of the maintenance tasks: every third order is a run, some never finished."""
+    """Run log of the maintenance tasks: every order is a run, some never finished."""
     return (
         table(spark, sf_dir, "orders")
-        .filter("o_orderkey % 3 = 0")
         .selectExpr(
             "o_orderkey AS k",
             "o_orderdate + make_dt_interval(0, 0, 0, (o_orderkey * 7919) % 86400) AS task_start",
@@ -272,9 +272,12 @@ def task_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probe_actions(queries: DataFrame) -> DataFrame:
-    """Alerts already sent: every sixth query has had its first alert."""
-    return queries.filter("cast(substr(query_id, 2) AS bigint) % 6 = 0").selectExpr(
-        "start_time AS action_time", "'Big Readers' AS probe_name", "query_id", "'' AS outcome"
+    """Alerts already sent: one for each query, a sixth of them of a monitor that is still there."""
+    return queries.selectExpr(
+        "start_time AS action_time",
+        "CASE WHEN cast(substr(query_id, 2) AS bigint) % 6 = 0 THEN 'Big Readers' ELSE 'Retired' END AS probe_name",
+        "query_id",
+        "'' AS outcome",
     )
 
 

@@ -217,11 +217,11 @@ def keep_queries(path: str, clock: Clock | None = None) -> Callable[[DataFrame,
         if clock is not None:
             _write(day_slices(done, clock()), path, "closed-slices", batch)
             _hand_on(day_slices(still, clock()), path, "open-slices", batch)
-        state = _handed_on(spark, path, "state", STATE, batch)
-        ends = done.agg(F.max("end_time").cast("timestamp_ntz").alias("newest_completed")).unionByName(state.select("newest_completed"))
-        opened = still.agg(F.min("start_time").cast("timestamp_ntz").alias("oldest_running"))
-        after = ends.agg(F.max("newest_completed").alias("newest_completed")).crossJoin(opened)  # one row each
-        after = after.select(F.coalesce("oldest_running", "newest_completed").alias("oldest_running"), "newest_completed")
+        none = F.lit(None).cast("timestamp_ntz")
+        seen = _handed_on(spark, path, "state", STATE, batch).select(none.alias("start"), F.col("newest_completed").alias("end"))
+        seen = seen.unionByName(done.select(none.alias("start"), F.col("end_time").cast("timestamp_ntz").alias("end")))
+        seen = seen.unionByName(still.select(F.col("start_time").cast("timestamp_ntz").alias("start"), none.alias("end")))
+        after = seen.agg(F.coalesce(F.min("start"), F.max("end")).alias("oldest_running"), F.max("end").alias("newest_completed"))
         _hand_on(after, path, "state", batch)
         for x in (fresh, done, still):
             x.unpersist()

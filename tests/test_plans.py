@@ -12,7 +12,7 @@ from meterlight.sources.readers import conform, read
 
 SF_DIR = "/root/testdata/sf0.001"
 # These write tables while the query is built.
-WRITING = [n for n in catalog.QUERIES if n.startswith(("stream_", "incr_", "simple_refresh", "table_layout"))]
+WRITING = [n for n in catalog.QUERIES if n.startswith(("stream_", "incr_", "simple_refresh", "table_layout", "overwrite_days", "batch_read", "replace_table"))]
 
 
 @pytest.fixture
@@ -89,3 +89,30 @@ def test_top_n_per_model_is_limited_before_the_shuffle(spark):
 def test_aggregates_combine_before_the_shuffle(spark):
     plan = plan_of(catalog.QUERIES["report_top_spenders"](spark, SF_DIR))
     assert "partial_sum" in plan
+
+
+def test_layout_reads_and_rewrites_only_its_days(spark, tmp_path):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from meterlight.operators import maintenance as mt
+
+    path = str(tmp_path / "slices")
+    rows = spark.range(3000).selectExpr(
+        "id AS query_id", "CASE WHEN id % 2 = 0 THEN 'DAILY' ELSE 'COMPLETE' END AS record_type",
+        "date_add(DATE'2024-01-01', cast(id % 10 AS int)) AS st_day", "cast(id * 7 % 100 AS int) AS at",
+    )
+    mt.write_layout(rows, path, ["record_type", "st_day"], ["at"])
+    back = mt.batch_read(spark, path, "record_type = 'DAILY' AND st_day = DATE'2024-01-03'", ["at", "query_id"], 5)
+    plan = plan_of(back)
+    filters = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", plan).group(1)
+    assert "record_type" in filters and "st_day" in filters and "TakeOrderedAndProject" in plan
+    assert [r.at for r in back.collect()] == sorted(r.at for r in rows.filter("record_type = 'DAILY' AND st_day = DATE'2024-01-03'").collect())[:5]
+    files = lambda: {d: sorted(f for f in fs if f.endswith("parquet")) for d, _, fs in os.walk(path)}
+    before = files()
+    mt.overwrite_days(rows.filter("st_day = DATE'2024-01-02'").withColumn("at", F.lit(-1)), path, ["record_type", "st_day"])
+    after = files()
+    assert {d for d in before if before[d] != after[d]} == {f"{path}/record_type={t}/st_day=2024-01-02" for t in ("DAILY", "COMPLETE")}
+    assert mt.batch_read(spark, path).count() == 3000
+    assert mt.batch_read(spark, path, "at = -1").count() == 300
