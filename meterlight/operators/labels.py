@@ -10,7 +10,6 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlight.operators.skew import lookup
 
 OTHER = "Other"
 
@@ -153,8 +152,12 @@ def hash_uses(df: DataFrame) -> DataFrame:
 
 
 def with_hash_uses(df: DataFrame) -> DataFrame:
-    """Adds ``hash_uses``, NULL for queries without a hash. One hash may hold most rows."""
-    return lookup(df, hash_uses(df), "query_parameterized_hash", "hash_uses", "query_id")
+    """Adds ``hash_uses``, NULL for queries without a hash.
+
+    One hash may hold most rows: the counts are one small row per hash, and adaptive execution
+    splits a partition of rows that is too large over several tasks.
+    """
+    return df.join(hash_uses(df), "query_parameterized_hash", "left").select(*df.columns, "hash_uses")
 
 
 def recurring(df: DataFrame, n: int, name: str = "is_recurring") -> DataFrame:

@@ -62,23 +62,32 @@ def run_bounds(
     first row of the key. It is over once it was closed or a later run began; only the last
     run of a key can still go on.
 
-    Each chunk is reduced to one row (its first instant, how it begins and ends, its last run
-    start). Scans over those rows, one per chunk and key, tell every chunk which run it
-    continues and which run is the last. The join back is on (key, chunk), the partitioning
-    the rows already have.
+    Rows are dealt by (key, chunk) once. Each chunk is reduced to one row (its first instant, how it
+    begins and ends, its last run start). Scans over those rows, one per chunk and key, tell
+    every chunk which run it continues and which run is the last; the join back is on the
+    partitioning the rows already have. Rows travel as one struct that both the rows and their
+    summaries need whole, so that both read the same exchange and the source is scanned once.
     """
     inside = Window.partitionBy(key, chunk).orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = df.withColumns({"_opens": opens, "_closes": closes})
+    flagged = df.withColumns({"_opens": opens, "_closes": closes})
+    payload = [c for c in flagged.columns if c not in (key, chunk)]
+    dealt = flagged.select(key, chunk, F.struct(*payload).alias("_row")).repartition(key, chunk)
+    marked = dealt.select(key, chunk, "_row", "_row.*")
     begins = F.col("_opens") | F.coalesce(F.lag("_closes").over(inside), F.lit(False))
     marked = marked.withColumn("_begin", F.when(begins, F.col(us)))
     marked = marked.withColumn("_local", F.last("_begin", ignorenulls=True).over(so_far))
     rank = F.struct(*order)
-    per_chunk = marked.groupBy(key, chunk).agg(
-        F.min(us).alias("_first"),
-        F.min_by("_opens", rank).alias("_head_opens"),
-        F.max_by("_closes", rank).alias("_tail_closes"),
-        F.max("_begin").alias("_last_begin"),
+    ends = marked.groupBy(key, chunk).agg(
+        F.min_by("_row", rank).alias("_head_row"), F.max_by("_row", rank).alias("_tail_row"), F.max("_begin").alias("_last_begin")
+    )
+    per_chunk = ends.select(
+        key,
+        chunk,
+        F.col(f"_head_row.{us}").alias("_first"),
+        F.col("_head_row._opens").alias("_head_opens"),
+        F.col("_tail_row._closes").alias("_tail_closes"),
+        "_last_begin",
     )
     scan = Window.partitionBy(key).orderBy(chunk)
     whole = scan.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -96,8 +105,8 @@ def run_bounds(
         )
     )
     return (
-        marked.join(carried, [key, chunk])
+        marked.join(carried, [key, chunk], "left")
         .withColumn("_run", F.coalesce("_local", "_from"))
         .withColumn("_over", F.col("_ended") | (F.col("_run") < F.col("_newest")))
-        .drop("_opens", "_closes", "_begin", "_local", "_from", "_newest", "_ended")
+        .drop("_row", "_opens", "_closes", "_begin", "_local", "_from", "_newest", "_ended")
     )

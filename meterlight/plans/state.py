@@ -213,8 +213,9 @@ def schema_column_list(spark, d):
     customer = adapters.table(spark, d, "customer")
     columns = [("customer", i, f.name, f.dataType.simpleString()) for i, f in enumerate(customer.schema.fields)]
     listed = mt.column_lists(spark.createDataFrame(columns, "table_name string, position int, column string, type string"))
-    records = customer.groupBy(F.lit("customer").alias("table_name")).agg(F.count(F.lit(1)).alias("records"))
-    return records.join(listed, "table_name").select("columns", "records")
+    rows = customer.agg(F.count(F.lit(1)).alias("records")).select(F.lit(None).cast("string").alias("columns"), "records")
+    both = rows.unionByName(listed.select("columns", F.lit(None).cast("bigint").alias("records")))
+    return both.agg(F.max("columns").alias("columns"), F.max("records").alias("records"))
 
 
 EARLY_LOAD = "1997-01-01 00:00:00"

@@ -70,7 +70,7 @@ def test_daily_filter_passes_the_generator(spark, log):
 def test_sessions_never_shuffle_rows_by_warehouse_alone(spark, no_broadcast):
     """Rows move by (warehouse, chunk); a whole warehouse only meets as one row per chunk."""
     plan = plan_of(sessions(adapters.warehouse_events(spark, SF_DIR), "2024-01-31 00:00:00", "event_id"))
-    found = re.findall(r"([ :]*)\+- Exchange hashpartitioning\(([^)]*), 8\).*\n([^\n]*)", plan)
+    found = re.findall(r"([ :]*)\+- Exchange hashpartitioning\(([^)]*), 8\).*\n([^\n]*\n[^\n]*)", plan)
     assert found and "SinglePartition" not in plan
     for _, keys, below in found:
         names = re.findall(r"([a-z_]+)#", keys)
@@ -81,6 +81,23 @@ def test_sessions_never_shuffle_rows_by_warehouse_alone(spark, no_broadcast):
             assert names == ["warehouse_id", "session_type", "_run", "warehouse_name", "cluster_number", "_lane"]
 
 
+@pytest.mark.parametrize("name, scans, by_chunk", [("sessions", 1, 1), ("report_session_gaps", 1, 1), ("warehouse_sessions_hourly", 1, 1)])
+def test_sessions_read_their_source_once(spark, no_broadcast, name, scans, by_chunk):
+    """Rows and the summaries of their chunks come from one scan and one exchange."""
+    df = catalog.QUERIES[name](spark, SF_DIR)
+    df.collect()
+    plan = plan_of(df).split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == scans
+    assert len(re.findall(r"[- ]Exchange hashpartitioning\(warehouse_id#\d+L, _chunk#\d+L, \d+\), REPARTITION", plan)) == by_chunk
+    assert "ReusedExchange" in plan
+
+
+@pytest.mark.parametrize("name", ["predefined_labels", "recurring_queries", "adhoc_queries"])
+def test_hash_counts_come_from_one_aggregate(spark, no_broadcast, name):
+    plan = plan_of(catalog.QUERIES[name](spark, SF_DIR))
+    assert plan.count("FileScan") == 2 and len(re.findall(r"partial_count", plan)) == 1
+
+
 def test_top_n_per_model_is_limited_before_the_shuffle(spark):
     plan = plan_of(catalog.QUERIES["report_dbt_trend"](spark, SF_DIR))
     assert plan.index("Final") < plan.index("Exchange hashpartitioning(model_id") < plan.index("Partial")

@@ -10,7 +10,6 @@ from meterlight.operators import labels as lb
 from meterlight.operators import maintenance as mt
 from meterlight.operators import monitors as mon
 from meterlight.operators import utilization as ut
-from meterlight.operators.skew import lookup
 from meterlight.sources import readers
 
 D = datetime
@@ -49,16 +48,6 @@ def test_validate_rule(spark, rule, valid):
     assert (lb.validate_rule(spark.range(1), rule) is None) == valid
 
 
-@pytest.mark.parametrize("heavy", [0, 1, 3, 1000])
-def test_lookup_is_exact_for_any_number_of_heavy_keys(spark, heavy):
-    keys = ["hot"] * 500 + ["warm"] * 50 + [f"c{i}" for i in range(40)] + [None] * 60 + ["missing"] * 5
-    rows = spark.createDataFrame(list(enumerate(keys)), "id int, k string")
-    table = rows.filter("k IS NOT NULL AND k <> 'missing'").groupBy("k").count()
-    out = {r.id: r["count"] for r in lookup(rows, table, "k", "count", "id", heavy).collect()}
-    want = {i: (keys.count(k) if k not in (None, "missing") else None) for i, k in enumerate(keys)}
-    assert out == want
-
-
 def test_label_filter(spark):
     df = spark.createDataFrame([(i, bool(i & 1), bool(i & 2), bool(i & 4)) for i in range(8)], "i int, a boolean, b boolean, c boolean")
     keep = lambda **k: {r.i for r in df.filter(lb.label_filter(**k)).collect()}
