@@ -406,6 +406,15 @@ def test_kneser_ney_sums_to_one(spark):
         assert 0.5 < total <= 1.0 + 1e-3
 
 
+def test_any_number_of_languages(spark):
+    rows_ = [(f"l{i:03}", f"{chr(0x4E00 + 2 * i)}{chr(0x4E01 + 2 * i)} " * 6, i) for i in range(600)]
+    docs = spark.createDataFrame(rows_, "lang string, text string, doc_id long")
+    models = langid.fit(docs.select("lang", "text"))
+    assert len(models.langs) == 600
+    got = langid.predict(docs.unionByName(docs.limit(0)), models).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {i: lang for lang, _, i in rows_}
+
+
 def test_rare_ngrams_stay_in_the_model(spark):
     # 70 000 different words of one rare kind beside a frequent one: all their 5-grams are counted.
     letters = "abcdefghijklmnopqrstuvwxyz"
