@@ -54,7 +54,7 @@ def pairs(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 
 #: Bytes of text in a batch that are turned into Python objects together, about.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 12 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
