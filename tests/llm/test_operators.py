@@ -624,5 +624,40 @@ def test_licences_over_lines_and_in_long_lines(spark):
     assert got[9]["n_paragraphs"] == 2
 
 
-def test_every_template_has_an_anchor():
-    assert all(re.search(licenses.ANCHORS, t) for _, t in licenses.TEMPLATES)
+def test_licences_without_the_word_licence(spark):
+    plain = "the river ran past the old mill and the children counted boats until the evening"
+    given = [
+        (1, f"{plain}\n\navailable under CC BY-SA 4.0", "cc-by-sa"), (2, "free under the GNU GPL v3 or later", "gpl"), (3, "under the terms of Apache 2.0", "apache-2.0"),
+        (4, f"{plain} available under CC BY-SA 4.0, {plain}", "cc-by-sa"), (5, "made available under the terms of the Eclipse Public License 2.0", "epl-2.0"),
+        (6, "Permission to use, copy, modify, and/or distribute this software\nfor any purpose with or without fee is hereby granted, provided\nthat the above copyright notice and this permission notice appear", "isc"),
+        (7, "The mill stands under the hill of Apache and 2.0 is a number", ""), (8, plain, ""), (9, None, ""), (10, "", ""),
+    ]
+    corpus = frame(spark, [(1000 + r["doc_id"], r["text"], None, None, None) for r in spark.read.parquet(f"{sf()}/documents.parquet").collect()])
+    docs = frame(spark, [(i, t, None, None, None) for i, t, _ in given]).unionByName(corpus)
+    got = {r["doc_id"]: r for r in licenses.scanned(docs).collect()}
+    assert {i: got[i]["families"] for i, *_ in given} == {i: f for i, _, f in given}
+    assert all(r["n_unknown"] == 0 for i, r in got.items() if i >= 1000 or i in (8, 9, 10))
+
+
+def test_unknown_licences(spark):
+    notice = "Permission is granted to redistribute this software and its documentation under the terms of the Reth Public License, version 2, without restriction, provided that the copyright notice is kept. All copies are licensed under the same license."
+    corpus = frame(spark, [(1000 + r["doc_id"], r["text"], None, None, None) for r in spark.read.parquet(f"{sf()}/documents.parquet").collect()])
+    docs = frame(spark, [(1, f"the old mill\n\n{notice}", None, None, None)]).unionByName(corpus)
+    (got,) = licenses.scanned(docs).where("doc_id = 1").collect()
+    assert (got["families"], got["n_unknown"], got["n_paragraphs"]) == ("", 1, 2)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_what_a_template_confirms_holds_an_anchor(seed):
+    rng = np.random.default_rng(seed)
+    wanted = set(licenses.anchors({w: int(rng.integers(0, 1000)) for w in licenses.vocabulary()}))
+    confirmed = 0
+    for _, text in licenses.TEMPLATES:
+        words, grams = re.findall(licenses.WORD, text.lower()), licenses.grams_of(text)
+        for _ in range(200):
+            kept = [w if rng.random() > rng.choice((0.02, 0.1, 0.3)) else "xyz" for w in words]
+            share = len(grams & licenses.grams_of(" ".join(kept))) / len(grams)
+            if share >= (1 if len(grams) <= licenses.SHORT else licenses.CONFIRMED):
+                confirmed += 1
+                assert wanted & set(kept)
+    assert confirmed > 1000
