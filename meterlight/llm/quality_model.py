@@ -24,7 +24,7 @@ THRESHOLD = 0.5
 
 GOOD, BAD, ABSTAIN = 0, 1, 2
 
-STATS = ("n_words", "repeats", "upper", "symbols", "bangs", "distinct", "dup_lines", "letters", "sentences")
+STATS = ("n_words", "repeats", "upper", "symbols", "bangs", "distinct", "dup_lines", "letters", "sentences", "separators")
 # Classes of bytes; bytes beyond ASCII count as lower-case letters.
 _CLASSES = {"\n": 5, " ": 4, "\t": 4, ".": 6, ",": 7, "!": 8, "?": 8, "|": 9, "-": 12, "_": 12, "\r": 5}
 CLASS_OF = bytes(
@@ -36,6 +36,8 @@ CLASS_OF = bytes(
 )
 NOT_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha())
 BLANKS = b" \t\n\r\x0b\x0c"
+#: Marks that part the entries of menus and tables when they stand alone.
+SEPARATORS = tuple(f" {c} ".encode() for c in "|>/*~\u00b7\u2022\u00bb")
 
 
 def measured(text: str) -> tuple[float, ...]:
@@ -56,12 +58,13 @@ def measured(text: str) -> tuple[float, ...]:
         1 - len(set(lines)) / len(lines),
         len(raw.translate(None, NOT_LETTERS)) / max(visible, 1),
         (raw.count(b". ") + raw.count(b".\n") + raw.count(b"? ") + raw.count(b"! ") + raw.endswith((b".", b"!", b"?"))) / n,
+        sum(map(raw.count, SEPARATORS)) / n,
     )
 
 
 def votes(stats: np.ndarray) -> np.ndarray:
     """One column a labeller: GOOD, BAD or ABSTAIN, from a row of STATS a document."""
-    n, repeats, upper, symbols, bangs, distinct, dup, letters, sentences = stats.T
+    n, repeats, upper, symbols, bangs, distinct, dup, letters, sentences, separators = stats.T
     long = n >= 12
 
     def vote(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
@@ -78,6 +81,7 @@ def votes(stats: np.ndarray) -> np.ndarray:
             vote(letters < 0.7, long & (letters > 0.93)),
             vote(long & (sentences < 0.01), long & (sentences > 0.03) & (sentences < 0.35)),
             vote(n < 1, np.zeros(len(n), bool)),
+            vote(separators > 0.1, long & (separators < 0.02)),
         ],
         axis=1,
     )

@@ -319,10 +319,28 @@ def test_quality_classifier(spark, edge, empty):
     assert np.mean([found[i]["kept"] for i, q in labels if q]) > 0.97
     got = {(r["doc_id"], r["kept"]) for r in quality_model.scored(edge, scorer).collect()}
     assert {(3, False), (4, False), (5, False)} <= got
-    assert quality_model.good(edge, scorer).columns == edge.columns
+    good = quality_model.good(edge, scorer)
+    assert good.columns == edge.columns
+    assert Counter(r["doc_id"] for r in good.collect()) == Counter(r["doc_id"] for r in quality_model.scored(edge, scorer).where("kept").collect())
+    assert quality_model.good(empty, scorer).count() == 0
     assert quality_model.scored(empty, quality_model.fit(empty)).count() == 0
 
 
+def test_quality_classifier_on_bad_documents(spark):
+    docs = spark.read.parquet(f"{sf('sf0.1')}/documents.parquet")
+    labels = spark.read.parquet(f"{sf('sf0.1')}/labels.parquet").select("doc_id", "quality")
+    kept = rows(labels.join(quality_model.scored(docs, quality_model.fit(docs)), "doc_id").select("quality", "kept"))
+    assert np.mean([k for q, k in kept if q == 0]) < 0.1
+    assert np.mean([k for q, k in kept if q == 1]) > 0.99
+
+
+def test_menus_are_bad_documents():
+    menu = " | ".join(f"entry{i}" for i in range(60))
+    prose = " ".join(["The river ran past the old mill. In the evening the children counted boats."] * 5)
+    separators = quality_model.STATS.index("separators")
+    assert [quality_model.measured(t)[separators] > 0.1 for t in (menu, menu.replace("|", "\u00b7"), prose, "a-b c/d")] == [True, True, False, False]
+
+
 def test_em_finds_the_accurate_labeller():
     rng = np.random.default_rng(0)
     truth = rng.random(20_000) < 0.2
