@@ -17,17 +17,22 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlight.llm.common import CUT_BYTES, arrow_map, blanks, cut, documents, held, pairs, portions, remainder, sampled
+from meterlight.llm.common import CUT_BYTES, arrow_map, blanks, cut, documents, exceeded, held, portions, remainder
 from meterlight.session import workspace
 
 ORDER = 5
-#: A row of the model has a column for each language. With more languages than this, fewer words are
-#: looked at and remembered together, so that a task's memory stays the same.
+#: A row of the model has a column for each language, and for each of those in each half of the rows.
+#: With more columns than this, fewer words are looked at and remembered together, so that a task's
+#: memory stays the same.
 FEW_LANGS = 8
 #: N-grams of the model that are moved together, at most.
 CHUNK = 1 << 14
-#: Documents that the rejection bounds and the temperature are fitted on, at most.
-CALIBRATION_DOCS = 2_000
+#: Documents of a language that its rejection bound needs, at least.
+CALIBRATION_DOCS = 20
+#: Temperatures of the scores, of which calibration takes the one of least loss.
+TEMPERATURES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)
+#: Marks of a language's counts: over all rows, and over either half of them.
+WHOLE, HALVES = "0:", ("1:", "2:")
 #: Share of documents of a language whose cross-entropy may lie above its rejection bound.
 REJECTED = 0.005
 #: Entries of a task's tables of counted and of scored words.
@@ -71,9 +76,11 @@ def word_counts(train: DataFrame) -> DataFrame:
     return arrow_map(train, each, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def ngram_counts(words: DataFrame, order: int = ORDER) -> DataFrame:
+def ngram_counts(words: DataFrame, order: int = ORDER, halved: bool = False) -> DataFrame:
     """(lang, n, gram, count): raw counts of the highest order, below it how many different
-    characters precede the n-gram; n-grams at the start of a word keep their raw counts."""
+    characters precede the n-gram; n-grams at the start of a word keep their raw counts.
+
+    ``halved`` words bear the mark of a half; the counts over all rows come beside theirs."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
@@ -85,6 +92,9 @@ def ngram_counts(words: DataFrame, order: int = ORDER) -> DataFrame:
             yield {"lang": [k[0] for k in out], "gram": [k[1] for k in out], "raw": list(out.values())}
 
     grams = arrow_map(words, each, "lang string, gram string, raw long").groupBy("lang", "gram").agg(F.sum("raw").alias("raw"))
+    if halved:
+        grams = held(grams, "langid-halves")
+        grams = grams.unionByName(grams.groupBy(F.concat(F.lit(WHOLE), F.expr("substring(lang, 3)")).alias("lang"), "gram").agg(F.sum("raw").alias("raw")))
     level = held(grams.withColumn("count", F.col("raw")), "langid")
     levels = [level.select("lang", F.lit(order).alias("n"), "gram", "count")]
     for n in range(order - 1, 0, -1):
@@ -101,7 +111,9 @@ def ngram_counts(words: DataFrame, order: int = ORDER) -> DataFrame:
 @dataclass
 class Models:
     """For each order: sorted hashes with one column of log probabilities a language (nan: not
-    seen), and sorted context hashes with log back-off weights (nan: unseen context).
+    seen), and sorted context hashes with log back-off weights (nan: unseen context). Where rows
+    came in halves, the columns of all rows are followed by those of either half; ``halves`` tells
+    which languages each of them has.
 
     The arrays hold every counted n-gram. They lie in one file that tasks map, so only what is
     looked up comes into memory; ``places`` has, for (context, order), the first byte and the rows.
@@ -113,6 +125,11 @@ class Models:
     places: dict[tuple[bool, int], tuple[int, int]]
     bound: np.ndarray
     temperature: float = 1.0
+    halves: np.ndarray | None = None
+
+    @property
+    def width(self) -> int:
+        return len(self.langs) * (1 if self.halves is None else 1 + len(self.halves))
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("grams", "contexts")}
@@ -122,8 +139,8 @@ class Models:
         whole = np.memmap(_local(self.path), np.uint8, "r") if self.places else np.empty(0, np.uint8)
         for n in range(self.order + 1):
             at, rows = self.places.get((context, n), (0, 0))
-            middle, end = at + 8 * rows, at + (8 + 4 * len(self.langs)) * rows
-            out.append((np.asarray(whole[at:middle]).view(np.uint64), np.asarray(whole[middle:end]).view(np.float32).reshape(rows, len(self.langs))))
+            middle, end = at + 8 * rows, at + (8 + 4 * self.width) * rows
+            out.append((np.asarray(whole[at:middle]).view(np.uint64), np.asarray(whole[middle:end]).view(np.float32).reshape(rows, self.width)))
         return out
 
     @cached_property
@@ -203,16 +220,26 @@ def probabilities(counts: DataFrame, order: int) -> DataFrame:
 def fit(train: DataFrame, order: int = ORDER) -> Models:
     """Models of all languages of ``train`` (lang, text); words are counted over all its rows.
 
-    Every n-gram that was counted is kept. The driver sees the languages and one chunk of the
-    model at a time, which it writes to the file that the tasks map.
+    With a column ``half`` (1 or 2) models of either half come beside those of all rows. Every
+    n-gram that was counted is kept. The driver sees the languages and one chunk of the model at a
+    time, which it writes to the file that the tasks map.
     """
     spark = train.sparkSession
-    counts = held(ngram_counts(word_counts(train), order), "langid")
-    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    halved = "half" in train.columns
+    if halved:
+        train = train.select(F.concat(F.col("half").cast("string"), F.lit(":"), "lang").alias("lang"), "text")
+    counts = held(ngram_counts(word_counts(train), order, halved), "langid")
+    found = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    langs = [x[2:] for x in found if x.startswith(WHOLE)] if halved else found
     models = Models(langs, order, "", {}, np.full(len(langs), np.inf))
     if not langs:
         return models
-    column = {x: i for i, x in enumerate(langs)}
+    names = langs
+    if halved:
+        names = [mark + x for mark in (WHOLE, *HALVES) for x in langs]
+        models.halves = np.isin(names[len(langs) :], found).reshape(len(HALVES), len(langs))
+    column = {x: i for i, x in enumerate(names)}
+    width, step = models.width, _fewer(CHUNK, models)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
@@ -232,13 +259,13 @@ def fit(train: DataFrame, order: int = ORDER) -> Models:
             lists = b.column("values")
             per = np.diff(np.asarray(lists.offsets))
             entries = lists.flatten()
-            values = np.full((len(keys), len(langs)), np.nan, np.float32)
+            values = np.full((len(keys), width), np.nan, np.float32)
             values[np.repeat(np.arange(len(keys)), per), entries.field("lang").to_numpy()] = entries.field("value").to_numpy()
             borders = np.concatenate((np.flatnonzero(np.diff(kind)) + 1, [len(keys)]))
             first = 0
             for border in borders:
-                for at in range(first, border, CHUNK):
-                    end = min(at + CHUNK, border)
+                for at in range(first, border, step):
+                    end = min(at + step, border)
                     yield {"context": [bool(kind[at] > order)], "n": [int(kind[at] % (order + 1))], "first": [int(keys[at])], "rows": [end - at],
                            "keys": [(keys[at:end].view(np.uint64) ^ HALF).tobytes()], "values": [values[at:end].tobytes()]}
                 first = border
@@ -255,7 +282,7 @@ def fit(train: DataFrame, order: int = ORDER) -> Models:
     at = 0
     for kind, (_, n) in sorted(models.places.items()):
         models.places[kind] = at, n
-        at += -(-(8 + 4 * len(langs)) * n // 8) * 8
+        at += -(-(8 + 4 * width) * n // 8) * 8
     folder = workspace(spark, "langid-model")
     shared = re.fullmatch(r"(?:file:(?://)?)?(/[^:]*)", folder)
     own = shared[1] if shared else tempfile.mkdtemp()
@@ -268,7 +295,7 @@ def fit(train: DataFrame, order: int = ORDER) -> Models:
             before = offsets[r["context"], r["n"], r["first"]]
             file.seek(begin + 8 * before)
             file.write(r["keys"])
-            file.seek(begin + 8 * n + 4 * len(langs) * before)
+            file.seek(begin + 8 * n + 4 * width * before)
             file.write(r["values"])
     if not shared:
         # A store that only Spark reaches: Spark sends the file to each machine.
@@ -278,14 +305,14 @@ def fit(train: DataFrame, order: int = ORDER) -> Models:
 
 
 def score_words(models: Models, words: list[str]) -> np.ndarray:
-    """Log probability of each word in each language, its end included."""
+    """Log probability of each word in each column of the model, its end included."""
     n = models.order
     padded = [BEGIN * (n - 1) + w + END for w in words]
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.array([len(w) + 1 for w in words])
     starts = np.concatenate(([0], np.cumsum(lengths + n - 1)))[:-1]
     at = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)))[:-1], lengths) + np.arange(lengths.sum()) + n - 1
-    back, out = np.zeros((len(at), len(models.langs)), np.float32), np.full((len(at), len(models.langs)), np.nan, np.float32)
+    back, out = np.zeros((len(at), models.width), np.float32), np.full((len(at), models.width), np.nan, np.float32)
     for k in range(n, 0, -1):
         window = np.stack([codes[at - i] for i in range(k - 1, -1, -1)], axis=1)
         found = _lookup(*models.grams[k], _hash(window))
@@ -297,7 +324,7 @@ def score_words(models: Models, words: list[str]) -> np.ndarray:
 
 
 def _fewer(n: int, models: Models) -> int:
-    return max(n * FEW_LANGS // max(FEW_LANGS, len(models.langs)), 1)
+    return max(n * FEW_LANGS // max(FEW_LANGS, models.width), 1)
 
 
 def _total(scores: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -318,7 +345,7 @@ class Scorer:
 
     def _forget(self) -> None:
         self.known.clear()
-        self.scores, self.lengths = np.empty((0, len(self.models.langs)), np.float32), np.empty(0, np.int64)
+        self.scores, self.lengths = np.empty((0, self.models.width), np.float32), np.empty(0, np.int64)
 
     def _learn(self, chunks: list[str]) -> None:
         """A chunk's score and length are the sums of its runs of letters; without one, both are 0."""
@@ -328,7 +355,7 @@ class Scorer:
         per = np.array([len(r) for r in runs])
         step = _fewer(20_000, self.models)
         parts = [score_words(self.models, words[i : i + step]) for i in range(0, len(words), step)]
-        running = np.concatenate([np.zeros((1, len(self.models.langs))), np.cumsum(np.concatenate(parts), axis=0, dtype=np.float64)]) if words else np.zeros((1, len(self.models.langs)))
+        running = np.concatenate([np.zeros((1, self.models.width)), np.cumsum(np.concatenate(parts), axis=0, dtype=np.float64)]) if words else np.zeros((1, self.models.width))
         chars = np.concatenate(([0], np.cumsum([len(w) + 1 for w in words]))).astype(np.int64)
         end = np.cumsum(per)
         self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
@@ -336,7 +363,7 @@ class Scorer:
         self.lengths = np.concatenate([self.lengths, chars[end] - chars[end - per]])
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(cross-entropy by language, characters); nan and 0 for texts without a letter."""
+        """(cross-entropy by column of the model, characters); nan and 0 for texts without a letter."""
         if len(self.known) > _fewer(CACHE_WORDS, self.models):
             self._forget()
         chunks, index, offsets = cut([blanks(t.lower()) for t in texts])
@@ -344,10 +371,10 @@ class Scorer:
         if new:
             self._learn(new)
         index = np.array([self.known[c] for c in chunks], np.int64)[index]
-        if len(self.models.langs) > FEW_LANGS:
-            total = np.stack([_total(self.scores, index[first:end]) for first, end in zip(offsets, offsets[1:])]) if texts else np.empty((0, len(self.models.langs)))
+        if self.models.width > FEW_LANGS:
+            total = np.stack([_total(self.scores, index[first:end]) for first, end in zip(offsets, offsets[1:])]) if texts else np.empty((0, self.models.width))
         else:
-            running = np.concatenate([np.zeros((1, len(self.models.langs))), np.cumsum(self.scores[index], axis=0, dtype=np.float64)])
+            running = np.concatenate([np.zeros((1, self.models.width)), np.cumsum(self.scores[index], axis=0, dtype=np.float64)])
             total = running[offsets[1:]] - running[offsets[:-1]]
         length = np.concatenate(([0], np.cumsum(self.lengths[index])))
         chars = length[offsets[1:]] - length[offsets[:-1]]
@@ -355,30 +382,78 @@ class Scorer:
             return -total / chars[:, None], chars
 
 
-def calibrated(models: Models, texts: list[str], langs: list[str], rejected: float = REJECTED) -> Models:
-    """Adds the rejection bound of each language and the temperature of the scores."""
-    if not models.langs or not texts:
-        return models
-    entropy, chars = Scorer(models)(texts)
+def _softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def _scored(docs: DataFrame, models: Models, temperatures: tuple[float, ...]) -> DataFrame:
+    """A row per document of ``docs`` (doc_id, text, lang, half): doc_id, lang_pred, cross_entropy, scores.
+
+    ``scores`` has the probability of the predicted language at each temperature. Where ``lang`` is
+    given, has a model in the other half than the row's and the text has letters, ``lang``, ``own``
+    and ``losses`` say what the models of that other half, which have not seen the text, make of
+    it: the cross-entropy in its language, and the log loss at each temperature.
+    """
+    n = len(models.langs)
     column = {x: i for i, x in enumerate(models.langs)}
-    truth = np.array([column.get(x, -1) for x in langs])
-    use = (chars > 0) & (truth >= 0)
-    entropy, truth = entropy[use], truth[use]
-    for i in range(len(models.langs)):
-        own = entropy[truth == i, i]
-        if len(own) >= 20:
-            models.bound[i] = np.quantile(own, 1 - rejected)
-    if len(truth):
-        loss = {}
-        for t in (1, 2, 4, 8, 16, 32, 64):
-            loss[t] = -np.log(np.maximum(_softmax(-entropy * t)[np.arange(len(truth)), truth], 1e-9)).mean()
-        models.temperature = float(min(loss, key=loss.get))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        scorer = Scorer(models)
+        for batch in batches:
+            ids, texts, langs, halves = (batch.column(x).to_pylist() for x in ("doc_id", "text", "lang", "half"))
+            texts = [t or "" for t in texts]
+            for first, end in portions(texts, _fewer(CUT_BYTES, models)):
+                rows = end - first
+                out = {"doc_id": ids[first:end], "lang_pred": ["und"] * rows, "cross_entropy": [None] * rows, "scores": [[0.0] * len(temperatures)] * rows,
+                       "lang": [None] * rows, "own": [None] * rows, "losses": [None] * rows}
+                if n:
+                    entropy, chars = scorer(texts[first:end])
+                    entropy = np.nan_to_num(entropy)
+                    best = entropy[:, :n].argmin(axis=1)
+                    scores = np.stack([_softmax(-entropy[:, :n] * t)[np.arange(rows), best] for t in temperatures], axis=1)
+                    for i in np.flatnonzero(chars):
+                        out["lang_pred"][i], out["cross_entropy"][i], out["scores"][i] = models.langs[best[i]], float(entropy[i, best[i]]), scores[i].tolist()
+                    if models.halves is not None:
+                        other = np.array([2 - h for h in halves[first:end]])
+                        truth = np.array([column.get(x, -1) for x in langs[first:end]])
+                        use = np.flatnonzero((chars > 0) & (truth >= 0) & models.halves[other, truth])
+                        other, truth = other[use], truth[use]
+                        apart = np.where(models.halves[other], entropy[use].reshape(len(use), 1 + len(models.halves), n)[np.arange(len(use)), 1 + other], np.inf)
+                        losses = np.stack([-np.log(np.maximum(_softmax(-apart * t)[np.arange(len(use)), truth], 1e-9)) for t in temperatures], axis=1)
+                        for i, at, own, loss in zip(use, truth, apart[np.arange(len(use)), truth], losses):
+                            out["lang"][i], out["own"][i], out["losses"][i] = models.langs[at], float(own), loss.tolist()
+                yield out
+
+    return arrow_map(docs.select("doc_id", "text", "lang", "half"), each, "doc_id long, lang_pred string, cross_entropy double, scores array<double>, lang string, own double, losses array<double>")
+
+
+def calibrated(models: Models, scored: DataFrame, rejected: float = REJECTED) -> Models:
+    """Adds the rejection bound of each language and the temperature, from all rows of :func:`_scored`
+    that were learned from, at ``TEMPERATURES``.
+
+    A bound is the least cross-entropy that at most the share ``rejected`` of a language's rows
+    exceed; the driver sees one number a language. The temperature is that of least total loss.
+    """
+    known = scored.where(F.col("own").isNotNull())
+    enough = {r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= CALIBRATION_DOCS).collect()}
+    for r in exceeded(known.select("lang", F.col("own").alias("value"), F.lit(1).alias("n")), ["lang"], rejected).collect():
+        if r["lang"] in enough:
+            models.bound[models.langs.index(r["lang"])] = r["value"]
+    # Decimals add up to the same in any order.
+    losses = known.agg(*[F.sum(F.get("losses", F.lit(i)).cast("decimal(20,8)")).alias(str(i)) for i in range(len(TEMPERATURES))]).collect()[0]
+    if losses[0] is not None:
+        models.temperature = min(zip(losses, TEMPERATURES))[1]
     return models
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+def _told(scored: DataFrame, models: Models, temperatures: tuple[float, ...]) -> DataFrame:
+    bounds = [(x, float(b)) for x, b in zip(models.langs, models.bound) if np.isfinite(b)]
+    # A row a language.
+    bounds = F.broadcast(scored.sparkSession.createDataFrame(bounds, "lang_pred string, bound double"))
+    score = F.get("scores", F.lit(temperatures.index(models.temperature)))
+    rejected = F.col("cross_entropy").isNull() | F.coalesce(F.col("cross_entropy") > F.col("bound"), F.lit(False))
+    return scored.join(bounds, "lang_pred", "left").select("doc_id", "lang_pred", score.alias("score"), rejected.alias("rejected"), "cross_entropy")
 
 
 def predict(docs: DataFrame, models: Models) -> DataFrame:
@@ -391,43 +466,27 @@ def predict(docs: DataFrame, models: Models) -> DataFrame:
     are scored like any other; whole texts are read, however long; no other column is read; an
     empty table gives an empty one.
     """
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        scorer = Scorer(models)
-        for batch in batches:
-            rows = list(pairs(batch))
-            for some in (rows[first:end] for first, end in portions([r[1] for r in rows], _fewer(CUT_BYTES, models))):
-                out = {"doc_id": [r[0] for r in some], "lang_pred": [], "score": [], "rejected": [], "cross_entropy": []}
-                if models.langs:
-                    entropy, chars = scorer([r[1] for r in some])
-                    p = _softmax(-np.nan_to_num(entropy) * models.temperature)
-                    for e, c, q in zip(entropy, chars, p):
-                        i = int(np.argmin(e)) if c else 0
-                        values = (models.langs[i], float(q[i]), bool(e[i] > models.bound[i]), float(e[i])) if c else ("und", 0.0, True, None)
-                        for name, v in zip(list(out)[1:], values):
-                            out[name].append(v)
-                else:
-                    out |= {"lang_pred": ["und"] * len(some), "score": [0.0] * len(some), "rejected": [True] * len(some), "cross_entropy": [None] * len(some)}
-                yield out
-
-    return arrow_map(documents(docs), each, "doc_id long, lang_pred string, score double, rejected boolean, cross_entropy double")
+    given = documents(docs).select("*", F.lit(None).cast("string").alias("lang"), F.lit(1).alias("half"))
+    return _told(_scored(given, models, (models.temperature,)), models, (models.temperature,))
 
 
 def identified(docs: DataFrame) -> DataFrame:
     """Learns from labelled rows outside the held-out fourth and predicts all rows.
 
-    Rows with crc32(doc_id) mod 4 = 2, or without an id or a language, are not learned from. Of
-    those with crc32 mod 64 = 1 at most ``CALIBRATION_DOCS`` serve for calibration instead, if
-    their language has other rows to learn from.
+    Rows with crc32(doc_id) mod 4 = 2, or without an id or a language, are not learned from. All
+    others are, and all of them calibrate: rejection bounds and temperature come from what
+    models of one half of them say of the other, in the pass that predicts. Halves go by a hash of
+    the text, so that copies stay together. A model of half of the rows finds texts a little less
+    likely than that of all, so bounds reject rather fewer.
     """
-    columns = (F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    labelled = docs.where((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull())
-    some = sampled(labelled.where(remainder("doc_id", 64) == 1).select(*columns), CALIBRATION_DOCS).collect()
-    # At most CALIBRATION_DOCS ids.
-    ids = docs.sparkSession.createDataFrame([(i, True) for i in sorted({r["doc_id"] for r in some})], "doc_id long, apart boolean")
-    marked = labelled.select(*columns).join(F.broadcast(ids), "doc_id", "left")
-    lone = [r["lang"] for r in marked.groupBy("lang").agg(F.every(F.col("apart").isNotNull()).alias("lone")).where("lone").collect()]
-    models = fit(marked.where(F.col("apart").isNull() | F.col("lang").isin(lone)).select("lang", "text"))
-    some = [r for r in some if r["lang"] not in lone]
-    models = calibrated(models, [r["text"] or "" for r in some], [r["lang"] for r in some])
-    return predict(docs, models)
+    text = F.col("text").cast("string")
+    learned = F.coalesce((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull(), F.lit(False))
+    given = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        text.alias("text"),
+        F.when(learned, F.col("lang").cast("string")).alias("lang"),
+        (1 + F.pmod(F.xxhash64(text), F.lit(2))).cast("int").alias("half"),
+    )
+    models = fit(given.where(F.col("lang").isNotNull()).select("lang", "text", "half"))
+    scored = held(_scored(given, models, TEMPERATURES), "langid-scored")
+    return _told(scored, calibrated(models, scored), TEMPERATURES)

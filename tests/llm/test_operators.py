@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests_llm import ROWS, VOCABULARIES, frame, sf
 
 from meterlight.llm import (
@@ -461,6 +462,49 @@ def test_only_calibration_rows_are_not_learned_from(spark, monkeypatch):
     assert sum(learned[0].values()) >= len(given) - 10 and learned[0]["fi"] >= 1
 
 
+def test_every_learnable_row_is_counted_and_calibrates(spark, monkeypatch):
+    docs = spark.read.parquet(f"{sf('sf0.01')}/documents.parquet").select("doc_id", "lang", "text")
+    learnable = [r for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None]
+    learned, seen = [], []
+    fit, calibrated = langid.fit, langid.calibrated
+    monkeypatch.setattr(langid, "fit", lambda train, *a: learned.append(train) or fit(train, *a))
+    monkeypatch.setattr(langid, "calibrated", lambda models, scored: seen.append((calibrated(models, scored), scored)) or seen[0][0])
+    found = langid.identified(docs)
+    assert Counter(rows(learned[0].select("lang", "text"))) == Counter((r["lang"], r["text"]) for r in learnable)
+    models, scored = seen[0]
+    own = {r["doc_id"]: r for r in scored.collect() if r["own"] is not None}
+    assert set(own) == {r["doc_id"] for r in learnable if any(c.isalpha() for c in r["text"] or "")}
+    for i, lang in enumerate(models.langs):
+        values = [r["own"] for r in own.values() if r["lang"] == lang]
+        above = [sum(o > v for o in values) for v in values]
+        assert models.bound[i] == min(v for v, n in zip(values, above) if n <= langid.REJECTED * len(values))
+    loss = [sum(r["losses"][k] for r in own.values()) for k in range(len(langid.TEMPERATURES))]
+    assert loss[langid.TEMPERATURES.index(models.temperature)] <= min(loss) + 1e-5
+    # The models of a half are those that its rows alone give, and it is the other half that they are asked about.
+    half = {r["doc_id"]: r["half"] for r in docs.select("doc_id", (1 + F.pmod(F.xxhash64("text"), F.lit(2))).alias("half")).collect()}
+    alone = fit(spark.createDataFrame([(r["lang"], r["text"]) for r in learnable if half[r["doc_id"]] == 1], "lang string, text string"))
+    other = [r for r in learnable if half[r["doc_id"]] == 2 and r["doc_id"] in own]
+    entropy, _ = langid.Scorer(alone)([r["text"] for r in other])
+    assert np.allclose([own[r["doc_id"]]["own"] for r in other], [e[alone.langs.index(r["lang"])] for e, r in zip(entropy, other)], atol=1e-4)
+    # Those of all rows are the same as without halves.
+    plain = {r["doc_id"]: r for r in langid.predict(docs, fit(learned[0].select("lang", "text"))).collect()}
+    for r in found.collect():
+        assert r["lang_pred"] == plain[r["doc_id"]]["lang_pred"]
+        if r["cross_entropy"] is not None:
+            assert abs(r["cross_entropy"] - plain[r["doc_id"]]["cross_entropy"]) < 1e-4
+            assert r["rejected"] == (r["cross_entropy"] > models.bound[models.langs.index(r["lang_pred"])])
+
+
+def test_exact_bounds(spark):
+    rng = np.random.default_rng(1)
+    given = [("de" if i % 3 else "fi", float(rng.choice((1.0, 1.5, rng.random()))), int(rng.integers(1, 4))) for i in range(5_000)]
+    for share in (0.0, 0.001, 0.3, 0.9):
+        got = {r["lang"]: r["value"] for r in common.exceeded(spark.createDataFrame(given, "lang string, value double, n int"), ["lang"], share).collect()}
+        for lang in ("de", "fi"):
+            values = np.repeat([v for x, v, _ in given if x == lang], [n for x, _, n in given if x == lang])
+            assert got[lang] == min(v for v in set(values) if (values > v).sum() <= share * len(values))
+
+
 def _prefix(models, word, column, end):
     """Log probability of everything in the word but its second letter."""
     n = models.order
