@@ -65,9 +65,10 @@ def word_counts(train: DataFrame) -> DataFrame:
             texts, langs = [(t or "").lower() for t in b.column("text").to_pylist()], b.column("lang").to_pylist()
             for first, end in portions(texts):
                 chunks, index, offsets = cut([blanks(t) for t in texts[first:end]])
-                owner = np.repeat(np.array(langs[first:end], object), np.diff(offsets))
-                for lang in set(langs[first:end]):
-                    own = np.bincount(index[owner == lang], minlength=len(chunks))
+                number = {lang: i for i, lang in enumerate(sorted(set(langs[first:end])))}
+                owner = np.repeat([number[x] for x in langs[first:end]], np.diff(offsets))
+                for lang, i in number.items():
+                    own = np.bincount(index[owner == i], minlength=len(chunks))
                     counts.setdefault(lang, Counter()).update({chunks[i]: int(own[i]) for i in np.flatnonzero(own)})
                 if sum(map(len, counts.values())) > CACHE_WORDS:
                     yield rows()
@@ -316,9 +317,10 @@ def score_words(models: Models, words: list[str]) -> np.ndarray:
     for k in range(n, 0, -1):
         window = np.stack([codes[at - i] for i in range(k - 1, -1, -1)], axis=1)
         found = _lookup(*models.grams[k], _hash(window))
-        out = np.where(np.isnan(out), found + back, out)
+        np.copyto(out, found + back, where=np.isnan(out))
         if k > 1:
-            back += np.nan_to_num(_lookup(*models.contexts[k], _hash(window[:, :-1])), nan=0.0)
+            weights = _lookup(*models.contexts[k], _hash(window[:, :-1]))
+            np.add(back, weights, out=back, where=~np.isnan(weights))
     out = np.where(np.isnan(out), back + UNSEEN, out)
     return np.add.reduceat(out, np.concatenate(([0], np.cumsum(lengths)))[:-1], axis=0)
 
@@ -355,11 +357,13 @@ class Scorer:
         per = np.array([len(r) for r in runs])
         step = _fewer(20_000, self.models)
         parts = [score_words(self.models, words[i : i + step]) for i in range(0, len(words), step)]
-        running = np.concatenate([np.zeros((1, self.models.width)), np.cumsum(np.concatenate(parts), axis=0, dtype=np.float64)]) if words else np.zeros((1, self.models.width))
+        sums = np.zeros((len(chunks), self.models.width), np.float32)
         chars = np.concatenate(([0], np.cumsum([len(w) + 1 for w in words]))).astype(np.int64)
         end = np.cumsum(per)
+        if words:
+            sums[per > 0] = np.add.reduceat(np.concatenate(parts), (end - per)[per > 0], axis=0, dtype=np.float64)
         self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
-        self.scores = np.concatenate([self.scores, (running[end] - running[end - per]).astype(np.float32)])
+        self.scores = np.concatenate([self.scores, sums])
         self.lengths = np.concatenate([self.lengths, chars[end] - chars[end - per]])
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
