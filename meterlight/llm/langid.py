@@ -37,6 +37,9 @@ WHOLE, HALVES = "0:", ("1:", "2:")
 REJECTED = 0.005
 #: Entries of a task's tables of counted and of scored words.
 CACHE_WORDS = 300_000
+#: Words whose different windows are told apart together, those of them that are added up together,
+#: and windows that are looked up together.
+TOLD_WORDS, SCORED_WORDS, WINDOWS = 60_000, 20_000, 200_000
 
 #: Runs of letters. Digits, marks and underscores part them.
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -306,23 +309,39 @@ def fit(train: DataFrame, order: int = ORDER) -> Models:
 
 
 def score_words(models: Models, words: list[str]) -> np.ndarray:
-    """Log probability of each word in each column of the model, its end included."""
+    """Log probability of each word in each column of the model, its end included; each different
+    window of characters is looked up once."""
     n = models.order
     padded = [BEGIN * (n - 1) + w + END for w in words]
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.array([len(w) + 1 for w in words])
-    starts = np.concatenate(([0], np.cumsum(lengths + n - 1)))[:-1]
-    at = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)))[:-1], lengths) + np.arange(lengths.sum()) + n - 1
-    back, out = np.zeros((len(at), models.width), np.float32), np.full((len(at), models.width), np.nan, np.float32)
-    for k in range(n, 0, -1):
-        window = np.stack([codes[at - i] for i in range(k - 1, -1, -1)], axis=1)
-        found = _lookup(*models.grams[k], _hash(window))
+    ends = np.cumsum(lengths)
+    starts = np.cumsum(lengths + n - 1) - (lengths + n - 1)
+    at = np.repeat(starts - (ends - lengths), lengths) + np.arange(lengths.sum()) + n - 1
+    window = np.stack([codes[at - i] for i in range(n - 1, -1, -1)], axis=1)
+    index = pa.array(_hash(window)).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    first = np.empty(index.max() + 1, np.int64)
+    first[index[::-1]] = np.arange(len(index))[::-1]
+    step = _fewer(WINDOWS, models)
+    scores = np.concatenate([_score_windows(models, window[first[i : i + step]]) for i in range(0, len(first), step)])
+    out = np.empty((len(words), models.width), np.float32)
+    step = _fewer(SCORED_WORDS, models)
+    for i in range(0, len(words), step):
+        begin, end = ends[i] - lengths[i], ends[min(i + step, len(words)) - 1]
+        out[i : i + step] = np.add.reduceat(scores[index[begin:end]], (ends - lengths)[i : i + step] - begin, axis=0)
+    return out
+
+
+def _score_windows(models: Models, window: np.ndarray) -> np.ndarray:
+    """Log probability of the last character of each window after the others, in each column of the model."""
+    back, out = np.zeros((len(window), models.width), np.float32), np.full((len(window), models.width), np.nan, np.float32)
+    for k in range(models.order, 0, -1):
+        found = _lookup(*models.grams[k], _hash(window[:, -k:]))
         np.copyto(out, found + back, where=np.isnan(out))
         if k > 1:
-            weights = _lookup(*models.contexts[k], _hash(window[:, :-1]))
+            weights = _lookup(*models.contexts[k], _hash(window[:, -k:-1]))
             np.add(back, weights, out=back, where=~np.isnan(weights))
-    out = np.where(np.isnan(out), back + UNSEEN, out)
-    return np.add.reduceat(out, np.concatenate(([0], np.cumsum(lengths)))[:-1], axis=0)
+    return np.where(np.isnan(out), back + UNSEEN, out)
 
 
 def _fewer(n: int, models: Models) -> int:
@@ -351,17 +370,19 @@ class Scorer:
 
     def _learn(self, chunks: list[str]) -> None:
         """A chunk's score and length are the sums of its runs of letters; without one, both are 0."""
-        runs = [LETTERS.findall(c) for c in chunks]
-        runs = [r if any(c.isalpha() for w in r for c in w) else [] for r in runs]
-        words = [w for r in runs for w in r]
+        runs = [[c] if c.isalpha() else LETTERS.findall(c) for c in chunks]
+        runs = [r if r and (r[0].isalpha() or any(map(str.isalpha, "".join(r)))) else [] for r in runs]
+        coded = pa.array([w for r in runs for w in r], pa.large_string()).dictionary_encode()
+        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         per = np.array([len(r) for r in runs])
-        step = _fewer(20_000, self.models)
+        step = _fewer(TOLD_WORDS, self.models)
         parts = [score_words(self.models, words[i : i + step]) for i in range(0, len(words), step)]
         sums = np.zeros((len(chunks), self.models.width), np.float32)
-        chars = np.concatenate(([0], np.cumsum([len(w) + 1 for w in words]))).astype(np.int64)
+        sizes = np.array([len(w) + 1 for w in words], np.int64)
+        chars = np.concatenate(([0], np.cumsum(sizes[index])))
         end = np.cumsum(per)
         if words:
-            sums[per > 0] = np.add.reduceat(np.concatenate(parts), (end - per)[per > 0], axis=0, dtype=np.float64)
+            sums[per > 0] = np.add.reduceat(np.concatenate(parts)[index], (end - per)[per > 0], axis=0, dtype=np.float64)
         self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
         self.scores = np.concatenate([self.scores, sums])
         self.lengths = np.concatenate([self.lengths, chars[end] - chars[end - per]])

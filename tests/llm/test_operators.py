@@ -425,6 +425,30 @@ def test_kneser_ney_sums_to_one(spark):
         assert 0.5 < total <= 1.0 + 1e-3
 
 
+def test_each_different_window_is_looked_up_once(spark, monkeypatch):
+    rows_ = [("xx", "abab abba baab aab"), ("yy", "cdcd ddc c abc")]
+    models = langid.fit(spark.createDataFrame(rows_, "lang string, text string"))
+    words = ["abab", "baab", "cdd", "\U00010400\u00e9", "b"] * 40 + ["dc"]
+    grams = {(langid.BEGIN * 4 + w + langid.END)[i : i + 5] for w in words for i in range(len(w) + 1)}
+    asked, told = [], []
+    lookup, score_words = langid._lookup, langid.score_words
+    monkeypatch.setattr(langid, "_lookup", lambda keys, values, wanted: asked.append(len(wanted)) or lookup(keys, values, wanted))
+    for name, few in (("TOLD_WORDS", 4), ("SCORED_WORDS", 3), ("WINDOWS", 5)):
+        got = langid.score_words(models, words)
+        assert sum(asked) == 9 * len(grams)
+        for word, scores in zip(words, got):
+            padded = langid.BEGIN * 4 + word + langid.END
+            assert np.allclose(scores, [sum(_one(models, padded[i : i + 5], c) for i in range(len(word) + 1)) for c in range(2)], atol=1e-4)
+        monkeypatch.setattr(langid, name, few)
+        asked.clear()
+    # A word is scored once, whatever stands beside it.
+    monkeypatch.setattr(langid, "score_words", lambda models, words: told.extend(words) or score_words(models, words))
+    entropy, chars = langid.Scorer(models)(["abab (abab) abab,cdd", "-abab 12 \u00bd cdd_b", "1 \u00bd", ""])
+    assert sorted(told) == ["abab", "b", "cdd"] and chars.tolist() == [19, 11, 0, 0]
+    one = dict(zip(words, got))
+    assert np.allclose(entropy[:2], [-(3 * one["abab"] + one["cdd"]) / 19, -(one["abab"] + one["cdd"] + one["b"]) / 11], atol=1e-4)
+
+
 def test_any_number_of_languages(spark):
     rows_ = [(f"l{i:03}", f"{chr(0x4E00 + 2 * i)}{chr(0x4E01 + 2 * i)} " * 6, i) for i in range(600)]
     docs = spark.createDataFrame(rows_, "lang string, text string, doc_id long")
