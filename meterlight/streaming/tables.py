@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import DateType, IntegerType, StructField, StructType
@@ -59,6 +59,21 @@ def _remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def arrive(log: DataFrame, source: str, target: str) -> None:
+    """The files of one folder come to another, where a stream finds them; without any, one without rows does."""
+    spark = log.sparkSession
+    fs, at = _file_system(spark, source)
+    if not fs.exists(at):
+        log.limit(0).write.mode("append").parquet(target)
+        return
+    into = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs.mkdirs(into)
+    for s in fs.listStatus(at):
+        # Tasks name their files alike in every folder of one write.
+        if not fs.rename(s.getPath(), spark._jvm.org.apache.hadoop.fs.Path(into, f"{at.getName()}-{s.getPath().getName()}")):
+            raise OSError(f"{s.getPath()} cannot come to {target}")
+
+
 def _write(df: DataFrame, path: str, table: str, batch: int, by: Iterable[str] = ()) -> None:
     out = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
     out.partitionBy(*by).parquet(f"{path}/{table}/batch={batch}")
@@ -176,10 +191,12 @@ def settled_kept(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def _newest(df: DataFrame) -> DataFrame:
-    """One version of each query: of the latest arrival, then with the latest end."""
-    kept = [c for c in df.columns if c != "arrival"]
-    order = F.struct("arrival", "end_time", F.to_json(F.struct(*kept)))
-    return df.groupBy("query_id").agg(F.max_by(F.struct(*kept), order).alias("row")).select("row.*")
+    """One version of each query: a finished one if there is any, of the latest arrival, then with the latest end."""
+    # A map has no order; its text has.
+    ties = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in df.schema]
+    order = [F.desc(c) for c in (F.expr("start_time <= end_time"), "arrival", "end_time", *ties)]
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    return df.withColumn("_nth", nth).filter("_nth = 1").drop("_nth", "arrival")
 
 
 STATE = "oldest_running timestamp_ntz, newest_completed timestamp_ntz"
@@ -191,7 +208,9 @@ def keep_queries(path: str, clock: Clock | None = None) -> Callable[[DataFrame,
     A query first arrives as running and later as finished; the finished row removes it from
     the open table. A finished row that comes again is not stored again, and a running row that
     comes after the finished one does not open the query again. A query keeps its start time,
-    so only the days of the closed table from the oldest start in the batch on are read.
+    so only the days of the closed table from the oldest start in the batch on are read. Its
+    files hold the rows of a batch sorted by start, with the day as a column that reads are
+    narrowed by: a log of many days gives as many files as its rows fill, not some for each day.
 
     Each batch hands on the two watermarks: the oldest start still running (else the newest
     end seen) and the newest end of a finished query. With a ``clock`` it also writes slices:
@@ -201,18 +220,19 @@ def keep_queries(path: str, clock: Clock | None = None) -> Callable[[DataFrame,
     def on_batch(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
         schema = df.schema
-        fresh = df.withColumn("arrival", F.lit(batch)).persist()
         running = F.col("start_time") > F.col("end_time")
-        done, waiting = _newest(fresh.filter(~running)), fresh.filter(running)
-        oldest = fresh.agg(F.min(_day("start_time"))).first()[0]
+        earlier = _handed_on(spark, path, "open", schema, batch).withColumn("arrival", F.lit(batch - 1))
+        seen = df.withColumn("arrival", F.lit(batch)).unionByName(earlier)
+        latest = _newest(seen.filter(running.isNotNull()))
+        oldest = df.agg(F.min(_day("start_time"))).first()[0]
         if oldest is not None:
-            closed = _before(spark, path, "closed", _with(df.schema, "batch", "day"), batch)
+            closed = _before(spark, path, "closed", _with(schema, "day", "batch"), batch)
             known = closed.filter(F.col("day") >= F.lit(oldest)).select("query_id")
-            done, waiting = (x.join(known, "query_id", "left_anti") for x in (done, waiting))
-        earlier = _handed_on(spark, path, "open", schema, batch).withColumn("arrival", F.lit(batch - 1))
-        done = done.persist()
-        still = _newest(waiting.unionByName(earlier).join(done.select("query_id"), "query_id", "left_anti")).persist()
-        _write(done.withColumn("day", _day("start_time")), path, "closed", batch, ["day"])
+            latest = latest.join(known, "query_id", "left_anti")
+        latest = latest.persist()
+        done, still = latest.filter(~running), latest.filter(running)
+        by_time = done.withColumn("day", _day("start_time")).sortWithinPartitions("start_time")
+        _write(by_time, path, "closed", batch)
         _hand_on(still, path, "open", batch)
         if clock is not None:
             _write(day_slices(done, clock()), path, "closed-slices", batch)
@@ -223,8 +243,7 @@ def keep_queries(path: str, clock: Clock | None = None) -> Callable[[DataFrame,
         seen = seen.unionByName(still.select(F.col("start_time").cast("timestamp_ntz").alias("start"), none.alias("end")))
         after = seen.agg(F.coalesce(F.min("start"), F.max("end")).alias("oldest_running"), F.max("end").alias("newest_completed"))
         _hand_on(after, path, "state", batch)
-        for x in (fresh, done, still):
-            x.unpersist()
+        latest.unpersist()
 
     return on_batch
 
@@ -232,7 +251,7 @@ def keep_queries(path: str, clock: Clock | None = None) -> Callable[[DataFrame,
 def queries_kept(spark: SparkSession, path: str) -> DataFrame:
     """Finished queries and those still running."""
     still = read_batch(spark, path, "open", last_batch(spark, path, "state"))
-    return _before(spark, path, "closed", _with(still.schema, "batch", "day")).drop("batch", "day").unionByName(still)
+    return _before(spark, path, "closed", _with(still.schema, "day", "batch")).drop("batch", "day").unionByName(still)
 
 
 def slices_kept(spark: SparkSession, path: str) -> DataFrame:

@@ -316,6 +316,22 @@ def test_stream_queries_see_batches_of_running_rows_only(spark, tmp_path):
     assert folders(path, "open") == folders(path, "state") == ["batch=2", "batch=3"]
 
 
+def test_stream_queries_of_many_days_take_few_files(spark, tmp_path):
+    path, ddl = str(tmp_path), "query_id string, start_time timestamp_ntz, end_time timestamp_ntz, tags map<string,string>"
+    keep = tables.keep_queries(path)
+    row = lambda n, end=None, tag="a": (f"q{n}", D(2020, 1, 1) + timedelta(days=n), end or D(2020, 1, 2) + timedelta(days=n), {"t": tag})
+    # Twice in a batch, finished before running, on 300 days.
+    arrive(spark, path, ddl, [row(n) for n in range(300)] + [row(7), row(8, rf.EPOCH), row(300, rf.EPOCH)], keep)
+    late = [row(5), row(9, D(2022, 1, 1)), row(6, rf.EPOCH), row(300, D(2022, 1, 1)), row(299, rf.EPOCH), row(301, rf.EPOCH, "a"), row(301, rf.EPOCH, "b")]
+    arrive(spark, path, ddl, late, keep)
+    keep(spark.createDataFrame(late, ddl), 1)  # the same batch again, as after a crash
+    files = [f for _, _, names in os.walk(f"{path}/closed") for f in names if f.endswith(".parquet")]
+    assert len(files) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = sorted((int(r.query_id[1:]), r.end_time, r.tags["t"]) for r in tables.queries_kept(spark, path).collect())
+    want = [(n, row(n)[2], "a") for n in range(300)] + [(300, D(2022, 1, 1), "a"), (301, rf.EPOCH, "b")]
+    assert kept == want
+
+
 def test_stream_sessions_in_any_order_and_replayed(spark, tmp_path):
     from test_sessions import DDL, brute, event, found
 
