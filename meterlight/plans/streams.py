@@ -73,34 +73,37 @@ def _query_feed(spark, d, log, clock=False):
     rows are repeated in a batch and after it, and some running ones come after the finished row.
     Some batches hold running rows alone."""
     path = workspace(spark, "incremental")
-    epoch = literal_ts("1970-01-01 00:00:00")
-    finished = F.col("start_time") <= F.col("end_time")
-
-    def arrive(shown, now):
-        shown.write.mode("append").parquet(f"{path}/in")
+    for i, now in enumerate(_query_arrivals(log, f"{path}/feed")):
+        tables.arrive(log, f"{path}/feed/arrival={i}", f"{path}/in")
         keep = tables.keep_queries(path, clock=(lambda: now) if clock else None)
         tables.run_available(incoming(spark, f"{path}/in", log.schema), path, keep)
+    return path
 
-    previous = None
+
+def _query_arrivals(log, path):
+    """Writes what each arrival shows to a folder of its own, all from one scan; returns their times."""
+    epoch = literal_ts("1970-01-01 00:00:00")
+    at, end, part = F.col("start_time"), F.col("end_time"), F.crc32("query_id") % 5
+    versions, times, previous = [], [], None
     for high in (*QUERY_BOUNDS, o.AS_OF_QUERIES):
         limit = literal_ts(high)
-        since = F.lit(True) if previous is None else F.col("start_time") >= literal_ts(previous)
-        new = log.filter(since & (F.col("start_time") < limit))
-        shown = new.withColumn("end_time", F.when(F.col("end_time") > limit, epoch).otherwise(F.col("end_time")))
+        since = F.lit(True) if previous is None else at >= literal_ts(previous)
+        shown = [(since & (at < limit), F.when(end > limit, epoch).otherwise(end))]
         if previous is not None:
             late = literal_ts(previous)
-            shown = shown.unionByName(
-                log.filter(finished & (F.col("start_time") < late) & (F.col("end_time") > late))
-            )
-            old = log.filter(finished & (F.col("start_time") < late))
-            repeated = old.filter(F.crc32("query_id") % 5 == 0)
-            reopened = old.filter(F.crc32("query_id") % 5 == 1).filter(F.col("end_time") <= late).withColumn("end_time", epoch)
-            shown = shown.unionByName(repeated.filter(F.col("end_time") <= limit)).unionByName(reopened)
-        still = F.col("start_time") > F.col("end_time")
-        arrive(shown.filter(~still), high)
-        arrive(shown.filter(still), high)
+            old = (at < late) & (at <= end)
+            shown.append((old & (end > late), end))
+            shown.append((old & (end <= limit) & (part == 0), end))
+            shown.append((old & (end <= late) & (part == 1), epoch))
+        for where, as_end in shown:
+            arrival = len(times) + (at > as_end).cast("int")
+            versions.append(F.when(where, F.struct(arrival.alias("arrival"), as_end.alias("end_time"))))
+        times += [high, high]
         previous = high
-    return path
+    rows = log.withColumn("_shown", F.explode(F.array(*versions))).filter("_shown.arrival IS NOT NULL")
+    shown = rows.withColumns({"end_time": F.col("_shown.end_time"), "arrival": F.col("_shown.arrival")}).drop("_shown")
+    shown.write.partitionBy("arrival").parquet(path)
+    return times
 
 
 @register(

@@ -2,6 +2,7 @@
 
 import json
 import os
+import zlib
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -429,3 +430,34 @@ def test_stream_quota_takes_late_rows_and_overwrites_their_days(spark, tmp_path)
     want = quota.hourly_usage(whole, "2024-01-03 00:00:00").drop("last_updated")
     assert sorted(map(str, tables.quota_kept(spark, path).collect())) == sorted(map(str, want.collect()))
     assert sorted(os.listdir(f"{path}/quota/day=2024-01-01")) == files
+
+
+def test_query_feed_shows_all_versions_from_one_scan(spark, tmp_path):
+    from meterlight.plans import streams as feeds
+
+    bounds = [D.fromisoformat(b) for b in (*feeds.QUERY_BOUNDS, feeds.o.AS_OF_QUERIES)]
+    rows = []
+    for n in range(400):
+        start = D(1996, 1, 1) + timedelta(days=5 * n, hours=n % 24)
+        end = rf.EPOCH if n % 11 == 0 else bounds[n % 2] if n % 13 == 0 else start + timedelta(days=(n % 7) * 30)
+        rows.append((f"q{n}", start, max(start, end) if end != rf.EPOCH else end))
+    want, previous = [], None
+    for limit in bounds:
+        shown = [(q, s, rf.EPOCH if e > limit else e) for q, s, e in rows if s < limit and (previous is None or s >= previous)]
+        for q, s, e in rows:
+            if previous is not None and s < previous and s <= e:
+                part = zlib.crc32(q.encode()) % 5
+                shown += [(q, s, e)] * ((e > previous) + (part == 0 and e <= limit)) + [(q, s, rf.EPOCH)] * (part == 1 and e <= previous)
+        want += [sorted(x for x in shown if x[1] <= x[2]), sorted(x for x in shown if x[1] > x[2])]
+        previous = limit
+    log = spark.createDataFrame(rows, "query_id string, start_time timestamp_ntz, end_time timestamp_ntz")
+    times = feeds._query_arrivals(log, f"{tmp_path}/feed")
+    assert [D.fromisoformat(t) for t in times] == [b for b in bounds for _ in range(2)]
+    before = []
+    for i, rows_of in enumerate(want):
+        tables.arrive(log, f"{tmp_path}/feed/arrival={i}", f"{tmp_path}/in")
+        before += rows_of
+        assert sorted(r[:] for r in spark.read.schema(log.schema).parquet(f"{tmp_path}/in").collect()) == sorted(before)
+    # An arrival of no rows comes as a file, too.
+    tables.arrive(log, f"{tmp_path}/feed/arrival=9", f"{tmp_path}/none")
+    assert spark.read.parquet(f"{tmp_path}/none").count() == 0
