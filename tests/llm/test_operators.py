@@ -733,6 +733,17 @@ def test_unknown_licences(spark):
     assert (got["families"], got["n_unknown"], got["n_paragraphs"]) == ("", 1, 2)
 
 
+def test_licence_thresholds_come_from_all_plain_lines(spark):
+    texts = ["the old mill\n\n  \nby the river\na MIT License\n" + "x " * 1500 + "end", "zlib\rother\n\tlast", None, ""]
+    lines = licenses.plain_lines(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts * 300)]), ["mit"])
+    assert Counter(r[0] for r in lines.collect()) == {x: 300 for x in ("the old mill", "by the river", "x " * 1500 + "end", "zlib\rother", "\tlast")}
+    # Four of 4 000 rows may lie above a threshold, wherever they stand.
+    scored = spark.range(4000).selectExpr("IF(id < 3990, 0.1, 0.5 + (id - 3990) / 100) AS p", "IF(id < 3998, 0.2, 0.97) AS any")
+    least, least_any = licenses.thresholds(scored)
+    assert (round(least, 9), least_any) == (0.55, licenses.LEAST_ANY)
+    assert licenses.thresholds(scored.limit(0)) == (licenses.LEAST, licenses.LEAST_ANY)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_what_a_template_confirms_holds_an_anchor(seed):
     rng = np.random.default_rng(seed)
